@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.llm import mixing, sharding
+from codestrata.llm import mixing, sharding, simhash
 from codestrata.session import read_table
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their fingerprint and component at 4 differing bits."""
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the contract's weights; one row per document."""
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
@@ -18,5 +23,5 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(read_table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op6_entropy_mixing, op10_virtual_slots)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op6_entropy_mixing, op10_virtual_slots)}
 ORACLES: dict[str, str] = {}
