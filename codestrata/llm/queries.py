@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codestrata.llm import mixing, sharding, simhash
+from codestrata.llm import mixing, pstable, sharding, simhash
 from codestrata.session import read_table
 
 
@@ -13,15 +14,25 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest found of every vector whose id is divisible by 50, among all other vectors."""
+    return pstable.search(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the contract's weights; one row per document."""
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors with their links at cosine 0.95 and their component."""
+    return pstable.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 7 of near equal bytes."""
     return sharding.shard_records(read_table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op6_entropy_mixing, op10_virtual_slots)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_ann, op6_entropy_mixing, op9_embedding_dedup, op10_virtual_slots)}
 ORACLES: dict[str, str] = {}

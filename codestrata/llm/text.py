@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def word_count(text: Column) -> Column:
@@ -16,14 +14,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-@contextmanager
-def arrow_limits(spark: SparkSession):
-    """Batches sent to Python hold at most 16 MB, whatever the length of the texts; for plans run inside the block."""
-    before = {k: spark.conf.get(k, None) for k in ARROW_LIMITS}
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on a batch sent to Python holds at most 4 MB, whatever the length of the texts.
+
+    The session keeps the setting, as plans run after the operator has returned them.
+    """
     for k, v in ARROW_LIMITS.items():
         spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
