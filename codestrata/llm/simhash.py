@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codestrata.llm.components import connected_components
+from codestrata.llm.text import bounded_batches
 from codestrata.session import Scratch
 
 SHINGLE = 4
@@ -145,6 +146,7 @@ def components(rows: DataFrame, scratch: Scratch, id_col: str = "doc_id", radius
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """All rows as (id, fingerprint in hex, component_id)."""
+    bounded_batches(df.sparkSession)
     scratch = Scratch(df.sparkSession, "simhash")
     rows = scratch.write(df.select(F.col(id_col), fingerprint(F.col(text_col)).alias("fp")))
     return rows.join(components(rows, scratch, id_col, radius, blocks), "fp").select(id_col, as_hex(F.col("fp")).alias("fingerprint"), "component_id")
