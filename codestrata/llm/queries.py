@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import mixing, pstable, sharding, simhash
+from codestrata.llm import langid, mixing, pstable, sharding, simhash
 from codestrata.session import read_table
 
 
@@ -19,6 +19,18 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pstable.search(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those whose crc32(doc_id) is not divisible by 5."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid_held_out("doc_id").alias("held_out"))
+    model = langid.train(docs.filter(~F.col("held_out")))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_id.lang_pred", "lang_id.score")
+
+
+def langid_held_out(id_col: str):
+    """True where crc32 of the id as text is divisible by 5; false for a null id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
 def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the contract's weights; one row per document."""
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
@@ -34,5 +46,5 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(read_table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_ann, op6_entropy_mixing, op9_embedding_dedup, op10_virtual_slots)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_ann, op5_language_id, op6_entropy_mixing, op9_embedding_dedup, op10_virtual_slots)}
 ORACLES: dict[str, str] = {}
