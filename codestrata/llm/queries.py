@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import langid, mixing, pstable, sharding, simhash
+from codestrata.llm import langid, mixing, pstable, sharding, simhash, warc
 from codestrata.session import read_table
 
 
@@ -36,6 +36,11 @@ def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page archived, found through the capture index and read back."""
+    return warc.archive_and_read(read_table(spark, sf_dir, "pages"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors with their links at cosine 0.95 and their component."""
     return pstable.near_duplicates(read_table(spark, sf_dir, "embeddings"))
@@ -46,5 +51,5 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(read_table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_ann, op5_language_id, op6_entropy_mixing, op9_embedding_dedup, op10_virtual_slots)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_ann, op5_language_id, op6_entropy_mixing, op7_warc, op9_embedding_dedup, op10_virtual_slots)}
 ORACLES: dict[str, str] = {}
