@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import langid, mixing, pstable, sharding, simhash, warc
+from codestrata.llm import langid, mixing, pstable, secret_scan, sharding, simhash, warc
 from codestrata.session import read_table
 
 
@@ -41,6 +41,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(read_table(spark, sf_dir, "pages"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the secrets found in them."""
+    return secret_scan.scan_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors with their links at cosine 0.95 and their component."""
     return pstable.near_duplicates(read_table(spark, sf_dir, "embeddings"))
@@ -51,5 +56,5 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(read_table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_ann, op5_language_id, op6_entropy_mixing, op7_warc, op9_embedding_dedup, op10_virtual_slots)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_ann, op5_language_id, op6_entropy_mixing, op7_warc, op8_secret_scan, op9_embedding_dedup, op10_virtual_slots)}
 ORACLES: dict[str, str] = {}
