@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import langid, mixing, pstable, secret_scan, sharding, simhash, warc
+from codestrata.llm import langid, mixing, piece, pstable, secret_scan, sharding, simhash, warc
+from codestrata.llm.text import bounded_batches
 from codestrata.session import read_table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded, and decoded again."""
+    bounded_batches(spark)
+    vocabulary = piece.Vocabulary.load()
+    ids = read_table(spark, sf_dir, "documents").select("doc_id", "text", piece.encode(F.col("text"), vocabulary).alias("ids"))
+    back = piece.decode(F.col("ids"), vocabulary) == F.replace(F.coalesce("text", F.lit("")), F.lit(piece.SPACE), F.lit(" "))
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", back.alias("round_trip"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their fingerprint and component at 4 differing bits."""
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -56,5 +66,5 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(read_table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_ann, op5_language_id, op6_entropy_mixing, op7_warc, op8_secret_scan, op9_embedding_dedup, op10_virtual_slots)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_ann, op5_language_id, op6_entropy_mixing, op7_warc, op8_secret_scan, op9_embedding_dedup, op10_virtual_slots)}
 ORACLES: dict[str, str] = {}
