@@ -343,7 +343,8 @@ class Encoder:
         flat, offsets = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
         for a, b, null in zip(offsets, offsets[1:], ids.is_null().to_pylist()):
             t = "" if null else b"".join([raw[i] for i in flat[a:b].tolist()]).decode("utf-8", "each-byte")
-            out.append(t[1:] if t[:1] == " " else t)
+            lead = t[:1] == " " and next(self.v.pieces[i] for i in flat[a:b].tolist() if raw[i]).startswith(SPACE)
+            out.append(t[1:] if lead else t)
         return out
 
 
