@@ -30,6 +30,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import accumulate
 
 import numpy as np
@@ -67,7 +68,7 @@ class Vocabulary:
             raise ValueError(f"{path}: its normal form or model type is not supported")
         return Vocabulary(tuple(p.piece for p in m.pieces), tuple(p.score for p in m.pieces), tuple(p.type for p in m.pieces), m.trainer_spec.model_type == 2)
 
-    @property
+    @cached_property
     def key(self) -> str:
         return hashlib.sha1(repr((self.bpe, self.pieces, self.scores, self.kinds)).encode()).hexdigest()
 
@@ -369,6 +370,25 @@ def encode(text: Column, vocabulary: Vocabulary) -> Column:
     return run(text)
 
 
+CHECKED = T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("round_trip", T.BooleanType())
+
+
+def encode_checked(text: Column, vocabulary: Vocabulary) -> Column:
+    """struct(ids, round_trip): the pieces, and whether decoding them gives the text again, U+2581 taken as a space.
+
+    One call does both, as a plan with two would encode twice.
+    """
+
+    @F.arrow_udf(CHECKED)
+    def run(texts: pa.Array) -> pa.Array:
+        coder = encoder(vocabulary)
+        ids = coder.encode(texts)
+        same = [a == (b or "").replace(SPACE, " ") for a, b in zip(coder.decode(ids), texts.to_pylist())]
+        return pa.StructArray.from_arrays([ids, pa.array(same, pa.bool_())], ["ids", "round_trip"])
+
+    return run(text)
+
+
 def decode(ids: Column, vocabulary: Vocabulary) -> Column:
     """The text of piece ids."""
 

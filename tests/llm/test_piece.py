@@ -77,6 +77,6 @@ def test_unigram_takes_the_best_path():
 def test_columns(spark):
     texts = [*ODD, None, ODD[5], "wörd " * 30000]
     df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
-    got = {r["doc_id"]: r for r in df.withColumn("e", piece.encode(F.col("text"), VOCABULARY)).withColumn("d", piece.decode(F.col("e"), VOCABULARY)).collect()}
+    got = {r["doc_id"]: r for r in df.withColumn("e", piece.encode(F.col("text"), VOCABULARY)).withColumn("c", piece.encode_checked(F.col("text"), VOCABULARY)).withColumn("d", piece.decode(F.col("e"), VOCABULARY)).collect()}
     for i, t in enumerate(texts):
-        assert got[i]["e"] == LIBRARY.encode(t or "") and got[i]["d"] == (t or "").replace(piece.SPACE, " ") and got[i]["ids"] == "s"
+        assert got[i]["e"] == LIBRARY.encode(t or "") and got[i]["d"] == (t or "").replace(piece.SPACE, " ") and got[i]["ids"] == "s" and tuple(got[i]["c"]) == (got[i]["e"], True)
