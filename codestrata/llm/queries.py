@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import langid, mixing, piece, pstable, secret_scan, sharding, simhash, warc
+from codestrata.llm import langid, lm, mixing, piece, pstable, secret_scan, sharding, simhash, warc
 from codestrata.llm.text import bounded_batches
 from codestrata.session import read_table
 
@@ -28,6 +28,12 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pstable.search(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log10 probability of every document, learned from those whose crc32(doc_id) modulo 7 is not 2."""
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return lm.score(read_table(spark, sf_dir, "documents"), ~held)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those whose crc32(doc_id) is not divisible by 5."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid_held_out("doc_id").alias("held_out"))
@@ -65,5 +71,5 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(read_table(spark, sf_dir, "documents"), 8)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_ann, op5_language_id, op6_entropy_mixing, op7_warc, op8_secret_scan, op9_embedding_dedup, op10_virtual_slots)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_ann, op4_lm_score, op5_language_id, op6_entropy_mixing, op7_warc, op8_secret_scan, op9_embedding_dedup, op10_virtual_slots)}
 ORACLES: dict[str, str] = {}
