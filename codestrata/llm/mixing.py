@@ -120,3 +120,17 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     extra = F.when(F.col("bin") < F.col("edge_bin"), 1).when((F.col("bin") == F.col("edge_bin")) & (F.col("place") <= F.col("need")), 1).otherwise(0)
     copies = F.coalesce(F.col("whole") + extra, F.lit(0)).cast("int")
     return ranked.select(id_col, "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), F.col("h").alias("row_hash"))
+
+
+def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """The mix itself: the rows of df, each as often as it is copied, with all their columns.
+
+    Rows are matched with their copies by hash, and repeated rows by their place among equals.
+    """
+    equals = Window.partitionBy("h").orderBy("id")
+    taken = mix(df, id_col, text_col, source_col, weights, share, cap).select(F.col("row_hash").alias("h"), F.col(id_col).alias("id"), "copies")
+    taken = taken.withColumn("k", F.row_number().over(equals)).filter("copies > 0").select("h", "k", "copies")
+    columns = [F.col(c).alias(f"c{i}") for i, c in enumerate(df.columns)]
+    rows = df.select(*columns, F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")).withColumn("k", F.row_number().over(equals))
+    copied = rows.join(taken, ["h", "k"]).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return copied.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])

@@ -76,10 +76,11 @@ def balanced_map(slot_bytes: list[int], n_shards: int, version: int = 1) -> Slot
 def rebalanced(old: SlotMap, slot_bytes: list[int], n_shards: int) -> SlotMap:
     """The next version of the map for `n_shards` shards, with few moves.
 
-    Slots of shards that are no more move to the lightest shard. Then, as long as
-    the heaviest shard lies more than one slot above the lightest, its largest slot
-    that still narrows the gap moves there. When shards only join, a slot moves
-    only to lighter shards, which are the new ones.
+    Slots of shards that are no more move to the lightest shard. Where shards have
+    joined, each in turn takes slots from the heaviest older shard, the largest that
+    fits, until it has its even share; other slots stay where they are. Without
+    joiners, slots move from the heaviest to the lightest shard while that narrows
+    their gap.
     """
     shards, load = list(old.shards), [0] * n_shards
     held: list[list[tuple[int, int]]] = [[] for _ in range(n_shards)]
@@ -98,16 +99,23 @@ def rebalanced(old: SlotMap, slot_bytes: list[int], n_shards: int) -> SlotMap:
 
     for b, slot in sorted(homeless, key=lambda x: (-x[0], x[1])):
         put(b, slot, min(range(n_shards), key=lambda s: (load[s], s)))
-    for _ in range(len(shards)):
+    def move(high: int, low: int, most: float) -> bool:
+        fits = [x for x in held[high] if 0 < x[0] <= most]
+        if fits:
+            b, slot = max(fits, key=lambda x: (x[0], -x[1]))
+            held[high].remove((b, slot))
+            load[high] -= b
+            put(b, slot, low)
+        return bool(fits)
+
+    even, joined = sum(load) / n_shards, range(old.n_shards, n_shards)
+    for s in joined:
+        while move(max(range(old.n_shards), key=lambda x: (load[x], -x)), s, even - load[s]):
+            pass
+    while not joined and len(load) > 1:
         low, high = min(range(n_shards), key=lambda s: (load[s], s)), max(range(n_shards), key=lambda s: (load[s], -s))
-        gap = load[high] - load[low]
-        fits = [x for x in held[high] if 0 < x[0] < gap and 2 * x[0] <= gap] or [x for x in held[high] if 0 < x[0] < gap]
-        if not fits or gap * 100 * n_shards <= sum(load):
+        if not move(high, low, (load[high] - load[low]) // 2):
             break
-        b, slot = max(fits, key=lambda x: (x[0], -x[1]))
-        held[high].remove((b, slot))
-        load[high] -= b
-        put(b, slot, low)
     return SlotMap(old.version + 1, n_shards, tuple(shards))
 
 

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,12 +136,15 @@ def links(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, blocks: int =
 
 
 def components(rows: DataFrame, scratch: Scratch, id_col: str = "doc_id", radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """(fp, component_id) for the distinct fingerprints of rows (id, fp): the smallest id that is reachable."""
+    """(fp, label, component_id) for the distinct fingerprints of rows (id, fp).
+
+    The component's label is its smallest fingerprint, its id the smallest id that is reachable.
+    """
     nodes = scratch.write(rows.groupBy("fp").agg(F.min(id_col).alias("least_id")))
     label = connected_components(links(nodes.select("fp"), scratch, radius, blocks))
     labelled = nodes.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    return labelled.join(least, "label").select("fp", "component_id")
+    return labelled.join(least, "label").select("fp", "label", "component_id")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
@@ -150,3 +153,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scratch = Scratch(df.sparkSession, "simhash")
     rows = scratch.write(df.select(F.col(id_col), fingerprint(F.col(text_col)).alias("fp")))
     return rows.join(components(rows, scratch, id_col, radius, blocks), "fp").select(id_col, as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """The rows of df that remain when one of each component stays, that of the smallest id, with all their columns.
+
+    Of rows repeated with that id, and of a component without ids, one row stays as well.
+    """
+    bounded_batches(df.sparkSession)
+    scratch = Scratch(df.sparkSession, "simhash-dedup")
+    columns = [F.col(c).alias(f"c{i}") for i, c in enumerate(df.columns)]  # own names cannot clash
+    row_id = f"c{df.columns.index(id_col)}"
+    rows = scratch.write(df.select(*columns, fingerprint(F.col(text_col)).alias("fp")))
+    found = components(rows.select(F.col(row_id).alias("id"), "fp"), scratch, "id", radius, blocks)
+    first = rows.join(found, "fp").filter(F.col(row_id).eqNullSafe(F.col("component_id")))
+    order = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(*[f"c{i}" for i in range(len(df.columns))])))
+    kept = first.withColumn("place", order).filter("place = 1")
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])
