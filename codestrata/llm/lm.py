@@ -16,7 +16,7 @@ batch and shard, never a row for each word.
 A context is dealt to as many shards as its share of the corpus asks for, so a word
 that follows everywhere does not fill one shard. Shards and batches grow in number
 with the corpus, not in size. Probabilities in the trie have 16 bits, the P(w) in
-them is taken from counts rounded to 3.5 %.
+them is taken from counts rounded to 0.5 %.
 
 Two tokens count as one if their 64-bit hashes meet, two successors of one context if
 their first 40 bits do; neither is to be expected below billions of words.
@@ -48,7 +48,7 @@ BATCH_BYTES = 8 << 20
 KEY_MASK = np.uint64((1 << 63) - 1)
 END = np.uint64(xxhash.xxh64_intdigest(b"\n")) & KEY_MASK  # no word is a line break
 BATCH = "batch long, ids binary, train binary, lengths binary, tokens binary, keys binary"
-LOG_STEP = 0.015
+LOG_STEP = 0.004
 
 
 def _put(a: np.ndarray) -> bytes:
@@ -257,7 +257,7 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(spark, "lm")
     packed = scratch.write(df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(train, F.lit(True)).alias("train"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_pack, BATCH))
     batches = packed.count()
-    token_shards, pair_shards = 1 + batches // 8, 1 + batches // 2
+    token_shards, pair_shards = 1 + batches // 4, 1 + batches
 
     asked = packed.select("batch", "train", "lengths", "tokens", "keys").mapInArrow(_token_rows(token_shards), SHARD)
     totals = scratch.write(asked.groupBy("shard").applyInArrow(_token_totals, ANSWER))
@@ -265,6 +265,7 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     corpus = Corpus(sums["tokens"], sums["distinct"], sums["once"], token_shards, pair_shards, mu)
     answers = lambda t, name: t.groupBy("batch").agg(F.collect_list(F.struct("shard", "answer")).alias(name))
     known = scratch.write(packed.join(answers(totals, "totals"), "batch"))
+    scratch.drop(keep=1)  # all that follows reads `known` alone
 
     def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:

@@ -81,7 +81,7 @@ def test_scores_equal_brute_force(spark, monkeypatch, batch_bytes):
     want = sorted(brute(rows, lm.MU), key=str)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert np.allclose([g[5] for g in got], [w[5] for w in want], atol=1e-9)
-    assert np.allclose([g[6] for g in got], [w[6] for w in want], atol=2e-3, rtol=2e-3)
+    assert all(abs(g[6] - w[6]) <= 2e-3 * g[2] for g, w in zip(got, want))  # what the rounding allows a token
 
 
 def test_the_model_is_a_distribution(spark):
