@@ -1 +1,105 @@
 """Queries that run the extractors on sources made from the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from codestrata.plans import adapter as A
+from codestrata.plans.registry import query
+from codestrata.session import read_table as read
+from codestrata.sources import scan
+
+
+def _cpp_files(spark, d):
+    """A C++ file for each part: a class that inherits, holds and uses other parts' classes."""
+    key = F.col("p_partkey")
+    other = lambda n: F.concat(F.lit("C"), F.floor(key / n).cast("string"))
+    text = F.concat(
+        F.lit("// class Fake { };\nnamespace "), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit(" {\nclass C"), key.cast("string"), F.lit(" : public "), other(2), F.lit(" {\n  std::vector<"), other(3), F.lit("*> m_many;\n  "),
+        other(5), F.lit("* m_one;\n  void run(const "), other(7), F.lit("& x) { "), other(11), F.lit(" y; }\n};\n}\n"),
+    )
+    return read(spark, d, "part").select(F.concat(F.lit("p"), key.cast("string"), F.lit(".hxx")).alias("file_path"), text.alias("text"))
+
+
+PARTS = """SELECT concat('p', p_partkey, '.hxx') AS file_path, concat(replace(p_brand, '#', ''), '::C', p_partkey) AS source, p_partkey AS k FROM part"""
+
+
+@query(
+    f"""SELECT file_path, source AS source_qname, 'inherits' AS kind, concat('C', k // 2) AS target_name, 3 AS line FROM ({PARTS})
+UNION ALL SELECT file_path, source, 'aggregates', concat('C', k // 3), 4 FROM ({PARTS}) UNION ALL SELECT file_path, source, 'associates', concat('C', k // 5), 5 FROM ({PARTS})
+UNION ALL SELECT file_path, source, 'depends', concat('C', k // 7), 6 FROM ({PARTS}) UNION ALL SELECT file_path, source, 'depends', concat('C', k // 11), 6 FROM ({PARTS}) WHERE k // 11 <> k // 7"""
+)
+def cpp_extract(spark, d):
+    rows = scan.parse_cpp(_cpp_files(spark, d)).filter("tag = 'relationship'")
+    return rows.select("file_path", "source_qname", "kind", "target_name", F.col("start_line").alias("line"))
+
+
+@query(
+    f"""SELECT kind, count(*) AS n, min(qualified_name) AS first FROM (SELECT 'namespace' AS kind, replace(p_brand, '#', '') AS qualified_name FROM part
+UNION ALL SELECT 'class', source FROM ({PARTS}) UNION ALL SELECT 'method', concat(source, '::run') FROM ({PARTS}) UNION ALL SELECT 'field', concat(source, '::m_many') FROM ({PARTS}) UNION ALL SELECT 'field', concat(source, '::m_one') FROM ({PARTS})) GROUP BY kind"""
+)
+def cpp_entities(spark, d):
+    rows = scan.parse_cpp(_cpp_files(spark, d)).filter("tag = 'entity'")
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("qualified_name").alias("first"))
+
+
+@query(
+    """SELECT concat('s', s_suppkey, '.sch') AS file_path, concat('S', s_suppkey) AS source_qname, 'inherits' AS kind, concat('N', s_nationkey) AS target_name, 4 AS line FROM supplier
+UNION ALL SELECT concat('s', s_suppkey, '.sch'), concat('S', s_suppkey), 'associates', concat('S', s_suppkey // 2), 6 FROM supplier UNION ALL SELECT concat('s', s_suppkey, '.sch'), concat('S', s_suppkey), 'composes', concat('N', s_nationkey), 7 FROM supplier"""
+)
+def sch_extract(spark, d):
+    key, nation = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    text = F.concat(F.lit("forward_declare class X;\n\nclass S"), key, F.lit(" {\n  superclass N"), nation, F.lit("\n  void run();\n  S"), F.floor(F.col("s_suppkey") / 2).cast("string"), F.lit("* m_half;\n  N"), nation, F.lit(" m_nation;\n  int m_n;\n};\n"))
+    rows = scan.parse_sch(read(spark, d, "supplier").select(F.concat(F.lit("s"), key, F.lit(".sch")).alias("file_path"), text.alias("text"))).filter("tag = 'relationship'")
+    return rows.select("file_path", "source_qname", "kind", "target_name", F.col("start_line").alias("line"))
+
+
+@query("SELECT item_id, sha256(concat('offline', chr(0), 'Judge.', chr(0), text)) AS prompt_hash, CASE WHEN item_id % 3 = 0 THEN 'held' END AS response FROM benchmark")
+def llm_review_stub(spark, d):
+    """Answers from the cache where it has them; the offline client gives none."""
+    from codestrata.functions.text import prompt_hash
+    from codestrata.tools.client import Offline
+    from codestrata.tools.review import ask
+
+    prompts = read(spark, d, "benchmark").select("item_id", F.lit("Judge.").alias("system"), F.col("text").alias("prompt"))
+    cache = prompts.filter("item_id % 3 = 0").select(prompt_hash(F.lit("offline"), F.col("system"), F.col("prompt")).alias("prompt_hash"), F.lit("offline").alias("model"), F.lit("held").alias("response")).distinct()
+    return ask(prompts, Offline, cache, "offline", ["item_id"]).select("item_id", "prompt_hash", "response")
+
+
+@query(
+    """WITH RECURSIVE a AS (SELECT concat('A', p_partkey) AS alias, concat('A', CASE WHEN p_partkey % 9 = 0 THEN p_partkey ELSE p_partkey + 1 END) AS target, CASE WHEN p_partkey % 4 = 0 THEN 'associates' END AS kind FROM part WHERE p_partkey % 9 <> 0),
+  c(alias, target, kind, depth) AS (SELECT alias, target, kind, 1 FROM a UNION ALL SELECT c.alias, a.target, coalesce(c.kind, a.kind), depth + 1 FROM c JOIN a ON a.alias = c.target WHERE depth < 8)
+SELECT alias, target, kind, depth FROM c WHERE target NOT IN (SELECT alias FROM a)"""
+)
+def alias_chains(spark, d):
+    from codestrata.operators.relational import chase_aliases
+
+    key = F.col("p_partkey")
+    table = read(spark, d, "part").filter("p_partkey % 9 <> 0").select(F.concat(F.lit("A"), key.cast("string")).alias("alias"), F.concat(F.lit("A"), (key + 1).cast("string")).alias("target"), F.when(key % 4 == 0, "associates").alias("kind"))
+    return chase_aliases(table)
+
+
+@query(
+    f"WITH {A.GRAPH}, p AS (SELECT *, id % 7 = 0 AS phantom, id % 50 AS span FROM ent), k AS (SELECT kind, split_part(file_path, '/', 2) AS q, id, phantom, row_number() OVER (PARTITION BY kind, split_part(file_path, '/', 2) ORDER BY phantom, -span, id) AS r, bool_and(phantom) OVER (PARTITION BY kind, split_part(file_path, '/', 2)) AS every FROM p) SELECT kind, q AS qualified_name, id, every AS phantom FROM k WHERE r = 1"
+)
+def entity_dedup(spark, d):
+    from codestrata.operators.relational import dedup_entities
+
+    e = A.entities(spark, d).select("kind", F.get(F.split("file_path", "/"), F.lit(1)).alias("qualified_name"), "id", (F.col("id") % 7 == 0).alias("phantom"), F.lit(0).cast("long").alias("start_line"), (F.col("id") % 50).alias("end_line"))
+    return dedup_entities(e, [F.col("id")]).select("kind", "qualified_name", "id", "phantom")
+
+
+@query(f"WITH {A.ENT}, {A.REL} SELECT src AS source_qname, dst AS target_qname, kind, min(evidence_line) AS first_line FROM rel GROUP BY src, dst, kind")
+def edge_dedup(spark, d):
+    from codestrata.operators.relational import dedup_edges
+
+    r = A.relationships(spark, d).select(F.col("src").alias("source_qname"), F.col("dst").alias("target_qname"), F.lit(None).cast("long").alias("target_name"), "kind", F.lit("f").alias("evidence_file"), F.lit(0).alias("evidence_line"), F.col("evidence_line").alias("at"))
+    return dedup_edges(r, [F.col("at")]).select("source_qname", "target_qname", "kind", F.col("at").alias("first_line"))
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark, d):
+    """The batch side of the streaming aggregation."""
+    from codestrata.streaming.incremental import event_counts
+
+    return event_counts(read(spark, d, "events")).withColumn("total", F.round("total", 6))

@@ -27,6 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIRS[app]
 
 
+def bounded_batches(spark: SparkSession, rows: int = 4000, mb: int = 4) -> None:
+    """From now on a batch sent to Python holds at most so many rows and MB, whatever the length of the texts.
+
+    The session keeps the setting, as plans run after the operator has returned them.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+
+
 class Scratch:
     """Written tables in the shared folder that cut lineage; `drop` removes those that no later plan reads."""
 
