@@ -44,7 +44,7 @@ from codestrata.llm.text import bounded_batches
 from codestrata.session import Scratch
 
 MU = 512.0  # the best of the powers of 4 on held-out text
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 KEY_MASK = np.uint64((1 << 63) - 1)
 END = np.uint64(xxhash.xxh64_intdigest(b"\n")) & KEY_MASK  # no word is a line break
 BATCH = "batch long, ids binary, train binary, lengths binary, tokens binary, keys binary"
@@ -90,9 +90,14 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inner = np.ones(len(tokens), bool)
         inner[ends] = False
         tokens[inner] = place[coded.indices.to_numpy()]
+        common = np.argsort(-np.bincount(tokens, minlength=len(keys)), kind="stable")  # small numbers for common tokens compress best
+        rank = np.empty(len(keys), np.int32)
+        rank[common] = np.arange(len(keys), dtype=np.int32)
+        tokens, keys = rank[tokens], keys[common]
         ids = t["id"].chunk(0)
         valid = ids.is_valid().to_numpy(zero_copy_only=False)
         flags = t["train"].chunk(0).to_numpy(zero_copy_only=False).astype(np.uint8) | (valid.astype(np.uint8) << 1)
+        pa.default_memory_pool().release_unused()
         return _rows([{"batch": random.getrandbits(62), "ids": _put(ids.fill_null(0).to_numpy()), "train": _put(flags), "lengths": _put((count + 1).astype(np.int64)), "tokens": _put(tokens), "keys": _put(keys)}], BATCH_ARROW)
 
     for b in batches:
@@ -170,13 +175,17 @@ class Corpus:
         return out
 
     def pairs(self, row: dict, total: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The batch's distinct bigrams (v, w) as indices in order, each token's bigram, and the bigrams' shards."""
-        tokens, keys = _get(row["tokens"], np.int32).astype(np.int64), _get(row["keys"], np.uint64)
+        """The batch's distinct bigrams (v, w), as indices, in the order of their keys; each token's bigram; the bigrams' shards."""
+        tokens, keys = _get(row["tokens"], np.int32), _get(row["keys"], np.uint64)
+        order = np.argsort(keys)
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
+        tokens = rank[tokens]
         ends = np.cumsum(_get(row["lengths"], np.int64))
         before = np.r_[0, tokens[:-1]]
-        before[np.r_[0, ends[:-1]]] = np.searchsorted(keys, END)
+        before[np.r_[0, ends[:-1]]] = np.searchsorted(keys[order], END)
         pair, place = np.unique(before * len(keys) + tokens, return_inverse=True)
-        v, w = pair // len(keys), pair % len(keys)
+        v, w = order[pair // len(keys)], order[pair % len(keys)]
         slices = (1 + 4 * self.pair_shards * total[v] // max(1, self.n)).astype(np.uint64)  # of a common context
         with np.errstate(over="ignore"):
             where = _mixed(_mixed(keys[v]) + (_mixed(keys[w]) % slices) * np.uint64(0xC2B2AE3D27D4EB4F)) % np.uint64(self.pair_shards)
@@ -212,8 +221,11 @@ class Corpus:
             levels.append(_get(r["more"][5 * n :], np.uint16))
         contexts, at, back = np.unique(np.concatenate([h[0] for h in heads]), return_index=True, return_inverse=True)
         context_total = np.concatenate([h[2] for h in heads])[at].astype(np.float64)
-        rank = np.repeat(back, np.concatenate([h[1] for h in heads]).astype(np.int64)).astype(np.uint64)
-        pair, first, place = np.unique((rank << np.uint64(SUCCESSOR_BITS)) | np.concatenate(successors), return_index=True, return_inverse=True)
+        keys = np.repeat(back.astype(np.uint64) << np.uint64(SUCCESSOR_BITS), np.concatenate([h[1] for h in heads]).astype(np.int64))
+        keys |= np.concatenate(successors)
+        del heads, successors, back
+        pair, first, place = np.unique(keys, return_index=True, return_inverse=True)
+        del keys
         total = np.bincount(place, np.concatenate(counts), len(pair))
         level = np.concatenate(levels)[first].astype(np.float64)
         single = self.single(np.where(level > 0, 10 ** ((level - 1) * LOG_STEP), 0))
@@ -257,7 +269,7 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(spark, "lm")
     packed = scratch.write(df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(train, F.lit(True)).alias("train"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_pack, BATCH))
     batches = packed.count()
-    token_shards, pair_shards = 1 + batches // 4, 1 + batches
+    token_shards, pair_shards = 1 + batches // 8, 1 + batches
 
     asked = packed.select("batch", "train", "lengths", "tokens", "keys").mapInArrow(_token_rows(token_shards), SHARD)
     totals = scratch.write(asked.groupBy("shard").applyInArrow(_token_totals, ANSWER))
