@@ -58,15 +58,15 @@ def reach_pairs(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame
     scratch = Scratch(edges.sparkSession, "reach")
     step = scratch.write(edges.select("src", "dst").distinct())
     start = step if sources is None else step.join(sources.select("src"), "src", "left_semi")
-    delta = scratch.write(start)
+    delta, n = scratch.counted(start)
     found = [delta]
     hop = step.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-    while not delta.isEmpty():
+    while n:
         known = found[0]
         for f in found[1:]:
             known = known.unionByName(f)
         grown = delta.join(hop, "dst").select("src", F.col("next").alias("dst")).distinct()
-        delta = scratch.write(grown.join(known, ["src", "dst"], "left_anti"))
+        delta, n = scratch.counted(grown.join(known, ["src", "dst"], "left_anti"))
         found.append(delta)
         if len(found) > 8:
             found = [scratch.write(known.unionByName(delta))]
@@ -97,23 +97,22 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     rest. A round costs a join over the edges left.
     """
     scratch = Scratch(edges.sparkSession, "components")
-    left = scratch.write(edges.filter("src <> dst").select("src", "dst").distinct())
+    left, n = scratch.counted(edges.filter("src <> dst").select("src", "dst").distinct())
     done: list[DataFrame] = []
-    while True:
-        while True:  # peel
-            inner = scratch.write(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-            same = inner.count() == left.count()
-            left = inner
-            if same:
-                break
-        if left.isEmpty():
+    while n:
+        before = None
+        while n and n != before:  # peel
+            enters, leaves = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
+            before = n
+            left, n = scratch.counted(left.join(enters, "src", "left_semi").join(leaves, "dst", "left_semi").select("src", "dst"))
+        if not n:
             break
         colour = _spread(left, scratch)
         same = left.join(colour.withColumnRenamed("id", "src").withColumnRenamed("colour", "a"), "src").join(colour.withColumnRenamed("id", "dst").withColumnRenamed("colour", "b"), "dst").filter("a = b")
         back = _reaching_back(scratch.write(same.select("src", "dst", F.col("a").alias("colour"))), scratch)
         done.append(back)
         gone = back.select("id")
-        left = scratch.write(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
+        left, n = scratch.counted(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
     found = nodes.select("id").distinct()
     if not done:
         return found.withColumn("component", F.col("id"))
@@ -130,8 +129,8 @@ def _spread(edges: DataFrame, scratch: Scratch) -> DataFrame:
     delta = colour
     while True:
         offered = edges.join(delta.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("offer"))
-        delta = scratch.write(colour.join(offered, "id").filter("offer < colour").select("id", F.col("offer").alias("colour")))
-        if delta.isEmpty():
+        delta, n = scratch.counted(colour.join(offered, "id").filter("offer < colour").select("id", F.col("offer").alias("colour")))
+        if not n:
             return colour
         colour = scratch.write(colour.join(delta.withColumnRenamed("colour", "new"), "id", "left").select("id", F.coalesce("new", "colour").alias("colour")))
 
@@ -142,8 +141,8 @@ def _reaching_back(edges: DataFrame, scratch: Scratch) -> DataFrame:
     known = delta
     while True:
         grown = edges.join(delta.select(F.col("id").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("id"), "colour").distinct()
-        delta = scratch.write(grown.join(known, ["id", "colour"], "left_anti"))
-        if delta.isEmpty():
+        delta, n = scratch.counted(grown.join(known, ["id", "colour"], "left_anti"))
+        if not n:
             return known
         known = scratch.write(known.unionByName(delta))
 
@@ -221,9 +220,10 @@ def representatives(nodes: DataFrame, parent: DataFrame, mode: str = "leaves", p
     on_cycle = up.filter("a = b").select(F.col("a").alias("id")).distinct().withColumn("stop", F.lit(True))
     step = scratch.write(step.join(on_cycle, "id", "left").select("id", F.when(F.col("stop"), F.col("id")).otherwise(F.col("rep")).alias("rep")))
     while True:
-        jumped = scratch.write(step.join(step.select(F.col("id").alias("rep"), F.col("rep").alias("far")), "rep", "left").select("id", F.coalesce("far", "rep").alias("rep"), F.coalesce(F.col("far") != F.col("rep"), F.lit(False)).alias("moved")))
+        far = step.select(F.col("id").alias("rep"), F.col("rep").alias("far"))
+        jumped, n = scratch.counted(step.join(far, "rep", "left").select("id", F.coalesce("far", "rep").alias("rep"), F.coalesce(F.col("far") != F.col("rep"), F.lit(False)).alias("moved")), F.col("moved"))
         step = jumped.select("id", "rep")
-        if jumped.filter("moved").isEmpty():
+        if not n:
             return step
 
 
@@ -242,19 +242,16 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level) of an acyclic graph: the longest path from a node without incoming edges. Nodes on or behind cycles are left out."""
     scratch = Scratch(edges.sparkSession, "levels")
     left = scratch.write(edges.filter("src <> dst").select("src", "dst").distinct())
-    todo = scratch.write(nodes.select("id").distinct())
-    done, level = [], 0
-    while True:
-        free = scratch.write(todo.join(left.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").withColumn("level", F.lit(level)))
-        if free.isEmpty():
-            break
-        done.append(free)
-        todo = scratch.write(todo.join(free.select("id"), "id", "left_anti"))
-        left = scratch.write(left.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
-        level += 1
-    out = nodes.select("id").limit(0).withColumn("level", F.lit(0))
-    for d in done:
-        out = out.unionByName(d)
+    free, n = scratch.counted(nodes.select("id").distinct().join(left.select(F.col("dst").alias("id")).distinct(), "id", "left_anti"))
+    out, level = free.withColumn("level", F.lit(0)), 0
+    while n:
+        # Edges of the nodes just placed go; what they led to and nothing leads to any more comes next.
+        placed = free.select(F.col("id").alias("src"))
+        led = left.join(placed, "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        rest = scratch.write(left.join(placed, "src", "left_anti"))
+        free, n = scratch.counted(led.join(rest.select(F.col("dst").alias("id")).distinct(), "id", "left_anti"))
+        left, level = rest, level + 1
+        out = out.unionByName(free.withColumn("level", F.lit(level)))
     return out
 
 
@@ -280,15 +277,14 @@ def dominators(edges: DataFrame, root_ids: DataFrame) -> DataFrame:
     fan = scratch.write(used.groupBy("root", F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n")))
     # Candidates: what is reached from the root and reaches the node.
     far = reach_pairs(used.select(F.struct("root", F.col("src").alias("n")).alias("src"), F.struct("root", F.col("dst").alias("n")).alias("dst")))
-    dom = scratch.write(far.select(F.col("src.root").alias("root"), F.col("dst.n").alias("id"), F.col("src.n").alias("dominator")).filter("id <> dominator AND id <> root"))
+    dom, size = scratch.counted(far.select(F.col("src.root").alias("root"), F.col("dst.n").alias("id"), F.col("src.n").alias("dominator")).filter("id <> dominator AND id <> root"))
     while True:
         own = dom.unionByName(inside.select("root", "id", F.col("id").alias("dominator"))).unionByName(inside.select("root", F.col("root").alias("id"), F.col("root").alias("dominator")).distinct())
         votes = used.join(own.withColumnRenamed("id", "src"), ["root", "src"]).groupBy("root", F.col("dst").alias("id"), "dominator").agg(F.count(F.lit(1)).alias("votes"))
-        kept = scratch.write(dom.join(votes, ["root", "id", "dominator"]).join(fan, ["root", "id"]).filter("votes = n").select("root", "id", "dominator"))
-        same = kept.count() == dom.count()
-        dom = kept
-        if same:
+        dom, n = scratch.counted(dom.join(votes, ["root", "id", "dominator"]).join(fan, ["root", "id"]).filter("votes = n").select("root", "id", "dominator"))
+        if n == size:
             return dom
+        size = n
 
 
 def immediate_dominators(edges: DataFrame, root_ids: DataFrame) -> DataFrame:
@@ -328,3 +324,39 @@ def visible_roots(nodes: DataFrame, edges: DataFrame, limit: int = 25) -> DataFr
     out_n = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     members = comp.join(first.withColumnRenamed("id", "component"), "component").join(out_n, "id", "left")
     return members.groupBy("component").agg(F.min(F.struct((-F.coalesce("n", F.lit(0))).alias("n"), "id")).alias("m")).select("m.id")
+
+
+def root_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, root): the node without incoming edges that is met by walking to the smallest predecessor each time; on acyclic graphs. Pointer jumping halves the way each round."""
+    scratch = Scratch(edges.sparkSession, "root-of")
+    up = edges.filter("src <> dst").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("up"))
+    step = scratch.write(nodes.select("id").distinct().join(up, "id", "left").select("id", F.coalesce("up", "id").alias("root")))
+    while True:
+        far = step.select(F.col("id").alias("root"), F.col("root").alias("far"))
+        jumped, n = scratch.counted(step.join(far, "root").select("id", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")), F.col("moved"))
+        step = jumped.select("id", "root")
+        if not n:
+            return step
+
+
+def subtree_members(comp: DataFrame, edges: DataFrame, root_ids: DataFrame, rep: DataFrame | None = None) -> DataFrame:
+    """(root, id): the nodes at or below each root of the condensed graph; with `rep` (id, rep) folded nodes stand for all that were folded into them."""
+    below = reach_pairs(edges, root_ids.select(F.col("id").alias("src"))).select(F.col("src").alias("root"), F.col("dst").alias("component"))
+    every = below.unionByName(root_ids.select(F.col("id").alias("root"), F.col("id").alias("component"))).distinct()
+    members = every.join(comp, "component").select("root", "id")
+    return members if rep is None else members.join(rep.select(F.col("rep").alias("id"), F.col("id").alias("folded")), "id").select("root", F.col("folded").alias("id"))
+
+
+def responsibility_tree(tree: DataFrame, max_depth: int = 3) -> DataFrame:
+    """(root, id, parent, depth, place, weight, truncated) of a dominator tree (root, id, parent): nodes to `max_depth`, brothers by the size of what hangs below them, `truncated` where a node's children are cut off.
+
+    The tree's height bounds the rounds; a node's size is one aggregation over the pairs of ancestors, which the dominators are.
+    """
+    scratch = Scratch(tree.sparkSession, "responsibility")
+    pairs = reach_pairs(tree.select(F.struct("root", F.col("parent").alias("n")).alias("src"), F.struct("root", F.col("id").alias("n")).alias("dst")))
+    pairs = scratch.write(pairs.select(F.col("src.root").alias("root"), F.col("src.n").alias("above"), F.col("dst.n").alias("id")))
+    depth = pairs.groupBy("root", "id").agg(F.count(F.lit(1)).alias("depth"))
+    weight = pairs.groupBy("root", F.col("above").alias("id")).agg((F.count(F.lit(1)) + 1).alias("weight"))
+    full = tree.join(depth, ["root", "id"]).join(weight, ["root", "id"], "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("root", "parent").orderBy(F.desc("weight"), "id"))
+    return full.filter(F.col("depth") <= max_depth).withColumn("place", place).withColumn("truncated", (F.col("depth") == max_depth) & (F.col("weight") > 1))

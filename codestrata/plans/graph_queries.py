@@ -313,3 +313,24 @@ def community_modules(spark, d):
 @query(f"WITH RECURSIVE {A.GRAPH}, {REACH.format(e='edge')}, {COMP}, {CEDGE}, outs AS (SELECT src, count(*) AS n FROM edge GROUP BY src) SELECT arg_min(c.id, struct_pack(n := -coalesce(o.n, 0), id := c.id)) AS id FROM comp c LEFT JOIN outs o ON o.src = c.id WHERE c.component NOT IN (SELECT dst FROM cedge) GROUP BY c.component")
 def visible_roots(spark, d):
     return graph.visible_roots(A.entities(spark, d), _edges(spark, d))
+
+
+@query(
+    f"""WITH RECURSIVE {A.GRAPH}, {REACH.format(e="edge")}, {COMP}, {CEDGE}, up AS (SELECT dst AS id, min(src) AS p FROM cedge GROUP BY dst),
+  walk(id, spot) AS (SELECT DISTINCT component, component FROM comp UNION SELECT w.id, up.p FROM walk w JOIN up ON up.id = w.spot) SELECT id, spot AS root FROM walk WHERE spot NOT IN (SELECT id FROM up)"""
+)
+def root_of(spark, d):
+    e = _edges(spark, d)
+    c = graph.components(A.entities(spark, d), e)
+    return graph.root_of(graph.condensed_edges(c, e), c.select(F.col("component").alias("id")))
+
+
+@query(
+    f"""WITH RECURSIVE {A.GRAPH}, {REACH.format(e="edge")}, {COMP}, {CEDGE}, below(root, c) AS (SELECT * FROM (VALUES (CAST(1999 AS BIGINT), CAST(1999 AS BIGINT)), (1500, 1500)) UNION SELECT b.root, e.dst FROM below b JOIN cedge e ON e.src = b.c)
+SELECT root, id FROM below JOIN comp ON component = c"""
+)
+def subtree_members(spark, d):
+    e = _edges(spark, d)
+    c = graph.components(A.entities(spark, d), e)
+    ids = spark.range(1).select(F.explode(F.array(*[F.lit(r).cast("long") for r in DOM_ROOTS])).alias("id"))
+    return graph.subtree_members(c, graph.condensed_edges(c, e), ids)

@@ -6,7 +6,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
 
@@ -49,6 +50,12 @@ class Scratch:
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def counted(self, df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
+        """The written table and its rows, or those for which `what` holds, counted while it is written."""
+        seen = Observation()
+        written = self.write(df.observe(seen, F.count(F.lit(1) if what is None else F.when(what, 1)).alias("n")))
+        return written, seen.get["n"]
+
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
