@@ -13,6 +13,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("path", nargs="?", default=".", help="the source tree")
     p.add_argument("--store", default=None, help="where the tables are kept; <path>/.codestrata by default")
     p.add_argument("--from", dest="start", choices=["scan", "review"], help="forget what comes from this step on")
+    p.add_argument("--skills", default="", help="a folder with architecture.md and design_critic.md")
     p.add_argument("--output", default="report.html")
     p.add_argument("--strategy", default="auto", choices=["auto", "explicit", "folder", "namespace", "community"])
     a = p.parse_args(argv)
@@ -27,11 +28,11 @@ def main(argv: list[str] | None = None) -> int:
 
     from codestrata.tools import host
     from codestrata.tools.client import default_client
-    from codestrata.tools.registry import Context, run_tool
+    from codestrata.tools.registry import Context, run_tool, show_status
     from codestrata.tools.store import Store
 
     spark = SparkSession.builder.appName("codestrata").getOrCreate()
-    context = Context(spark, root, Store(spark, place), default_client)
+    context = Context(spark, root, Store(spark, place), default_client, a.skills)
     show = lambda name, **args: print(run_tool(context, name, args))
     if a.start == "scan":
         context.store.clear_all()
@@ -46,6 +47,7 @@ def main(argv: list[str] | None = None) -> int:
         show("architecture_audit", strategy=a.strategy)
     elif a.command == "status":
         show("get_overview")
+        print(show_status(context))
     elif a.command == "report":
         show("generate_report", path=a.output)
     elif a.command == "chat":

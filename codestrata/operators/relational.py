@@ -240,3 +240,11 @@ def _line() -> Column:
 def fail_open(findings: DataFrame, verdicts: DataFrame, keys: list[str], flag: str = "is_real") -> DataFrame:
     """Findings but those that a verdict denies; without a verdict a finding stays."""
     return findings.join(verdicts.select(*keys, flag), keys, "left").filter(F.coalesce(F.col(flag), F.lit(True))).drop(flag)
+
+
+def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, salts: int = 64) -> DataFrame:
+    """The first k rows of each key in order, ranked within salted parts first, so that a busy key does not fill one task."""
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    for by in ([*keys, "__salt"], keys):
+        salted = salted.withColumn("__place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("__place") <= k)
+    return salted.drop("__salt", "__place")

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: What a table was shuffled through is of no use once the table is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN_DIRS: dict[str, str] = {}
 
 
@@ -46,7 +48,12 @@ class Scratch:
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n:04d}"
-        df.write.mode("overwrite").parquet(path)
+        conf, before = self.spark.conf, self.spark.conf.get(CLEANUP, None)
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -15,7 +15,7 @@ from codestrata.functions.text import evidence, last_segment
 from codestrata.operators import decouple, graph, modules, relational, rules
 from codestrata.session import Scratch
 from codestrata.sources import scan
-from codestrata.tools import report, review
+from codestrata.tools import design, report, review, skills
 from codestrata.tools.client import Offline
 from codestrata.tools.sql import NotReadOnly, as_text, run_select
 from codestrata.tools.store import Store
@@ -32,7 +32,7 @@ class Context:
     root: str
     store: Store
     make_client: Callable = Offline
-    rules_text: str = ""
+    skills: str = ""  # a folder with the project's own rules and review method
     groups: list = field(default_factory=list)
 
     def graph(self) -> tuple[DataFrame, DataFrame]:
@@ -119,6 +119,12 @@ def get_overview(c: Context) -> str:
     return "\n".join([*lines, *([f"style: {info['style']}, orchestrator: {info['orchestrator']}"] if info else [])])
 
 
+def show_status(c: Context, rows: int = 50) -> str:
+    """The console dashboard: the classes of most members with their counts."""
+    counts = relational.member_counts(c.graph()[0]).orderBy(F.desc(F.col("methods") + F.col("fields")), "qualified_name").limit(rows).collect()
+    return "\n".join([f"{'class':50} methods fields", *[f"{r['qualified_name']:50} {r['methods']:7d} {r['fields']:6d}" for r in counts]])
+
+
 @tool
 def list_classes(c: Context, limit: int = MAX_CLASSES) -> str:
     """Classes by name with their kinds and files."""
@@ -199,7 +205,7 @@ def _module_graph(c: Context, strategy: str, groups: list | None) -> tuple[rules
 def audit_payload(c: Context, strategy: str = "auto", verified: bool = False) -> dict:
     """nodes, edges, findings, plans and the share of unresolved relationships."""
     mg, member, used = _module_graph(c, strategy, c.groups)
-    contract = list(rules.UNIVERSAL) + (review.compile_rules(c.make_client(), c.rules_text) if c.rules_text else [])
+    contract = list(rules.UNIVERSAL) + (review.compile_rules(c.make_client(), text) if c.skills and (text := skills.find(c.skills, skills.RULES)) else [])
     found = Scratch(c.spark, "audit").write(rules.audit(mg, tuple(contract)).coalesce(1))
     if verified:
         found = review.verify(found, c.make_client, c.store.table("llm_cache"), c.make_client().model)
@@ -286,18 +292,19 @@ def design_review(c: Context, force: bool = False) -> str:
     comp = Scratch(c.spark, "review").write(graph.components(nodes, edges))
     cond = graph.condensed_edges(comp, edges)
     roots = graph.roots(comp.select(F.col("component").alias("id")).distinct(), cond)
-    below = graph.reach_pairs(cond, roots.select(F.col("id").alias("src"))).select(F.col("src").alias("subtree_root"), F.col("dst").alias("component")).unionByName(roots.select(F.col("id").alias("subtree_root"), F.col("id").alias("component")))
-    members = below.join(comp, "component").groupBy("subtree_root").agg(F.slice(F.array_sort(F.collect_list("id")), 1, 80).alias("classes"))
-    todo = members if force else members.join(done.select("subtree_root"), "subtree_root", "left_anti")
-    text = F.concat(F.lit("Review the design of these classes. Reply with JSON {\"assessment\", \"recommendations\": [{\"title\", \"priority\"}]}.\nRoot: "), "subtree_root", F.lit("\nClasses:\n"), F.array_join("classes", "\n"))
-    prompts = todo.select("subtree_root", F.lit("You review the design of C++ classes.").alias("system"), text.alias("prompt"))
+    inside = graph.subtree_members(comp, cond, roots).withColumnRenamed("root", "subtree_root")
+    todo = inside if force else inside.join(done.select("subtree_root"), "subtree_root", "left_anti")
+    override = skills.find(c.skills, skills.REVIEW) if c.skills else None
+    prompts = design.subtree_prompts(todo, e, r, override)
     answers = review.ask(prompts, c.make_client, c.store.table("llm_cache"), client.model, ["subtree_root"]).filter("response IS NOT NULL").collect()
+    parsed = lambda t: json.dumps(j) if (j := review.safe_json(t)) else None
     if answers:
-        c.store.append("design_critic_subtree", [(a["subtree_root"], None, a["response"], json.dumps(review.safe_json(a["response"])) if review.safe_json(a["response"]) else None, now) for a in answers])
+        c.store.append("design_critic_subtree", [(a["subtree_root"], None, a["response"], parsed(a["response"]), now) for a in answers])
         rows = c.store.latest("design_critic_subtree", "subtree_root").orderBy("subtree_root").collect()
-        conclusion = review.synthesize(client, [(x["subtree_root"], x["raw_response"]) for x in rows])
+        prompt = design.module_prompt([(x["subtree_root"], x["parsed_json"] or x["raw_response"]) for x in rows], design.cross_relations(r, comp), override)
+        conclusion = client.generate(prompt, design.SYSTEM)
         if conclusion:
-            c.store.append("design_critic_module", [("project", None, conclusion, json.dumps(review.safe_json(conclusion)) if review.safe_json(conclusion) else None, now)])
+            c.store.append("design_critic_module", [("project", prompt, conclusion, parsed(conclusion), now)])
     return f"{len(answers)} reviews made, {done.count()} were current."
 
 

@@ -191,3 +191,36 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == sorted(map(str, key(scan.parse(scan.files(spark, root))))) and len(os.listdir(tmp_path / "rows")) >= 2
     events = spark.createDataFrame([("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:50:00", "a", 2.0), ("2024-01-01 01:00:00", "b", 3.0)], "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
     assert sorted((r["event_type"], r["n"], r["total"]) for r in incremental.event_counts(events).collect()) == [("a", 2, 3.0), ("b", 1, 3.0)]
+
+
+def test_prompts_of_the_class_review(spark, context, tmp_path):
+    from codestrata.tools import design, skills
+    from codestrata.tools.registry import show_status
+
+    e, r = context.graph()
+    inside = spark.createDataFrame([("Boat", "Boat"), ("Boat", "Tank"), ("Boat", "Motor"), ("Latin", "Latin")], "subtree_root string, id string")
+    got = {x["subtree_root"]: x["prompt"] for x in design.subtree_prompts(inside, e, r).collect()}
+    assert "  - class Boat  (b/Boat.sch:3-3)" in got["Boat"] and "  - Motor::Start  ::  void Start();" in got["Boat"] and "  - Boat  --composes-->  Tank" in got["Boat"]
+    assert "IPart" not in got["Boat"].split("Relations:")[1] and "Relations:\n  (none)" in got["Latin"]
+    os.makedirs(tmp_path / "deep")
+    (tmp_path / "deep" / "design_critic.md").write_text("{SCOPE} of {ROOT}: {FIELDS}{SUBTREES}")
+    (tmp_path / "design_critic.example.md").write_text("no")
+    mine = skills.find(str(tmp_path), skills.REVIEW)
+    assert {x["prompt"] for x in design.subtree_prompts(inside.filter("subtree_root = 'Latin'"), e, r, mine).collect()} == {"subtree of Latin:   - Latin::x  ::  int  (none)"}
+    assert design.module_prompt([("A", "fine")], [], mine) == "module of :   - A: fine" and skills.find(str(tmp_path), skills.RULES) is None
+    assert show_status(context).splitlines()[1].startswith("Shop::Car")
+
+
+def test_top_k(spark):
+    from codestrata.operators.relational import top_k
+
+    df = spark.createDataFrame([("a", i) for i in range(200)] + [("b", 1)], "k string, n int")
+    assert sorted((r["k"], r["n"]) for r in top_k(df, ["k"], [F.desc("n")], 3).collect()) == [("a", 197), ("a", 198), ("a", 199), ("b", 1)]
+
+
+def test_responsibility_tree(spark):
+    from codestrata.operators.graph import responsibility_tree
+
+    tree = spark.createDataFrame([("r", "a", "r"), ("r", "b", "r"), ("r", "c", "b"), ("r", "d", "c"), ("r", "e", "d")], "root string, id string, parent string")
+    got = {r["id"]: (r["depth"], r["place"], r["weight"], r["truncated"]) for r in responsibility_tree(tree, 2).collect()}
+    assert got == {"b": (1, 1, 4, False), "a": (1, 2, 1, False), "c": (2, 1, 3, True)}
