@@ -28,6 +28,7 @@ train; an empty table gives no rows. Only the id, text and training flag are rea
 
 from __future__ import annotations
 
+import ctypes
 import random
 from collections.abc import Iterator
 
@@ -62,6 +63,15 @@ def _get(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).reshape(-1)
 
 
+def _trim() -> None:
+    """Give freed memory back: an idle worker keeps what its last batch took, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 def _rows(out: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(out, schema)
 
@@ -97,7 +107,6 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = t["id"].chunk(0)
         valid = ids.is_valid().to_numpy(zero_copy_only=False)
         flags = t["train"].chunk(0).to_numpy(zero_copy_only=False).astype(np.uint8) | (valid.astype(np.uint8) << 1)
-        pa.default_memory_pool().release_unused()
         return _rows([{"batch": random.getrandbits(62), "ids": _put(ids.fill_null(0).to_numpy()), "train": _put(flags), "lengths": _put((count + 1).astype(np.int64)), "tokens": _put(tokens), "keys": _put(keys)}], BATCH_ARROW)
 
     for b in batches:
@@ -106,8 +115,10 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if size >= BATCH_BYTES:
             yield flush()
             held, size = [], 0
+            _trim()
     if sum(len(b) for b in held):
         yield flush()
+    _trim()
 
 
 def _training(row: dict, tokens: np.ndarray) -> np.ndarray:
@@ -240,6 +251,8 @@ class Corpus:
         for r, c in zip(rows, counts):
             out.append({"shard": r["shard"], "batch": r["batch"], "answer": _put(code[place[at : at + len(c)]]), "tokens": 0, "distinct": 0, "once": 0})
             at += len(c)
+        del code, place, pair, first, total, level, single, logp, rank, successor
+        _trim()
         return pa.Table.from_pylist(out, ANSWER_ARROW)
 
     def scores(self, row: dict, token_answers: list[dict], pair_answers: list[dict]) -> dict[str, np.ndarray]:
@@ -283,11 +296,13 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
         for b in rows:
             for r in b.to_pylist():
                 yield _rows(corpus.ask(r, r["totals"]), SHARD_ARROW)
+                _trim()
 
     def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             for r in b.to_pylist():
                 yield pa.RecordBatch.from_pydict(corpus.scores(r, r["totals"], r["pairs"]))
+                _trim()
 
     pairs = known.mapInArrow(ask, SHARD).groupBy("shard").applyInArrow(lambda table: corpus.answer(table), ANSWER)
     kind = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
