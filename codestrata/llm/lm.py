@@ -304,6 +304,7 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_pydict(corpus.scores(r, r["totals"], r["pairs"]))
                 _trim()
 
-    pairs = known.mapInArrow(ask, SHARD).groupBy("shard").applyInArrow(lambda table: corpus.answer(table), ANSWER)
+    # Written, as then what the bigrams were shuffled through can go before the last join.
+    pairs = scratch.write(known.mapInArrow(ask, SHARD).groupBy("shard").applyInArrow(lambda table: corpus.answer(table), ANSWER).select("shard", "batch", "answer"))
     kind = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return known.join(answers(pairs, "pairs"), "batch").mapInArrow(finish, kind).withColumnRenamed("id", id_col)
