@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 # Kinds in order of strength, edge weights and cut costs.
 ENTITY_KINDS = ("namespace", "class", "struct", "interface", "enum", "method", "field")
 CLASS_KINDS = ("class", "struct", "interface")
-RELATION_KINDS = ("depends", "associates", "aggregates", "composes", "implements", "inherits")
-LEVEL = {"depends": 0, "associates": 1, "aggregates": 2, "composes": 3, "implements": 4, "inherits": 5}
-WEIGHT = {"inherits": 1.0, "implements": 1.0, "composes": 0.8, "aggregates": 0.7, "associates": 0.6, "depends": 0.3}
+RELATION_KINDS = ("depends", "associates", "implements", "aggregates", "composes", "inherits")
+LEVEL = {"depends": 0, "associates": 1, "implements": 2, "aggregates": 3, "composes": 4, "inherits": 5}
+WEIGHT = {"inherits": 1.0, "composes": 1.0, "aggregates": 0.8, "implements": 0.7, "associates": 0.6, "depends": 0.3}
+#: Which kind stands for a pair that has several, first to last; and the kinds that tie classes together.
+PRIMARY = ("inherits", "implements", "composes", "aggregates", "associates", "depends")
+STRUCTURAL = ("inherits", "implements", "composes", "aggregates")
 DEFAULT_WEIGHT = 0.3
 CUT_COST = {"inherits": 3.0, "implements": 2.0, "composes": 2.0, "aggregates": 1.5, "associates": 1.0, "depends": 1.0}
 DEFAULT_CUT_COST = 1.0
@@ -40,6 +43,12 @@ def kinds_by_strength(kinds: Column) -> Column:
     return F.transform(F.array_sort(ranked), lambda s: s["k"])
 
 
+def primary_kind(kinds: Column) -> Column:
+    """The kind that stands for an array of kinds."""
+    order = {k: i for i, k in enumerate(PRIMARY)}
+    return F.array_min(F.transform(kinds, lambda k: F.struct(_mapped(k, order, len(order)).alias("o"), k.alias("k"))))["k"]
+
+
 def checked_kind(kind: Column, allowed: tuple[str, ...]) -> Column:
     """The kind, or an error that names one that is not allowed."""
     return F.when(kind.isin(*allowed), kind).otherwise(F.raise_error(F.concat(F.lit("unknown kind: "), F.coalesce(kind, F.lit("null")))))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 VENDORED = ("bundled", "third_party", "thirdparty", "external", "vendor", "deps", "_deps")
 # Names that say nothing about the design of a code base.
 NOISE_PREFIXES = ("JA_", "SFRES_", "SPP", "SM_")
-NOISE_WRAPPERS = ("Handle", "shared_ptr", "unique_ptr", "weak_ptr", "vector", "map", "set", "list", "string")
+NOISE_WRAPPERS = ("vector", "list", "map", "set", "unordered_map", "unordered_set", "array", "deque", "SharedPtr", "shared_ptr", "unique_ptr", "weak_ptr", "ScopedSMArray", "ScopedSMString", "pair", "tuple")
+NOISE_NAMES = ("tag_t", "logical", "Vint", "Vfloat", "Vdouble")
 
 
 def last_segment(qname: Column) -> Column:
@@ -78,12 +79,13 @@ def is_noise_external(name: Column) -> Column:
     prefixed = F.lit(False)
     for p in NOISE_PREFIXES:
         prefixed = prefixed | name.startswith(p)
-    return name.rlike(r"[<>*, ]") | prefixed | name.rlike(r"(_t|_type)$") | ((F.upper(name) == name) & name.rlike("[A-Z]")) | name.isin(*NOISE_WRAPPERS)
+    empty = F.coalesce(name, F.lit("")) == ""
+    return empty | name.rlike(r"[<>*, ]") | prefixed | name.rlike(r"(_t|_type)$") | ((F.upper(name) == name) & name.rlike("[A-Z]")) | name.isin(*NOISE_WRAPPERS, *NOISE_NAMES)
 
 
 def is_pure_virtual(signature: Column) -> Column:
     """`= 0` after the parameters and no body."""
-    return F.coalesce(signature.rlike(r"\)[^)]*=\s*0\s*;?\s*$") & ~signature.contains("{"), F.lit(False))
+    return F.coalesce(signature.rlike(r"\)\s*(?:const|noexcept|override|final|&|\s)*=\s*0\s*;?\s*$") & ~signature.contains("{"), F.lit(False))
 
 
 def decoded(content: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.functions.kinds import kinds_by_strength, level_of, weight_of
+from codestrata.functions.kinds import STRUCTURAL, kinds_by_strength, level_of, primary_kind, weight_of
 from codestrata.session import Scratch
 
 IS_A = ("inherits", "implements")
@@ -179,11 +179,11 @@ def crtp_scores(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return degrees(nodes, edges).join(reach_counts(nodes, turned), "id").select("id", "out_w", "in_w", "reach", (F.col("in_w") + 0.5 * F.col("reach") - 0.8 * F.col("out_w")).alias("score"))
 
 
-def style(entities: DataFrame, relationships: DataFrame) -> DataFrame:
+def style(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: classes, abstractions (interfaces and abstract classes), is-a edges, ratio, style."""
     abstract = (F.col("kind") == "interface") | F.coalesce(F.col("abstract"), F.lit(False)) if "abstract" in entities.columns else F.col("kind") == "interface"
     e = entities.filter(F.col("kind").isin("class", "struct", "interface")).agg(F.count(F.lit(1)).alias("classes"), F.count_if(abstract).alias("abstractions"))
-    r = relationships.agg(F.count_if(F.col("kind").isin(*IS_A)).alias("is_a"))
+    r = edges.agg(F.count_if(F.arrays_overlap("kinds", F.array(*[F.lit(k) for k in IS_A]))).alias("is_a"))
     both = e.join(F.broadcast(r), how="cross")  # one row each
     ratio = F.coalesce(F.col("abstractions") / F.nullif("classes", F.lit(0)), F.lit(0.0))
     named = F.when((F.col("classes") < 50) | (F.col("is_a") < 20), "oop").when(ratio < 0.02, "crtp").when(ratio < 0.05, "mixed").otherwise("oop")
@@ -309,7 +309,7 @@ def pair_edges(relationships: DataFrame) -> DataFrame:
     """One row for each ordered pair: the primary kind, all kinds strongest first, level, whether structural, and the ordered evidence lines."""
     kinds = kinds_by_strength(F.collect_set("kind"))
     out = relationships.groupBy("src", "dst").agg(kinds.alias("kinds"), F.max(level_of(F.col("kind"))).alias("level"), F.array_sort(F.collect_list(F.struct("kind", "evidence_line"))).alias("evidence"))
-    return out.withColumn("primary_kind", F.get("kinds", F.lit(0))).withColumn("structural", F.exists("kinds", lambda k: k != "depends"))
+    return out.withColumn("primary_kind", primary_kind(F.col("kinds"))).withColumn("structural", F.exists("kinds", lambda k: k.isin(*STRUCTURAL)))
 
 
 def visible_roots(nodes: DataFrame, edges: DataFrame, limit: int = 25) -> DataFrame:

@@ -25,11 +25,11 @@ def common_prefix(paths: DataFrame, segments: Column) -> list[str]:
 
 
 def by_folder(classes: DataFrame) -> DataFrame:
-    """(id columns, module): the directory relative to that all share, if there are several directories; `(root)` where nothing remains."""
+    """(id columns, module): the directory relative to what all share, where more than one class has a directory; `(root)` where nothing remains."""
     d = dirname(F.col("file_path"))
     full = classes.withColumn("__d", F.coalesce(d, F.lit("")))
-    dirs = full.filter("__d <> ''").select("__d").distinct()
-    skip = len(common_prefix(dirs, F.split("__d", "/"))) if dirs.limit(2).count() > 1 else 0
+    placed = full.filter("__d <> ''").select("__d")
+    skip = len(common_prefix(placed.distinct(), F.split("__d", "/"))) if placed.limit(2).count() > 1 else 0
     rel = F.array_join(F.slice(F.split("__d", "/"), skip + 1, 1 << 20), "/")
     return full.withColumn("module", F.when(rel.isin("", "."), ROOT).otherwise(rel)).drop("__d")
 

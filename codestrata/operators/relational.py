@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions.kinds import CLASS_KINDS
 from codestrata.functions.text import last_segment
 
-MAX_ALIAS_DEPTH = 8
+MAX_ALIAS_DEPTH = 9
 
 
 # -- keyed tables --------------------------------------------------------------
@@ -79,15 +81,16 @@ def chase_aliases(aliases: DataFrame, max_depth: int = MAX_ALIAS_DEPTH) -> DataF
     """(alias, target, kind, depth): the end of each alias's chain of (alias, target, kind).
 
     The kind is the first on the way that is not null, so the outermost wrapper wins.
-    Chains longer than `max_depth`, cycles among them, are left out. Each step is one
+    Chains that end in a null target, or are longer than `max_depth`, cycles among them,
+    are left out. Each step is one
     join with the alias table, which is unique in alias.
     """
     step = aliases.select(F.col("alias").alias("target"), F.col("target").alias("__next"), F.col("kind").alias("__kind"))
-    open_ = aliases.select("alias", "target", "kind").withColumn("depth", F.lit(1))
+    open_ = aliases.filter("target IS NOT NULL").select("alias", "target", "kind").withColumn("depth", F.lit(1))
     ended = None
     for _ in range(max_depth):
-        joined = open_.join(step, "target", "left")
-        end = joined.filter("__next IS NULL").select("alias", "target", "kind", "depth")
+        joined = open_.join(step.withColumn("__is", F.lit(True)), "target", "left")
+        end = joined.filter("__is IS NULL").select("alias", "target", "kind", "depth")
         ended = end if ended is None else ended.unionByName(end)
         open_ = joined.filter("__next IS NOT NULL").select("alias", F.col("__next").alias("target"), F.coalesce("kind", "__kind").alias("kind"), (F.col("depth") + 1).alias("depth"))
     return ended
@@ -165,19 +168,29 @@ def dedup_entities(entities: DataFrame, order: list[Column]) -> DataFrame:
 
 # -- look-ups ------------------------------------------------------------------
 def resolve_tiered(classes: DataFrame, query: str) -> DataFrame:
-    """Classes that a loosely written name means: exact, else by trailing segment, else as a part; case does not count. All of the best tier, with its number."""
-    q, name = F.lower(F.lit(query)), F.lower("qualified_name")
-    tail = F.element_at(F.split(q, "::"), -1)
-    short = F.element_at(F.split(name, "::"), -1)
-    tier = F.when(name == q, 1).when((short == tail) | (F.element_at(F.split(short, "_"), -1) == tail) | name.endswith(F.concat(F.lit("::"), q)), 2).when(name.contains(q), 3)
+    """Classes that a loosely written name means, with the number of the best tier that any reaches; case does not count.
+
+    1: the whole name. 2: the query's segments, parted by `::` or also by `_`, are the
+    last segments of the name. 3: the query is a part of the name, `::` and `_` alike.
+    """
+    low = query.strip().lower()
+    name = F.lower("qualified_name")
+    segments, tail = F.split(name, "::"), F.lit(False)
+    for pattern in (r"::|_", r"::"):
+        wanted = [p for p in re.split(pattern, low) if p]
+        if wanted:
+            n = len(wanted)
+            tail = tail | ((F.size(segments) >= n) & (F.slice(segments, F.greatest(F.size(segments) - n + 1, F.lit(1)), n) == F.array(*[F.lit(w) for w in wanted])))
+    part = F.replace(name, F.lit("::"), F.lit("_")).contains(low.replace("::", "_"))
+    tier = F.when(F.lit(low == ""), None).when(name == low, 1).when(tail, 2).when(part, 3)
     hits = classes.withColumn("tier", tier).filter("tier IS NOT NULL")
     return hits.join(F.broadcast(hits.agg(F.min("tier").alias("tier"))), "tier")
 
 
 def resolve_file(files: DataFrame, query: str, path: str = "file_path") -> DataFrame:
-    """Files by base name, else by the end of the path, else by a part of it."""
-    p = F.col(path)
-    tier = F.when(F.element_at(F.split(p, "/"), -1) == query, 1).when(p.endswith(query), 2).when(p.contains(query), 3)
+    """Files by base name, else by the end of the path, else by a part of it; case does not count."""
+    p, q = F.lower(path), query.lower()
+    tier = F.when(F.element_at(F.split(p, "/"), -1) == q, 1).when(p.endswith(q), 2).when(p.contains(q), 3)
     hits = files.withColumn("tier", tier).filter("tier IS NOT NULL")
     return hits.join(F.broadcast(hits.agg(F.min("tier").alias("tier"))), "tier")
 

@@ -23,8 +23,9 @@ REL = """rel AS (
   FROM lineitem WHERE l_quantity >= 45
   UNION ALL SELECT l_partkey, CAST(floor(l_partkey / 3) AS BIGINT), 'associates', CAST(l_orderkey % 500 + 1 AS BIGINT) FROM lineitem WHERE l_quantity = 44
   UNION ALL SELECT CAST(floor(l_partkey / 2) AS BIGINT), l_partkey, 'depends', CAST(l_orderkey % 500 + 1 AS BIGINT) FROM lineitem WHERE l_quantity = 50 AND l_discount >= 0.09)"""
-LEVEL = "CASE {k} WHEN 'depends' THEN 0 WHEN 'associates' THEN 1 WHEN 'aggregates' THEN 2 WHEN 'composes' THEN 3 WHEN 'implements' THEN 4 WHEN 'inherits' THEN 5 ELSE -1 END"
-WEIGHT = "CAST(CASE {k} WHEN 'inherits' THEN 1.0 WHEN 'implements' THEN 1.0 WHEN 'composes' THEN 0.8 WHEN 'aggregates' THEN 0.7 WHEN 'associates' THEN 0.6 ELSE 0.3 END AS DOUBLE)"
+LEVEL = "CASE {k} WHEN 'depends' THEN 0 WHEN 'associates' THEN 1 WHEN 'implements' THEN 2 WHEN 'aggregates' THEN 3 WHEN 'composes' THEN 4 WHEN 'inherits' THEN 5 ELSE -1 END"
+PRIMARY = "CASE {k} WHEN 'inherits' THEN 5 WHEN 'implements' THEN 4 WHEN 'composes' THEN 3 WHEN 'aggregates' THEN 2 WHEN 'associates' THEN 1 ELSE 0 END"
+WEIGHT = "CAST(CASE {k} WHEN 'inherits' THEN 1.0 WHEN 'composes' THEN 1.0 WHEN 'aggregates' THEN 0.8 WHEN 'implements' THEN 0.7 WHEN 'associates' THEN 0.6 ELSE 0.3 END AS DOUBLE)"
 COST = "CAST(CASE {k} WHEN 'inherits' THEN 3.0 WHEN 'implements' THEN 2.0 WHEN 'composes' THEN 2.0 WHEN 'aggregates' THEN 1.5 ELSE 1.0 END AS DOUBLE)"
 INTERNAL = "internal AS (SELECT * FROM rel WHERE dst IS NOT NULL AND src <> dst AND src IN (SELECT id FROM ent) AND dst IN (SELECT id FROM ent))"
 EDGE = f"""edge AS (

@@ -53,7 +53,7 @@ def edge_collapse(spark: SparkSession, d: str) -> DataFrame:
     return _edges(spark, d).withColumn("kinds", F.array_join("kinds", ","))
 
 
-@query(f"WITH {A.GRAPH} SELECT src, dst, arg_max(kind, {A.LEVEL.format(k='kind')}) AS primary_kind, max({A.LEVEL.format(k='kind')}) AS level, bool_or(kind <> 'depends') AS structural, count(*) AS evidence_count, min(evidence_line) AS first_line FROM internal GROUP BY src, dst")
+@query(f"WITH {A.GRAPH} SELECT src, dst, arg_max(kind, {A.PRIMARY.format(k='kind')}) AS primary_kind, max({A.LEVEL.format(k='kind')}) AS level, bool_or(kind IN ('inherits', 'implements', 'composes', 'aggregates')) AS structural, count(*) AS evidence_count, min(evidence_line) AS first_line FROM internal GROUP BY src, dst")
 def edge_kinds_primary(spark, d):
     return graph.pair_edges(_internal(spark, d)).select("src", "dst", "primary_kind", "level", "structural", F.size("evidence").cast("long").alias("evidence_count"), F.array_min(F.transform("evidence", lambda e: e["evidence_line"])).alias("first_line"))
 
@@ -179,10 +179,10 @@ def condensed_labels(spark, d):
 
 
 @query(
-    f"WITH {A.ENT}, {A.REL} SELECT (SELECT count(*) FROM ent) AS classes, (SELECT count(*) FROM ent WHERE kind = 'interface') AS abstractions, (SELECT count(*) FROM rel WHERE kind IN ('inherits', 'implements')) AS is_a, (SELECT round(avg(CASE WHEN kind = 'interface' THEN 1.0 ELSE 0.0 END), 9) FROM ent) AS ratio, 'oop' AS style"
+    f"WITH {A.GRAPH} SELECT (SELECT count(*) FROM ent) AS classes, (SELECT count(*) FROM ent WHERE kind = 'interface') AS abstractions, (SELECT count(*) FROM edge WHERE list_has_any(kinds, ['inherits', 'implements'])) AS is_a, (SELECT round(avg(CASE WHEN kind = 'interface' THEN 1.0 ELSE 0.0 END), 9) FROM ent) AS ratio, 'oop' AS style"
 )
 def style_detect(spark, d):
-    return graph.style(A.entities(spark, d), A.relationships(spark, d)).withColumn("ratio", F.round("ratio", 9))
+    return graph.style(A.entities(spark, d), _edges(spark, d)).withColumn("ratio", F.round("ratio", 9))
 
 
 PARENT = "par AS (SELECT src AS id, min(struct_pack(l := evidence_line, p := dst)).p AS parent FROM internal WHERE kind IN ('inherits', 'implements') GROUP BY src)"

@@ -66,3 +66,10 @@ def classify_field(expression: str) -> tuple[str, str] | None:
         return None
     core = innermost_name(expression)
     return (wrapper_kind(expression) or "composes", core) if core else None
+
+
+def alias_kind(text: str) -> str | None:
+    """The kind that an alias's text implies for what is declared with it; None for a bare name, which says nothing."""
+    bare = "<" not in text and "&" not in text and not text.rstrip().endswith("*")
+    found = None if bare else classify_field(text)
+    return found[0] if found else None

@@ -100,7 +100,7 @@ def scan_source(c: Context, directory: str = "", force: bool = False) -> str:
     s = found.statistics.first().asDict()
     nodes = report.class_nodes(found.entities)
     edges = graph.build_graph(nodes, found.relationships.select(F.col("source_qname").alias("src"), F.col("target_qname").alias("dst"), "kind"))
-    style = graph.style(found.entities, found.relationships).first()["style"]
+    style = graph.style(found.entities, edges).first()["style"]
     scored = graph.crtp_scores(nodes, edges) if style == "crtp" else graph.oop_scores(nodes, edges)
     top = scored.orderBy(F.desc("score"), "id").first()
     classes = s["class_count"] + s["struct_count"] + s["interface_count"]
@@ -170,23 +170,33 @@ def describe_class(c: Context, name: str) -> str:
 
 @tool
 def get_source(c: Context, name: str = "", file: str = "", start: int = 0, end: int = 0) -> str:
-    """Numbered source lines of a class, a method, or a part of a file."""
+    """Numbered source lines of a class, of a method (its longest form), or of a file or a part of it; at most 300."""
     e = c.graph()[0]
     if name:
-        hits = relational.resolve_tiered(e.filter(F.col("kind").isin(*CLASS_KINDS, "method") & ~F.coalesce("phantom", F.lit(False))), name)
-        span = hits.orderBy(F.desc(F.col("end_line") - F.col("start_line")), "qualified_name", "file_path").first()
+        owner, _, member = name.rpartition("::")
+        found = _resolve(c, name)
+        rows = e.filter(F.col("kind").isin(*CLASS_KINDS) & F.col("qualified_name").isin(found[:1]))
+        if not found and owner:
+            found = _resolve(c, owner)
+            rows = e.filter((F.col("kind") == "method") & F.col("parent_qname").isin(found[:1]) & (F.lower("name") == member.lower()))
+        if len(found) > 1:
+            return f"{name} is ambiguous: " + ", ".join(found)
+        span = rows.filter("start_line > 0").orderBy(F.desc(F.col("end_line") - F.col("start_line")), "qualified_name", "file_path").first() if found else None
         if span is None:
-            return f"Nothing matches {name}."
-        file, start, end = span["file_path"], start or span["start_line"], end or span["end_line"]
-    paths = relational.resolve_file(e.select("file_path").distinct(), file) if file else None
-    found = paths.orderBy("file_path").first() if paths is not None else None
-    if found is None:
-        return "No such file."
+            return f"No source of {name} is in scope."
+        path, start, end = span["file_path"], start or span["start_line"], end or span["end_line"]
+    elif file:
+        paths = sorted(r["file_path"] for r in relational.resolve_file(e.select("file_path").distinct(), file).limit(50).collect())
+        if len(paths) != 1:
+            return "Several files match: " + ", ".join(paths) if paths else f"No scanned file matches {file}."
+        path = paths[0]
+    else:
+        return "Give a name or a file."
     start = max(1, start)
-    end = min(end or start + MAX_LINES - 1, start + MAX_LINES - 1)
-    text = scan.files(c.spark, c.root, False).filter(F.col("file_path") == found["file_path"]).select("file_path", "text")
+    end = min(end if end >= start else start + MAX_LINES - 1, start + MAX_LINES - 1)
+    text = scan.files(c.spark, c.root, False).filter(F.col("file_path") == path).select("file_path", "text")
     lines = relational.source_lines(text, "text", start, end).orderBy("line_no").collect()
-    return "\n".join([found["file_path"], *[f"{r['line_no']:5d} {r['line']}" for r in lines]])
+    return "\n".join([path, *[f"{r['line_no']:5d} {r['line']}" for r in lines]])
 
 
 def _module_graph(c: Context, strategy: str, groups: list | None) -> tuple[rules.ModuleGraph, DataFrame, str]:
@@ -337,7 +347,8 @@ def generate_report(c: Context, path: str = "report.html") -> str:
     e, r = c.graph()
     audit = c.store.table("arch_audit").orderBy(F.desc("id")).first()
     reviews = {x["module_name"]: x["parsed_json"] for x in c.store.latest("arch_module_review", "module_name").collect()}
-    page = report.render(report.build_payload(e, r, json.loads(audit["payload_json"]) if audit else audit_payload(c), reviews))
+    info = c.store.latest("module_info", "module_name").orderBy(F.desc("id")).first()
+    page = report.render(report.build_payload(e, r, json.loads(audit["payload_json"]) if audit else audit_payload(c), reviews, info["orchestrator"] if info else None))
     with open(path, "w", encoding="utf-8") as f:
         f.write(page)
     return f"Wrote {path}."

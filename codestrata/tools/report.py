@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.functions.kinds import CLASS_KINDS
+from codestrata.functions.kinds import CLASS_KINDS, level_of
 from codestrata.operators import graph
 from codestrata.session import Scratch
 from codestrata.tools.review import by_priority, safe_json
@@ -31,8 +31,6 @@ def forest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     tree = graph.immediate_dominators(cond, roots)
     first = tree.groupBy("id").agg(F.min_by(F.struct("root", "parent"), "root").alias("m")).select("id", "m.root", "m.parent")
     strongest = edges.join(comp.select(F.col("id").alias("src"), F.col("component").alias("parent")), "src").join(comp.select(F.col("id").alias("dst"), F.col("component").alias("child")), "dst").filter("parent <> child")
-    from codestrata.functions.kinds import level_of
-
     kinds = strongest.select("parent", "child", F.explode("kinds").alias("k")).groupBy("parent", F.col("child").alias("id")).agg(F.max_by("k", level_of(F.col("k"))).alias("kind"))
     rooted = roots.select("id", F.col("id").alias("root"), F.lit(None).cast("string").alias("parent"))
     return rooted.unionByName(first.select("id", "root", "parent")).join(kinds, ["parent", "id"], "left").select("root", "id", "parent", F.when(F.col("parent").isNotNull(), F.coalesce("kind", F.lit("dominates"))).alias("kind"))
@@ -46,7 +44,17 @@ def pair_payload(relationships: DataFrame, nodes: DataFrame, keep: int = 8) -> D
     return pairs.withColumn("evidence", F.slice(F.transform("evidence", lambda e: F.concat(e["kind"], F.lit(" "), e["evidence_line"])), 1, keep))
 
 
-def build_payload(entities: DataFrame, relationships: DataFrame, audit: dict | None = None, reviews: dict[str, str] | None = None) -> dict:
+def folded_forest(nodes: DataFrame, edges: DataFrame, relationships: DataFrame, orchestrator: str | None = None) -> DataFrame:
+    """The forest after leaf subclasses of families are folded into their base, the orchestrator kept apart; `impls` names what a node stands for besides itself."""
+    rel = relationships.select(F.col("source_qname").alias("src"), F.col("target_qname").alias("dst"), "kind", "evidence_file", "evidence_line")
+    parent = graph.parents(graph.internal_edges(rel, nodes), [F.col("evidence_file"), F.col("evidence_line"), F.col("dst")])
+    rep = Scratch(nodes.sparkSession, "fold").write(graph.representatives(nodes, parent, "leaves", (orchestrator,) if orchestrator else ()))
+    members, folded = graph.fold(edges, rep)
+    impls = members.select("id", F.transform(F.array_except("members", F.array("id")), lambda m: F.element_at(F.split(m, "::"), -1)).alias("impls"))
+    return forest(members.select("id"), folded).join(impls, "id").select("root", "id", "parent", "kind", "impls")
+
+
+def build_payload(entities: DataFrame, relationships: DataFrame, audit: dict | None = None, reviews: dict[str, str] | None = None, orchestrator: str | None = None) -> dict:
     """summary, graph, arch, arch_graph and review."""
     nodes = class_nodes(entities)
     pairs = pair_payload(relationships, nodes)
@@ -57,7 +65,7 @@ def build_payload(entities: DataFrame, relationships: DataFrame, audit: dict | N
     shown = nodes.join(fan_in, "id", "left").join(util, "id").fillna(0, ["fan_in"]).orderBy(F.desc("fan_in"), "id").limit(SHOWN).collect()
     ids = {r["id"] for r in shown}
     links = [r.asDict(recursive=True) for r in pairs.orderBy("src", "dst").collect() if r["src"] in ids and r["dst"] in ids]
-    tree = [r.asDict() for r in forest(nodes, edges).orderBy("root", "id").collect() if r["id"] in ids]
+    tree = [r.asDict() for r in folded_forest(nodes, edges, relationships, orchestrator).orderBy("root", "id").collect() if r["id"] in ids]
     review = [{"module": m, **(safe_json(t) or {"assessment": t})} for m, t in sorted((reviews or {}).items())]
     return {
         "summary": {"classes": nodes.count(), "relationships": relationships.count(), "shown": len(shown)},
@@ -82,7 +90,7 @@ const focus = id => { const out = D.graph.edges.filter(e => e.src === id), into
 const link = id => { const td = el('td'), a = el('a', id); a.href = '#'; a.onclick = () => { focus(id); return false }; td.append(a); return td }
 const views = {
   Classes: () => table(['class', 'kind', 'file', 'fan-in', 'utility'], D.graph.nodes.map(n => [link(n.id), n.kind, n.file_path, n.fan_in, n.utility ? 'yes' : ''])),
-  Workflow: () => { const kids = {}; D.arch.forEach(r => (kids[r.parent || ''] ||= []).push(r)); const grow = (p, seen) => { const u = el('ul'); (kids[p] || []).forEach(r => { if (seen.has(r.id)) return; const li = el('li', (r.kind ? glyph[r.kind] + ' ' : '') + r.id); li.append(grow(r.id, new Set([...seen, r.id]))); u.append(li) }); return u }; return grow('', new Set()) },
+  Workflow: () => { const kids = {}; D.arch.forEach(r => (kids[r.parent || ''] ||= []).push(r)); const grow = (p, seen) => { const u = el('ul'); (kids[p] || []).forEach(r => { if (seen.has(r.id)) return; const li = el('li', (r.kind ? glyph[r.kind] + ' ' : '') + r.id + (r.impls.length ? ' (+' + r.impls.join(', ') + ')' : '')); li.append(grow(r.id, new Set([...seen, r.id]))); u.append(li) }); return u }; return grow('', new Set()) },
   Modules: () => { const d = el('div'); d.append(table(['module', 'size', 'in', 'out', 'in cycle', 'god'], D.arch_graph.nodes.map(n => [n.id, n.size, n.in_degree, n.out_degree, n.in_cycle ? 'yes' : '', n.is_god ? 'yes' : ''])), el('h3', 'dependencies'), table(['from', 'to', 'references', 'kinds'], D.arch_graph.edges.map(e => [e.src, e.dst, e.weight, e.kinds.join(', ')]))); return d },
   Findings: () => { const d = el('div'); D.arch_graph.findings.forEach(f => { d.append(el('h3', f.title, f.severity), el('p', f.detail), el('pre', f.evidence.join('\\n'))) }); D.arch_graph.plans.forEach(p => d.append(el('h3', 'Plan: ' + p.members.join(', ')), el('pre', p.cuts.map(c => c.src + ' -> ' + c.dst + ': ' + c.prescription).join('\\n')))); return d },
   Review: () => { const d = el('div'); D.review.forEach(r => d.append(el('h3', r.module, r.priority), el('p', r.assessment), el('p', r.recommendation))); return d },

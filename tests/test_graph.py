@@ -97,7 +97,7 @@ def test_representatives_and_folding(spark):
 def test_crtp_library(spark):
     ents = spark.createDataFrame([(i, "class") for i in range(60)], "id long, kind string")
     rel = spark.createDataFrame([(i, 0, "inherits") for i in range(1, 60)], "src long, dst long, kind string")
-    assert graph.style(ents, rel).first()["style"] == "crtp"
+    assert graph.style(ents, graph.build_graph(ents, rel)).first()["style"] == "crtp"
     assert graph.crtp_scores(ents, graph.build_graph(ents, rel)).orderBy(F.desc("score")).first()["id"] == 0
 
 
@@ -190,6 +190,8 @@ def test_grouping(spark):
     df = spark.createDataFrame(rows, "file_path string, qualified_name string")
     by = lambda d: {r["qualified_name"]: r["module"] for r in d.collect()}
     assert by(modules.by_folder(df)) == {"N::A::X": "a", "N::A::Y": "a", "N::B::Z": "b/c", "N::W": "(root)", "V": "(root)"}
+    assert set(by(modules.by_folder(df.filter("file_path LIKE 'src/a/%'"))).values()) == {"(root)"}
+    assert by(modules.by_folder(df.filter("qualified_name = 'N::B::Z'"))) == {"N::B::Z": "src/b/c"}
     assert by(modules.by_namespace(df)) == {"N::A::X": "A", "N::A::Y": "A", "N::B::Z": "B", "N::W": "N", "V": "(root)"}
     assert by(modules.by_groups(df, [("as", ["src/a/*"]), ("late", ["*"])]))["N::A::X"] == "as"
     assert by(modules.by_groups(df, [("zs", ["*Z"])])) == {"N::A::X": "(unassigned)", "N::A::Y": "(unassigned)", "N::B::Z": "zs", "N::W": "(unassigned)", "V": "(unassigned)"}

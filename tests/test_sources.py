@@ -104,12 +104,11 @@ def test_phantom_merges_into_its_namespaced_class(spark, tmp_path):
     found = {(r["kind"], r["qualified_name"], r["phantom"]) for r in g.entities.collect()}
     assert ("class", "ui::Widget", False) in found and ("class", "Lone", True) in found
     assert not any(q == "Widget" for _, q, _ in found)
-    assert {q for k, q, _ in found if k == "method"} == {"ui::Widget::draw", "Lone::f"}
+    assert {q for k, q, _ in found if k == "method"} == {"ui::Widget::draw", "Lone::f"} and g.entities.filter("name = 'draw'").first()["parent_qname"] == "ui::Widget"
 
 
 def test_alias_chains(spark, tmp_path):
     files = {"s/a.hxx": "class T { };\nusing P = std::shared_ptr<T>;\nusing Q = P;\nusing R = Q;\nusing Loop = Pool;\nusing Pool = Loop;\nusing N = int;\nclass U { R r; std::vector<Q> v; Loop l; N n; };\n"}
     g = scan.scan(spark, tree.make(tmp_path / "al", files))
     got = {(r["kind"], r["target_name"], r["target_qname"]) for r in g.relationships.filter(F.col("source_qname") == "U").collect()}
-    assert ("associates", "T", "T") in got and ("aggregates", "T", "T") in got
-    assert ("composes", "Loop", None) in got and not any(t == "N" and q for _, t, q in got)
+    assert got == {("associates", "T", "T")}  # the wrapper behind an alias decides; aliases of no class and endless ones are dropped

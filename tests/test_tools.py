@@ -41,7 +41,9 @@ def test_tools_on_a_tree(context):
     assert "Tank --associates--> Motor (Tank.hpp:3)" in run_tool(context, "get_relationships", {"class_qname": "Motor", "direction": "incoming"})
     source = run_tool(context, "get_source", {"name": "Shop::Box"})
     assert source.splitlines()[0] == "a/Car.hxx" and source.endswith("   11 struct Box { int n; };")
-    assert "    3 " in run_tool(context, "get_source", {"file": "Boat.sch", "start": 3, "end": 3})
+    assert "    3 class Boat {" in run_tool(context, "get_source", {"file": "boat.SCH", "start": 3, "end": 3})
+    assert "   15     Motor& engine" in run_tool(context, "get_source", {"name": "car::engine"})
+    assert "ambiguous" in run_tool(context, "get_source", {"name": "handler"}) and "Several files" in run_tool(context, "get_source", {"file": "a/"}) and "No source" in run_tool(context, "get_source", {"name": "zzz::q"})
 
 
 def test_sql_is_read_only(context):
@@ -63,7 +65,9 @@ def test_audit_plan_report(context, tmp_path):
     page = open(path).read()
     payload = json.loads(page.split('type="application/json">')[1].split("</script>")[0])
     assert set(payload) == {"summary", "graph", "arch", "arch_graph", "review"} and payload["summary"]["classes"] == 10
-    assert {n["id"] for n in payload["graph"]["nodes"]} == {r["id"] for r in payload["arch"]}
+    arch = {r["id"]: r for r in payload["arch"]}
+    assert {n["id"] for n in payload["graph"]["nodes"]} == set(arch) | {"Boat"} and arch["Shop::IPart"]["impls"] == ["Boat"]  # Shop::Car is the orchestrator and stays
+    assert arch["Motor"]["parent"] in arch and arch["Shop::Car"]["parent"] is None
     assert all(n["visible"] for n in payload["graph"]["nodes"])
 
 
