@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codestrata.llm.text import bounded_batches
+from codestrata.llm.text import bounded_batches, release_memory
 
 ORDER = 3
 PER_LANGUAGE = 300
@@ -174,6 +174,7 @@ class LanguageModel:
         @F.arrow_udf(RESULT)
         def predict(texts: pa.Array) -> pa.Array:
             names, scores = self.predict(texts)
+            release_memory()
             return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], ["lang_pred", "score"])
 
         return predict(text)

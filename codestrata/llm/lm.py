@@ -28,7 +28,6 @@ train; an empty table gives no rows. Only the id, text and training flag are rea
 
 from __future__ import annotations
 
-import ctypes
 import random
 from collections.abc import Iterator
 
@@ -41,7 +40,7 @@ from pyspark.sql import functions as F
 
 from codestrata.llm.eliasfano import ABSENT, SUCCESSOR_BITS, Trie, dequantise, quantise
 from codestrata.llm.simhash import split_words
-from codestrata.llm.text import bounded_batches
+from codestrata.llm.text import bounded_batches, release_memory
 from codestrata.session import Scratch
 
 MU = 512.0  # the best of the powers of 4 on held-out text
@@ -63,15 +62,6 @@ def _get(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).reshape(-1)
 
 
-def _trim() -> None:
-    """Give freed memory back: an idle worker keeps what its last batch took, and an executor has several."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except AttributeError:  # not glibc
-        pass
-
-
 def _rows(out: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(out, schema)
 
@@ -115,10 +105,10 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if size >= BATCH_BYTES:
             yield flush()
             held, size = [], 0
-            _trim()
+            release_memory()
     if sum(len(b) for b in held):
         yield flush()
-    _trim()
+    release_memory()
 
 
 def _training(row: dict, tokens: np.ndarray) -> np.ndarray:
@@ -252,7 +242,7 @@ class Corpus:
             out.append({"shard": r["shard"], "batch": r["batch"], "answer": _put(code[place[at : at + len(c)]]), "tokens": 0, "distinct": 0, "once": 0})
             at += len(c)
         del code, place, pair, first, total, level, single, logp, rank, successor
-        _trim()
+        release_memory()
         return pa.Table.from_pylist(out, ANSWER_ARROW)
 
     def scores(self, row: dict, token_answers: list[dict], pair_answers: list[dict]) -> dict[str, np.ndarray]:
@@ -296,13 +286,13 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
         for b in rows:
             for r in b.to_pylist():
                 yield _rows(corpus.ask(r, r["totals"]), SHARD_ARROW)
-                _trim()
+                release_memory()
 
     def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             for r in b.to_pylist():
                 yield pa.RecordBatch.from_pydict(corpus.scores(r, r["totals"], r["pairs"]))
-                _trim()
+                release_memory()
 
     # Written, as then what the bigrams were shuffled through can go before the last join.
     pairs = scratch.write(known.mapInArrow(ask, SHARD).groupBy("shard").applyInArrow(lambda table: corpus.answer(table), ANSWER).select("shard", "batch", "answer"))

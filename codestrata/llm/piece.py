@@ -103,8 +103,7 @@ class Encoder:
                     self.shorter[i] = self.shorter[self.shorter[i]]
             self.follows: dict[int, bool] = {}
         encoded = sorted(((v.pieces[i].encode(), i) for i in self.usable), key=lambda x: (len(x[0]), x[0]))
-        self.search = [(p, i) for p, i in encoded]
-        self.short = np.array([len(p) <= 8 for p, _ in encoded])
+        self.search = encoded
         head = [int.from_bytes(p[:8].ljust(8, b"\0"), "big") for p, _ in encoded]
         tail = [int.from_bytes(p[:8].ljust(8, b"\xff"), "big") for p, _ in encoded]
         self.head, self.tail = np.array(head, np.uint64), np.array(tail, np.uint64)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codestrata.llm.components import connected_components
-from codestrata.llm.text import bounded_batches
+from codestrata.llm.text import bounded_batches, release_memory
 from codestrata.session import Scratch
 
 SHINGLE = 4
@@ -78,7 +78,9 @@ def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
 
 @F.arrow_udf(T.LongType())
 def _fingerprint(texts: pa.Array) -> pa.Array:
-    return pa.array(fingerprints(texts).view(np.int64))
+    out = pa.array(fingerprints(texts).view(np.int64))
+    release_memory()
+    return out
 
 
 def fingerprint(text: Column) -> Column:

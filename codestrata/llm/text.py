@@ -1,12 +1,18 @@
-"""Column expressions and batch helpers on texts that several operators share."""
+"""Column expressions on texts that several operators share."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+import ctypes
+
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codestrata.session import bounded_batches
+
+__all__ = ["WORD", "bounded_batches", "release_memory", "word_count"]
+
 WORD = r"[^\x20\x09-\x0D]+"
-ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def word_count(text: Column) -> Column:
@@ -14,10 +20,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """From now on a batch sent to Python holds at most 4 MB, whatever the length of the texts.
-
-    The session keeps the setting, as plans run after the operator has returned them.
-    """
-    for k, v in ARROW_LIMITS.items():
-        spark.conf.set(k, v)
+def release_memory() -> None:
+    """Give freed memory back: an idle worker keeps what its last batch took, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
