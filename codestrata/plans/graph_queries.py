@@ -37,14 +37,13 @@ def _references(spark, d):
     return modules.module_references(_internal(spark, d), A.modules(spark, d))
 
 
-def _module_graph(spark, d, only: str | None = None) -> rules.ModuleGraph:
+def _module_graph(spark, d) -> rules.ModuleGraph:
+    """All references between modules."""
     refs = _references(spark, d)
-    refs = refs.filter(only) if only else refs
     place = F.concat(F.col("from_class").cast("string"), F.lit(" --"), "kind", F.lit("--> "), F.col("to_class").cast("string"), F.lit(":"), F.lpad(F.col("evidence_line").cast("string"), 4, "0"))
     return rules.ModuleGraph(A.modules(spark, d).select(F.col("module").alias("id")).distinct(), modules.module_edges(refs, place))
 
 
-SPARSE_ONLY, MIDDLE_ONLY = "kind = 'depends' AND evidence_line % 20 = 0", "kind = 'inherits' AND evidence_line % 3 = 0"
 EVIDENCE = "concat(CAST(s AS VARCHAR), ' --', kind, '--> ', CAST(d AS VARCHAR), ':', lpad(CAST(evidence_line AS VARCHAR), 4, '0'))"
 
 
@@ -88,19 +87,19 @@ def module_evidence(spark, d):
 
 @query(f"WITH {MODGRAPH}, {SPARSE}, {MODDEG} SELECT id, out_n, in_n, round(instability, 9) AS instability FROM deg")
 def module_instability(spark, d):
-    return rules.degrees(_module_graph(spark, d, SPARSE_ONLY)).withColumn("instability", F.round("instability", 9)).orderBy("id")
+    return rules.degrees(_module_graph(spark, d)).withColumn("instability", F.round("instability", 9)).orderBy("id")
 
 
 @query(f"WITH {MODGRAPH}, {MIDDLE}, {MODDEG} SELECT id AS subject, in_n FROM deg WHERE in_n >= greatest(3, ceil(0.1 * ((SELECT count(*) FROM names) - 1))) AND (SELECT count(*) FROM names) >= 4")
 def rule_god_module(spark, d):
-    mg = _module_graph(spark, d, MIDDLE_ONLY)
+    mg = _module_graph(spark, d)
     found = rules.god_module(rules.Rule("G", "god_module", {"ratio": 0.1, "min_dependents": 3}), mg)
     return found.select(F.get("subject", F.lit(0)).alias("subject"), (F.size("modules") - 1).cast("long").alias("in_n"))
 
 
 @query(f"WITH {MODGRAPH}, {SPARSE}, {MODDEG} SELECT e.src, e.dst FROM modedge e JOIN deg a ON a.id = e.src JOIN deg b ON b.id = e.dst WHERE a.in_n >= 2 AND b.instability - a.instability >= 0.3 - 1e-9")
 def rule_inverted_core(spark, d):
-    found = rules.inverted_core(rules.Rule("I", "inverted_core", {"margin": 0.3}), _module_graph(spark, d, SPARSE_ONLY))
+    found = rules.inverted_core(rules.Rule("I", "inverted_core", {"margin": 0.3}), _module_graph(spark, d))
     return found.select(F.get("modules", F.lit(0)).alias("src"), F.get("modules", F.lit(1)).alias("dst"))
 
 
@@ -113,7 +112,7 @@ def rule_forbid_dependency(spark, d):
 
 @query(f"WITH RECURSIVE {MODGRAPH}, {SPARSE}, {REACH.format(e='modedge')} SELECT a.src, a.dst FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst")
 def module_cycle_pairs(spark, d):
-    mg = _module_graph(spark, d, SPARSE_ONLY)
+    mg = _module_graph(spark, d)
     c = graph.components(mg.nodes, mg.edges)
     return c.select(F.col("id").alias("src"), "component").join(c.select(F.col("id").alias("dst"), "component"), "component").filter("src < dst").select("src", "dst")
 
@@ -124,7 +123,7 @@ def module_cycle_pairs(spark, d):
 SELECT 'no_module_cycle' AS kind, 'high' AS severity, string_agg(id, ',' ORDER BY id) AS modules FROM comp GROUP BY component HAVING count(*) > 1"""
 )
 def rule_module_cycle(spark, d):
-    mg = _module_graph(spark, d, SPARSE_ONLY)
+    mg = _module_graph(spark, d)
     return rules.no_module_cycle(rules.Rule("C", "no_module_cycle"), mg).select("kind", "severity", F.array_join("modules", ",").alias("modules"))
 
 
@@ -261,8 +260,8 @@ def decouple_cut_cost(spark, d):
 
 @query()
 def decouple_cuts(spark, d):
-    """NP-hard per component; tests/test_decouple.py compares with a search over all cuts."""
-    mg = _module_graph(spark, d, SPARSE_ONLY + " AND evidence_line % 40 = 0")
+    """NP-hard per component; tests/test_graph.py compares with a search over all cuts."""
+    mg = _module_graph(spark, d)
     return decouple.cuts(mg.nodes, mg.edges).select("component", "src", "dst", "weight", "cost", "prescription")
 
 
@@ -274,7 +273,7 @@ SELECT kind, severity, title, CAST(size AS BIGINT) AS size, row_number() OVER (O
 )
 def findings_order(spark, d):
     """The audit's order; the place is given within its few findings."""
-    found = rules.audit(_module_graph(spark, d, SPARSE_ONLY), (rules.Rule("G", "god_module", {"ratio": 0.15}), rules.Rule("I", "inverted_core", {"margin": 0.3})))
+    found = rules.audit(_module_graph(spark, d), (rules.Rule("G", "god_module", {"ratio": 0.15}), rules.Rule("I", "inverted_core", {"margin": 0.3})))
     order = Window.orderBy(rules.severity_rank(F.col("severity")), -F.size("modules"), F.when(F.col("kind") == "god_module", 0).otherwise(1), "title")
     return found.select("kind", "severity", "title", F.size("modules").cast("long").alias("size"), F.row_number().over(order).cast("long").alias("place"))
 
