@@ -298,7 +298,7 @@ def resolver_tiers(spark, d):
 def evidence_text(spark, d):
     name = lambda c: F.concat(F.lit("C"), F.col(c).cast("string"))
     path = F.concat(F.lit("src/x/C"), F.col("src").cast("string"), F.lit(".hxx"))
-    return _internal(spark, d).filter("evidence_line <= 5").select("src", "dst", "kind", X.evidence(name("src"), F.col("kind"), name("dst"), path, F.col("evidence_line")).alias("evidence"))
+    return _internal(spark, d).select("src", "dst", "kind", X.evidence(name("src"), F.col("kind"), name("dst"), path, F.col("evidence_line")).alias("evidence"))
 
 
 @query()

@@ -45,3 +45,9 @@ def test_module_rules_equal_sql_over_all_references(spark, name):
     found = c.execute(ORACLES[name].replace(G.SPARSE, G.MODEDGE).replace(G.MIDDLE, G.MODEDGE))
     columns = [x[0] for x in found.description]
     assert sorted(tuple(r[k] for k in columns) for r in QUERIES[name](spark, d).collect()) == sorted(found.fetchall())
+
+
+def test_evidence_text_of_every_reference(planted):
+    got = planted("evidence_text")
+    assert len(got) == len(LINES) + 1  # and the half that refers back
+    assert (300, 100, "associates", "C300 --associates--> C100 (C300.hxx:7)") in got
