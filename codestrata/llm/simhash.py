@@ -143,10 +143,14 @@ def components(rows: DataFrame, scratch: Scratch, id_col: str = "doc_id", radius
     The component's label is its smallest fingerprint, its id the smallest id that is reachable.
     """
     nodes = scratch.write(rows.groupBy("fp").agg(F.min(id_col).alias("least_id")))
-    label = connected_components(links(nodes.select("fp"), scratch, radius, blocks))
-    labelled = nodes.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    return labelled.join(least, "label").select("fp", "label", "component_id")
+    return labelled(nodes, connected_components(links(nodes.select("fp"), scratch, radius, blocks)))
+
+
+def labelled(nodes: DataFrame, label: DataFrame) -> DataFrame:
+    """(fp, label, component_id) from nodes (fp, least_id) and the labels (node, label) of those that link."""
+    full = nodes.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    least = full.groupBy("label").agg(F.min("least_id").alias("component_id"))
+    return full.join(least, "label").select("fp", "label", "component_id")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
@@ -168,7 +172,12 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     row_id = f"c{df.columns.index(id_col)}"
     rows = scratch.write(df.select(*columns, fingerprint(F.col(text_col)).alias("fp")))
     found = components(rows.select(F.col(row_id).alias("id"), "fp"), scratch, "id", radius, blocks)
-    first = rows.join(found, "fp").filter(F.col(row_id).eqNullSafe(F.col("component_id")))
-    order = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(*[f"c{i}" for i in range(len(df.columns))])))
+    return one_of_each(rows, found, df.columns, F.col(row_id))
+
+
+def one_of_each(rows: DataFrame, found: DataFrame, columns: list[str], row_id: Column) -> DataFrame:
+    """One of the rows (c0, c1, ..., fp) of each component, under their columns' names."""
+    first = rows.join(found, "fp").filter(row_id.eqNullSafe(F.col("component_id")))
+    order = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(*[f"c{i}" for i in range(len(columns))])))
     kept = first.withColumn("place", order).filter("place = 1")
-    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
