@@ -54,29 +54,31 @@ def by_groups(classes: DataFrame, groups: list[tuple[str, list[str]]]) -> DataFr
     return classes.withColumn("module", module)
 
 
-def by_community(classes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
+def by_community(classes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
     """Communities by label propagation on the undirected graph of (src, dst) over qualified names, named after the member of most neighbours.
 
-    In a round the nodes of one half, by hash, take the label that most of their
-    neighbours bear (ties to the smaller), then those of the other half; so rounds
-    cannot swap labels for ever, and equal inputs give equal communities.
+    In a round every node that would gain takes the label that most of its neighbours
+    bear (ties to the smaller), if no neighbour that would gain too comes before it by
+    hash. So neighbours never move together, each move adds to the edges within
+    communities or keeps them and makes a label smaller, and the rounds end. Raises if
+    `rounds` do not suffice. Equal inputs give equal communities.
     """
     scratch = Scratch(classes.sparkSession, "community")
     both = scratch.write(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct())
     label = scratch.write(classes.select(F.col("qualified_name").alias("id")).distinct().withColumn("label", F.col("id")))
-    quiet = 0
-    for i in range(2 * rounds):
+    for _ in range(rounds):
         votes = both.join(label.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.count(F.lit(1)).alias("n"))
         best = votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("m")).select("id", F.col("m.label").alias("new"), (-F.col("m.n")).alias("n"))
-        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == i % 2
         own = votes.select("id", "label", F.col("n").alias("own"))
-        moved = label.join(best, "id", "left").join(own, ["id", "label"], "left")
-        change = turn & F.col("new").isNotNull() & (F.col("n") > F.coalesce("own", F.lit(0)))
-        moved = scratch.write(moved.select("id", F.when(change, F.col("new")).otherwise(F.col("label")).alias("label"), change.alias("changed")))
-        label = moved.select("id", "label")
-        quiet = quiet + 1 if moved.filter("changed").isEmpty() else 0
-        if quiet == 2:
+        gain = F.col("n") - F.coalesce("own", F.lit(0))
+        wish, n = scratch.counted(label.join(best, "id").join(own, ["id", "label"], "left").filter((gain > 0) | ((gain == 0) & (F.col("new") < F.col("label")))).select("id", "new", F.struct(F.xxhash64("id").alias("h"), "id").alias("turn")))
+        if not n:
             break
+        before = both.join(wish.select(F.col("id").alias("dst"), F.col("turn").alias("other")), "dst").groupBy(F.col("src").alias("id")).agg(F.min("other").alias("other"))
+        moves = wish.join(before, "id", "left").filter("other IS NULL OR turn < other").select("id", "new")
+        label = scratch.write(label.join(moves, "id", "left").select("id", F.coalesce("new", "label").alias("label")))
+    else:
+        raise RuntimeError(f"communities not settled after {rounds} rounds")
     degree = both.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d"))
     names = label.join(degree, "id", "left").groupBy("label").agg(F.min(F.struct((-F.coalesce("d", F.lit(0))).alias("d"), "id")).alias("m")).select("label", F.concat(F.lit("cluster:"), F.col("m.id")).alias("module"))
     return classes.join(label.join(names, "label").select(F.col("id").alias("qualified_name"), "module"), "qualified_name").select(*classes.columns, "module")

@@ -303,10 +303,10 @@ def evidence_text(spark, d):
 
 @query()
 def community_modules(spark, d):
-    """Label propagation; tests/test_modules.py checks its fixpoint and the modularity."""
+    """Label propagation; tests/test_graph_queries.py checks its fixpoint."""
     ents, rels = A.code_graph(spark, d)
     edges = rels.filter("target_qname IS NOT NULL AND source_qname <> target_qname").select(F.col("source_qname").alias("src"), F.col("target_qname").alias("dst")).distinct()
-    return modules.by_community(ents.select("qualified_name"), edges, rounds=4).groupBy("module").agg(F.count(F.lit(1)).alias("n"))
+    return modules.by_community(ents.select("qualified_name"), edges).groupBy("module").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH RECURSIVE {A.GRAPH}, {REACH.format(e='edge')}, {COMP}, {CEDGE}, outs AS (SELECT src, count(*) AS n FROM edge GROUP BY src) SELECT arg_min(c.id, struct_pack(n := -coalesce(o.n, 0), id := c.id)) AS id FROM comp c LEFT JOIN outs o ON o.src = c.id WHERE c.component NOT IN (SELECT dst FROM cedge) GROUP BY c.component")

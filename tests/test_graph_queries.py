@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from codestrata.operators import modules
 from codestrata.plans import graph_queries as G
 from codestrata.plans.catalog import ORACLES, QUERIES
 
@@ -51,3 +52,14 @@ def test_evidence_text_of_every_reference(planted):
     got = planted("evidence_text")
     assert len(got) == len(LINES) + 1  # and the half that refers back
     assert (300, 100, "associates", "C300 --associates--> C100 (C300.hxx:7)") in got
+
+
+def test_communities_settle(spark, planted):
+    """Pairs linked only to each other join, and no node has more neighbours in another community than in its own."""
+    pairs = [(f"a{i}", f"b{i}") for i in range(8)]
+    names = spark.createDataFrame([(x,) for p in pairs for x in p], "qualified_name string")
+    got = {r["qualified_name"]: r["module"] for r in modules.by_community(names, spark.createDataFrame(pairs, "src string, dst string")).collect()}
+    assert all(got[a] == got[b] for a, b in pairs) and len(set(got.values())) == 8
+    with pytest.raises(RuntimeError, match="not settled"):
+        modules.by_community(names, spark.createDataFrame(pairs, "src string, dst string"), rounds=1)
+    assert [n for m, n in planted("community_modules") if "::C30" in m or "::C15" in m] == [2]
