@@ -41,7 +41,7 @@ def test_near_duplicates_equal_brute_force(spark, chunk):
 @pytest.mark.parametrize("chunk", [8, 1024])
 def test_search_with_all_probes_equals_brute_force(spark, chunk):
     x = vectors()
-    got = pstable.search(table(spark, x), F.col("id") % 20 == 0, hashes=4, probes=81, width=4.0, chunk=chunk, query_chunk=5).collect()
+    got = pstable.search(table(spark, x), F.col("id") % 20 == 0, hashes=4, rounds=(1, 81), sure=2.0, width=4.0, chunk=chunk, query_chunk=5).collect()
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     for q in range(0, len(x), 20):
         s = u @ u[q]
@@ -51,6 +51,63 @@ def test_search_with_all_probes_equals_brute_force(spark, chunk):
         assert np.allclose([m[2] for m in mine], s[want], atol=1e-12)
 
 
+@pytest.mark.parametrize("hashes", [1, 3, 5])
+def test_perturbations_are_all_sets_once(hashes):
+    sets = pstable.perturbations(hashes, 10_000)
+    assert len(sets) == 3**hashes == len(np.unique(sets, axis=0)) and not sets[0].any()
+    assert (sets[:, :hashes] + sets[:, : hashes - 1 : -1] <= 1).all()
+
+
+def test_probes_and_their_chance():
+    """Probes are the neighbouring buckets' keys; the estimated chance is the share of points met."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((200, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    t = pstable.Tables(32, 3, 6, 2.0, 1)
+    at = t.project(x)
+    assert (t.probes(at, 0, 1)[..., 0] == t.keys(at)).all()
+    assert (t.probes(at, 3, 20) == t.probes(at, 0, 20)[..., 3:]).all()
+    moved = at.copy()
+    step = np.where(at - np.floor(at) < 0.5, at - np.floor(at), 1 - (at - np.floor(at))).argmin(axis=-1)
+    near = np.take_along_axis(at - np.floor(at), step[..., None], -1)
+    np.put_along_axis(moved, step[..., None], np.take_along_axis(np.floor(at), step[..., None], -1) + np.where(near < 0.5, -0.5, 1.5), -1)
+    assert (t.probes(at, 1, 2)[..., 0] == t.keys(moved)).all()
+    noise = at + rng.standard_normal((2000, *at.shape)) * (0.7 / t.width)
+    met = np.mean([(t.keys(y)[..., None] == t.probes(at, 0, 15)).any(axis=(1, 2)).mean() for y in noise])
+    assert abs(met - t.success(at, 15, np.full(len(x), 0.7)).mean()) < 0.02
+
+
+def test_null_and_repeated_ids(spark):
+    """A row without an id links others; ids repeated on unlike vectors are rows of their own."""
+    a, b, c = [1.0, 0.0, 0.0], [0.999, 0.01, 0.0], [0.0, 1.0, 0.0]
+    t = spark.createDataFrame([(None, a), (7, b), (None, c), (9, a), (9, c), (None, [0.0, 0.0, 1.0]), (None, None)], "vec_id long, embedding array<double>")
+    got = sorted((tuple(r) for r in pstable.near_duplicates(t).collect()), key=str)
+    assert got == sorted([(None, 2, 7, False), (7, 2, 7, True), (9, 2, 7, False), (None, 1, 9, False), (9, 1, 9, True), (None, 0, None, False), (None, 0, None, False)], key=str)
+    none = spark.createDataFrame([(None, a), (None, a), (None, b)], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in pstable.near_duplicates(none).collect()] == [(None, 2, None, False)] * 3
+    found = pstable.search(t, F.col("id") == 9).collect()
+    assert {(r["query_id"], r["vec_id"]) for r in found} == {(9, 7)}
+
+
+def test_search_gives_all_candidates_of_a_spread_table(spark):
+    """Opposite vectors share no bucket; the exact step finds them."""
+    x = np.eye(8)[:4].tolist() + (-np.eye(8)[:4]).tolist()
+    t = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    got = pstable.search(t, F.col("id") == 0).collect()
+    assert sorted((r["rank"], r["vec_id"]) for r in got) == [(1, 1), (2, 2), (3, 3), (4, 5), (5, 6)]
+    assert pstable.search(t.limit(3), F.col("id") == 0).count() == 2
+
+
+def test_queries_with_near_neighbours_stop_early(spark):
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.standard_normal((500, 64)), 8, axis=0) + 0.05 * rng.standard_normal((4000, 64))
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    seen: dict = {}
+    got = {(r["query_id"], r["vec_id"]) for r in pstable.search(t, F.col("id") % 50 == 0, report=seen).collect()}
+    assert all(a // 8 == b // 8 for a, b in got) and len(got) == 5 * 80
+    assert seen["visits"] < 0.1 * 80 * 4000
+
+
 def test_recall_without_structure(spark):
     x = np.float32(np.random.default_rng(2).standard_normal((3000, 64))).astype(float)
     got = {(r["query_id"], r["vec_id"]) for r in pstable.search(table(spark, x), F.col("id") % 50 == 0).collect()}
