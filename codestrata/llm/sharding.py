@@ -10,7 +10,13 @@ null; repeated rows fall into the same slot and take different positions; an
 empty table gives an empty result and an even map. Only the id and text
 columns are read, so further columns cannot clash.
 
-The map has `n_slots` rows, a parameter, so the driver may hold it.
+The map has `n_slots` rows, a parameter, so the driver may hold it. A stored version is
+never written again: a run on a stored map edits the latest version with few moves and
+adds the next.
+
+A slot is a hash of id and text, not of the id alone, as a third of all rows may have
+one id (null, for one) and the law is near equal bytes; so an edited text may change
+its slot.
 """
 
 from __future__ import annotations
@@ -39,16 +45,23 @@ class SlotMap:
         return lookup(self.shards, slot, "int")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Add this version to the stored map; earlier versions stay."""
+        """Add this version to the stored map; earlier versions stay, and one that is there is an error."""
         rows = spark.range(len(self.shards), numPartitions=1).select(F.lit(self.n_shards).alias("n_shards"), F.col("id").cast("int").alias("slot"), self.column(F.col("id")).alias("shard"))
-        rows.write.mode("overwrite").parquet(f"{path}/version={self.version}")
+        rows.write.mode("error").parquet(f"{path}/version={self.version}")
+
+    @staticmethod
+    def versions(spark: SparkSession, path: str) -> list[int]:
+        """The numbers of the stored versions that were written to their end."""
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in files.listStatus(p)] if files.exists(p) else []
+        return sorted(int(n[8:]) for n in names if n.startswith("version=") and files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
 
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
         """The stored version asked for, or the latest."""
-        t = spark.read.parquet(path)
-        v = version if version is not None else t.agg(F.max("version")).first()[0]
-        rows = t.filter(F.col("version") == v).orderBy("slot").collect()
+        v = version if version is not None else SlotMap.versions(spark, path)[-1]
+        rows = spark.read.parquet(f"{path}/version={v}").orderBy("slot").collect()
         return SlotMap(int(v), rows[0]["n_shards"], tuple(r["shard"] for r in rows))
 
 
@@ -73,14 +86,14 @@ def balanced_map(slot_bytes: list[int], n_shards: int, version: int = 1) -> Slot
     return SlotMap(version, n_shards, tuple(out))
 
 
-def rebalanced(old: SlotMap, slot_bytes: list[int], n_shards: int) -> SlotMap:
+def rebalanced(old: SlotMap, slot_bytes: list[int], n_shards: int, slack: float = 0.01) -> SlotMap:
     """The next version of the map for `n_shards` shards, with few moves.
 
     Slots of shards that are no more move to the lightest shard. Where shards have
     joined, each in turn takes slots from the heaviest older shard, the largest that
     fits, until it has its even share; other slots stay where they are. Without
     joiners, slots move from the heaviest to the lightest shard while that narrows
-    their gap.
+    their gap, and it is above `slack` of an even share.
     """
     shards, load = list(old.shards), [0] * n_shards
     held: list[list[tuple[int, int]]] = [[] for _ in range(n_shards)]
@@ -114,7 +127,7 @@ def rebalanced(old: SlotMap, slot_bytes: list[int], n_shards: int) -> SlotMap:
             pass
     while not joined and len(load) > 1:
         low, high = min(range(n_shards), key=lambda s: (load[s], s)), max(range(n_shards), key=lambda s: (load[s], -s))
-        if not move(high, low, (load[high] - load[low]) // 2):
+        if load[high] - load[low] <= slack * even or not move(high, low, (load[high] - load[low]) // 2):
             break
     return SlotMap(old.version + 1, n_shards, tuple(shards))
 
@@ -124,8 +137,10 @@ def shard_records(df: DataFrame, n_shards: int, id_col: str = "doc_id", text_col
 
     Returns id, size (UTF-8 bytes plus 1), text_crc32, law, shard, slot (the row's
     place in its shard, without gaps from 0), virtual_slot, map_version and a null
-    grown_shard. The map is stored under `map_path` (the shared folder by default)
-    and read back, so that a later run can edit it.
+    grown_shard. The map is stored under `map_path` (a new place in the shared folder by
+    default) and read back. Where `map_path` holds a map of as many slots, its latest
+    version is edited for the rows and shards at hand, and stored as the next version if
+    that moves a slot.
 
     One pass reads the texts and keeps a few numbers per row. The place in the
     shard is the row's place in its virtual slot plus the sizes of the slots of
@@ -145,7 +160,16 @@ def shard_records(df: DataFrame, n_shards: int, id_col: str = "doc_id", text_col
     found = {r["virtual_slot"]: r for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect()}
     size = [found[i]["b"] if i in found else 0 for i in range(n_slots)]
     path = map_path or scratch.path("slot_map")
-    balanced_map(size, n_shards).save(spark, path)
+    made = SlotMap.versions(spark, path)
+    if made:
+        old = SlotMap.load(spark, path)
+        if len(old.shards) != n_slots:
+            raise ValueError(f"{path}: a map of {len(old.shards)} slots, not {n_slots}")
+        new = rebalanced(old, size, n_shards)
+        if (new.n_shards, new.shards) != (old.n_shards, old.shards):
+            new.save(spark, path)
+    else:
+        balanced_map(size, n_shards).save(spark, path)
     held = SlotMap.load(spark, path)
     offsets, used = [0] * n_slots, [0] * n_shards
     for i, s in enumerate(held.shards):

@@ -47,3 +47,23 @@ def test_map_versions_and_rebalancing(spark, tmp_path):
 def test_lookup_is_one_literal(spark, n):
     got = spark.range(n).select(sharding.lookup([3 * i for i in range(n)], F.col("id"), "bigint").alias("x")).collect()
     assert [r["x"] for r in got] == [3 * i for i in range(n)]
+
+
+def test_stored_map_is_edited_not_overwritten(spark, tmp_path):
+    df, path = spark.createDataFrame(ROWS, SCHEMA), str(tmp_path / "stored")
+    place = lambda n: {(r["doc_id"], r["text_crc32"]): (r["virtual_slot"], r["shard"], r["map_version"]) for r in sharding.shard_records(df, n, map_path=path).collect()}
+    first = place(4)
+    assert place(4) == first and sharding.SlotMap.versions(spark, path) == [1]  # nothing to move
+    grown = place(5)
+    assert {v[2] for v in grown.values()} == {2} and all(grown[k][1] == 4 for k in first if grown[k][1] != first[k][1])
+    assert sharding.SlotMap.load(spark, path, 1).n_shards == 4 and sharding.SlotMap.load(spark, path).n_shards == 5
+    load = [0] * 5
+    for r in sharding.shard_records(df, 5, map_path=path).collect():
+        load[r["shard"]] += r["size"]
+    assert max(load) - min(load) <= 0.1 * sum(load) / 5
+    with pytest.raises(Exception):
+        sharding.balanced_map([1] * 4096, 4).save(spark, path)
+    with pytest.raises(ValueError, match="slots"):
+        sharding.shard_records(df, 5, n_slots=64, map_path=path)
+    less = [r["shard"] for r in sharding.shard_records(df, 3, map_path=path).collect()]
+    assert set(less) == {0, 1, 2} and sharding.SlotMap.versions(spark, path) == [1, 2, 3]
