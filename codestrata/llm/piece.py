@@ -17,7 +17,8 @@ right:
 
 Characters outside the vocabulary become byte pieces, or the unknown piece where the
 model has none. Units with runs of spaces, whose merges are of equal rank in such
-models, and those with NUL are merged step by step instead.
+models, and those with NUL are merged step by step instead, from a heap, so that a run
+of any length costs no more than n log n.
 
 Defined results: a null or empty text has no pieces and decodes to the empty text;
 equal texts have equal pieces; whole texts are encoded; U+2581 counts as a space, as
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import codecs
 import hashlib
+import heapq
 from dataclasses import dataclass
 from functools import cached_property
 from itertools import accumulate
@@ -155,19 +157,35 @@ class Encoder:
 
     # -- relaxation --------------------------------------------------------
     def _merge(self, symbols: list[str]) -> tuple[list[str], tuple[str, str] | None]:
-        """Merge step by step, the best-scored pair first and of equals the leftmost; also the last merge."""
+        """Merge step by step, the best-scored pair first and of equals the leftmost; also the last merge.
+
+        Pairs wait in a heap, symbols are linked to their neighbours, so n symbols cost n log n.
+        """
+        text: list[str | None] = list(symbols)
+        before, after = list(range(-1, len(text) - 1)), [*range(1, len(text)), -1]
+        heap: list[tuple[float, int, str, str]] = []
+
+        def offer(i: int, j: int) -> None:
+            piece = self.id.get(text[i] + text[j])
+            if piece is not None:
+                heapq.heappush(heap, (-self.v.scores[piece], i, text[i], text[j]))
+
+        for i in range(len(text) - 1):
+            offer(i, i + 1)
         last = None
-        while len(symbols) > 1:
-            best, at = None, -1
-            for i in range(len(symbols) - 1):
-                j = self.id.get(symbols[i] + symbols[i + 1])
-                if j is not None and (best is None or self.v.scores[j] > best):
-                    best, at = self.v.scores[j], i
-            if at < 0:
-                break
-            last = (symbols[at], symbols[at + 1])
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-        return symbols, last
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i] if text[i] == a else -1
+            if j < 0 or text[j] != b:  # one of the two was merged meanwhile
+                continue
+            last, text[i], text[j] = (a, b), a + b, None
+            after[i] = after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+                offer(i, after[i])
+            if before[i] >= 0:
+                offer(before[i], i)
+        return [s for s in text if s is not None], last
 
     def _last_merge(self, piece: str) -> tuple[int, int] | None:
         """The two pieces whose merge makes this one; None if merging never ends in it."""
@@ -287,14 +305,12 @@ class Encoder:
         """A unigram model's path over a unit with NUL or a run of spaces, by plain dynamic programming."""
         t = SPACE + unit.replace(" ", SPACE)
         best: list[tuple[float, int]] = [(0.0, 0)] + [(-np.inf, 0)] * len(t)
-        unknown = min(self.v.scores) - 10
+        unknown, longest = min(self.v.scores) - 10, max((len(p) for p in self.id), default=1)
         for i in range(len(t)):
-            for j in range(i + 1, len(t) + 1):
+            for j in range(i + 1, min(i + longest, len(t)) + 1):
                 s = self.v.scores[self.id[t[i:j]]] if t[i:j] in self.id else unknown if j == i + 1 else None
                 if s is not None and best[i][0] + s > best[j][0]:
                     best[j] = (best[i][0] + s, i)
-                if j - i > 64:
-                    break
         out, j = [], len(t)
         while j:
             out.append(t[best[j][1] : j])

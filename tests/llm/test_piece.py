@@ -1,4 +1,5 @@
 import random
+import time
 
 import pyarrow as pa
 import pytest
@@ -80,3 +81,18 @@ def test_columns(spark):
     got = {r["doc_id"]: r for r in df.withColumn("e", piece.encode(F.col("text"), VOCABULARY)).withColumn("c", piece.encode_checked(F.col("text"), VOCABULARY)).withColumn("d", piece.decode(F.col("e"), VOCABULARY)).collect()}
     for i, t in enumerate(texts):
         assert got[i]["e"] == LIBRARY.encode(t or "") and got[i]["d"] == (t or "").replace(piece.SPACE, " ") and got[i]["ids"] == "s" and tuple(got[i]["c"]) == (got[i]["e"], True)
+
+
+def test_long_runs_take_no_quadratic_time(coder):
+    """Runs of spaces and texts with NUL are merged from a heap."""
+    texts = [" " * 200_000, "a" + " " * 50_001 + "b", "ab\0cd e" * 5_000, " x" * 20_000 + "  " * 3_000]
+    began = time.monotonic()
+    got = coder.encode(pa.array(texts)).to_pylist()
+    assert time.monotonic() - began < 20
+    assert got == LIBRARY.encode(texts) and coder.decode(pa.array(got)) == texts
+
+
+def test_unigram_takes_pieces_of_any_length_beside_spaces():
+    pieces = ["<unk>", "▁", "a", "▁▁" + "a" * 90]
+    coder = piece.Encoder(piece.Vocabulary(tuple(pieces), (0.0, -3.0, -2.0, -5.0), (2, 1, 1, 1), False))
+    assert coder.encode(pa.array([" " + "a" * 90])).to_pylist() == [[3]]
