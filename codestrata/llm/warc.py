@@ -31,6 +31,7 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections import OrderedDict
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -41,7 +42,7 @@ from codestrata.llm.text import bounded_batches
 from codestrata.session import Scratch
 
 BLOCK_LINES = 1000
-DATE = "2020-01-01T00:00:00Z"
+LOOKUPS = 4000  # captures read back by one task
 PARTS = "archive string, index string, first_key string, last_key string, records long"
 CAPTURE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 OPEN_FILES = 32
@@ -61,10 +62,10 @@ def index_key(url: Column, page_id: Column) -> Column:
     return F.concat(surt(url), F.lit(" "), ident)
 
 
-def _record(page_id, url, payload: bytes, digest: str, refers_to, revisit: bool) -> bytes:
+def _record(page_id, url, payload: bytes, digest: str, refers_to, revisit: bool, date: str) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     head.append(f"WARC-Payload-Digest: sha1:{digest}")
@@ -74,6 +75,13 @@ def _record(page_id, url, payload: bytes, digest: str, refers_to, revisit: bool)
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _info(name: str, date: str) -> bytes:
+    """The record that opens an archive."""
+    block = b"software: codestrata\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
 def parse_record(data: bytes) -> dict:
     """A record's fields and payload; a response's payload is checked against its digest."""
     head, _, rest = data.partition(b"\r\n\r\n")
@@ -126,7 +134,7 @@ class IndexPart:
             i += 1
 
 
-def _writer(base: str, block_lines: int):
+def _writer(base: str, block_lines: int, date: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = pafs.FileSystem.from_uri(base)
         name = f"{root}/{uuid.uuid4().hex}"
@@ -147,7 +155,10 @@ def _writer(base: str, block_lines: int):
             for r in batch.to_pylist():
                 if archive is None:
                     archive, index, first = files.open_output_stream(f"{name}.warc.gz", compression=None), files.open_output_stream(f"{name}.cdx", compression=None), r["key"]
-                data = _gzip(_record(r["page_id"], r["url"], r["payload"], base64.b32encode(bytes.fromhex(r["sha1"])).decode(), r["owner"], r["revisit"]))
+                    data = _gzip(_info(name.rpartition("/")[2] + ".warc.gz", date))
+                    archive.write(data)
+                    offset = len(data)
+                data = _gzip(_record(r["page_id"], r["url"], r["payload"], base64.b32encode(bytes.fromhex(r["sha1"])).decode(), r["owner"], r["revisit"], date))
                 archive.write(data)
                 lines.append(f"{r['key']}\t{offset} {len(data)}")
                 offset, records, last = offset + len(data), records + 1, r["key"]
@@ -174,6 +185,7 @@ class Archive:
     @staticmethod
     def write(pages: DataFrame, base: str, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, block_lines: int = BLOCK_LINES) -> Archive:
         bounded_batches(pages.sparkSession)
+        date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
         payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
         digested = pages.select(F.col(id_col).cast("long").alias("page_id"), F.sha1(payload).alias("sha1"), F.octet_length(payload).alias("size"))
         groups = digested.filter(F.col("size") >= min_bytes).groupBy("sha1").agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND owner IS NOT NULL").select("sha1", "owner")
@@ -181,7 +193,7 @@ class Archive:
         rows = rows.join(scratch.write(groups), "sha1", "left")
         revisit = F.col("owner").isNotNull() & ~F.col("owner").eqNullSafe(F.col("page_id"))
         dealt = rows.withColumn("revisit", revisit).repartitionByRange("key").sortWithinPartitions("key")
-        found = scratch.write(dealt.select("page_id", "url", "payload", "sha1", "key", "owner", "revisit").mapInArrow(_writer(base, block_lines), PARTS))
+        found = scratch.write(dealt.select("page_id", "url", "payload", "sha1", "key", "owner", "revisit").mapInArrow(_writer(base, block_lines, date), PARTS))
         return Archive(base, [tuple(r) for r in found.collect()])  # a row per archive
 
     def lookup(self, keys: DataFrame) -> DataFrame:
@@ -209,7 +221,9 @@ class Archive:
                         i += 1
                 yield pa.RecordBatch.from_pylist(out, pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]))
 
-        return keys.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key").mapInArrow(read, CAPTURE)
+        # As many tasks as the records ask for; the keys alone are small, so their bytes say little about the work.
+        tasks = max(1, -(-sum(p[4] for p in parts) // LOOKUPS))
+        return keys.select("key").distinct().repartitionByRange(tasks, "key").sortWithinPartitions("key").mapInArrow(read, CAPTURE)
 
     def get(self, spark: SparkSession, url: str) -> list[dict]:
         """All captures of one URL with their payloads, by a prefix of the key."""
