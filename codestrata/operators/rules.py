@@ -77,7 +77,7 @@ def inverted_core(rule: Rule, mg: ModuleGraph) -> DataFrame:
     d = degrees(mg)
     a = d.select(F.col("id").alias("src"), F.col("in_n").alias("a_in"), F.col("instability").alias("a_i"))
     b = d.select(F.col("id").alias("dst"), F.col("instability").alias("b_i"))
-    found = mg.edges.join(a, "src").join(b, "dst").filter((F.col("a_in") >= 2) & (F.col("b_i") - F.col("a_i") >= margin - 1e-9) & F.lit(mg.nodes.count() >= 3))
+    found = mg.edges.join(a, "src").join(b, "dst").filter((F.col("a_in") >= 2) & (F.col("b_i") - F.col("a_i") >= margin) & F.lit(mg.nodes.count() >= 3))
     title = F.concat(F.lit("Stable module "), F.col("src"), F.lit(" depends on unstable "), F.col("dst"))
     return _finding(found, rule, "medium", title, F.format_string("instability %.2f and %.2f", "a_i", "b_i"), F.array("src", "dst"), F.slice("evidence", 1, KEEP), F.array().cast("array<string>"))
 

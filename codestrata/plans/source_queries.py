@@ -67,16 +67,17 @@ def llm_review_stub(spark, d):
 
 
 @query(
-    """WITH RECURSIVE a AS (SELECT concat('A', p_partkey) AS alias, concat('A', CASE WHEN p_partkey % 9 = 0 THEN p_partkey ELSE p_partkey + 1 END) AS target, CASE WHEN p_partkey % 4 = 0 THEN 'associates' END AS kind FROM part WHERE p_partkey % 9 <> 0),
-  c(alias, target, kind, depth) AS (SELECT alias, target, kind, 1 FROM a UNION ALL SELECT c.alias, a.target, coalesce(c.kind, a.kind), depth + 1 FROM c JOIN a ON a.alias = c.target WHERE depth < 8)
+    """WITH RECURSIVE a AS (SELECT concat('A', p_partkey) AS alias, CASE WHEN p_partkey % 97 = 0 THEN NULL WHEN p_partkey % 23 = 0 THEN concat('Class', p_partkey) ELSE concat('A', p_partkey + 1) END AS target, CASE WHEN p_partkey % 4 = 0 THEN 'associates' END AS kind FROM part),
+  c(alias, target, kind, depth) AS (SELECT alias, target, kind, 1 FROM a UNION ALL SELECT c.alias, a.target, coalesce(c.kind, a.kind), depth + 1 FROM c JOIN a ON a.alias = c.target WHERE depth < 9)
 SELECT alias, target, kind, depth FROM c WHERE target NOT IN (SELECT alias FROM a)"""
 )
 def alias_chains(spark, d):
+    """Chains of up to 23 aliases, of which those longer than the bound are left out; some end in nothing."""
     from codestrata.operators.relational import chase_aliases
 
     key = F.col("p_partkey")
-    table = read(spark, d, "part").filter("p_partkey % 9 <> 0").select(F.concat(F.lit("A"), key.cast("string")).alias("alias"), F.concat(F.lit("A"), (key + 1).cast("string")).alias("target"), F.when(key % 4 == 0, "associates").alias("kind"))
-    return chase_aliases(table)
+    target = F.when(key % 97 == 0, None).when(key % 23 == 0, F.concat(F.lit("Class"), key.cast("string"))).otherwise(F.concat(F.lit("A"), (key + 1).cast("string")))
+    return chase_aliases(read(spark, d, "part").select(F.concat(F.lit("A"), key.cast("string")).alias("alias"), target.alias("target"), F.when(key % 4 == 0, "associates").alias("kind")))
 
 
 @query(

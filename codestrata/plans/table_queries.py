@@ -50,10 +50,10 @@ def _named(spark, d):
 
 
 @query(
-    f"WITH {NAMED}, uniq AS (SELECT name, min(qualified_name) AS q FROM named GROUP BY name HAVING count(DISTINCT qualified_name) = 1) SELECT l_orderkey, l_linenumber, concat('T', l_partkey // 10) AS target_name, uniq.q AS target_qname FROM lineitem LEFT JOIN uniq ON uniq.name = concat('T', l_partkey // 10) WHERE l_quantity >= 48"
+    f"WITH {NAMED}, uniq AS (SELECT name, min(qualified_name) AS q FROM named GROUP BY name HAVING count(DISTINCT qualified_name) = 1) SELECT l_orderkey, l_linenumber, concat('T', l_partkey // 10) AS target_name, uniq.q AS target_qname FROM lineitem LEFT JOIN uniq ON uniq.name = concat('T', l_partkey // 10)"
 )
 def unique_name_resolve(spark, d):
-    rel = read(spark, d, "lineitem").filter("l_quantity >= 48").select("l_orderkey", "l_linenumber", F.concat(F.lit("T"), F.floor(F.col("l_partkey") / 10).cast("string")).alias("target_name"), F.lit(None).cast("string").alias("target_qname"))
+    rel = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("T"), F.floor(F.col("l_partkey") / 10).cast("string")).alias("target_name"), F.lit(None).cast("string").alias("target_qname"))
     return R.resolve_names(rel, _named(spark, d))
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 # Names that are no classes of the code base.
 PRIMITIVES = frozenset("int char bool short long float double void unsigned signed size_t string auto wchar_t int8_t int16_t int32_t int64_t uint8_t uint16_t uint32_t uint64_t".split())
@@ -17,10 +19,10 @@ SYNTAX = frozenset("constexpr consteval constinit enum union using typedef opera
 NOT_A_TYPE = PRIMITIVES | KEYWORDS | STD_NOISE | SYNTAX
 NOT_IN_A_BODY = NOT_A_TYPE | frozenset(CONTAINERS) | frozenset(SMART_POINTERS) | {"std"}
 
-UNIQUE = re.compile(r"\bunique_ptr\s*<")
-SHARED = re.compile(r"\b(?:shared_ptr|weak_ptr|handle|intrusive_ptr)\s*<", re.IGNORECASE)
-CONTAINER = re.compile(r"\b(?:" + "|".join(CONTAINERS) + r")\s*<")
-NAME = re.compile(r"[A-Za-z_]\w*")
+COUNTED = frozenset(("shared_ptr", "weak_ptr", "handle", "intrusive_ptr"))
+NO_TARGET = PRIMITIVES | KEYWORDS | STD_NOISE
+QUALIFIERS = frozenset(("const", "volatile", "typename", "struct", "class"))
+TOKEN = re.compile(r"[A-Za-z_]\w*|::|\S")
 
 
 def last_argument(inner: str) -> str:
@@ -36,40 +38,82 @@ def last_argument(inner: str) -> str:
     return inner[start:].strip()
 
 
+@dataclass
+class TypeName:
+    """One level of a type expression: its name without scope, None where it is no plain name, and its arguments."""
+
+    name: str | None = None
+    arguments: list[TypeName] = field(default_factory=list)
+
+    def levels(self) -> Iterator[TypeName]:
+        yield self
+        for a in self.arguments:
+            yield from a.levels()
+
+    def core(self) -> str | None:
+        """The name that the last arguments lead to, None if it is no class."""
+        return self.arguments[-1].core() if self.arguments else None if self.name in NO_TARGET else self.name
+
+
+def parse_type(expression: str) -> tuple[TypeName, list[str]]:
+    """The tree of a type expression, and its tokens."""
+    tokens = TOKEN.findall(expression)
+    top = TypeName()
+    open_, spot, scoped = [top], top, True
+    for t in tokens:
+        if t == "<":
+            spot = TypeName()
+            open_[-1].arguments.append(spot)
+            open_.append(spot)
+            scoped = True
+        elif t == "," and len(open_) > 1:
+            open_.pop()
+            spot = TypeName()
+            open_[-1].arguments.append(spot)
+            open_.append(spot)
+            scoped = True
+        elif t == ">" and len(open_) > 1:
+            open_.pop()
+            spot = open_[-1]
+        elif t == "::":
+            scoped = True
+        elif t in QUALIFIERS or t in "*&" or spot.arguments:
+            pass  # what follows the arguments says nothing more
+        elif scoped and (t[0].isalpha() or t[0] == "_"):
+            spot.name, scoped = t, False
+        else:  # two words, a function, an array or a number
+            spot.name, scoped = None, False
+    return top, tokens
+
+
 def innermost_name(expression: str) -> str | None:
-    """The class at the core of a type: wrappers peeled off from the outside, the last argument followed; None if it is none."""
-    s = expression.strip()
-    while True:
-        s = re.sub(r"^(?:const|volatile|typename|struct|class)\s+", "", s).rstrip(" *&").removesuffix(" const").rstrip(" *&")
-        a, b = s.find("<"), s.rfind(">")
-        if 0 <= a < b:
-            s = last_argument(s[a + 1 : b])
-            continue
-        name = s.split("::")[-1].strip()
-        return name if NAME.fullmatch(name) and name not in PRIMITIVES | KEYWORDS | STD_NOISE else None
-
-
-def wrapper_kind(expression: str) -> str | None:
-    """The relation kind that the outermost wrapper says, None for a bare name."""
-    if UNIQUE.search(expression):
-        return "composes"
-    if SHARED.search(expression):
-        return "associates"
-    if CONTAINER.search(expression):
-        return "aggregates"
-    return "associates" if expression.rstrip().endswith("*") else None
+    """The class at the core of a type: the last argument followed inwards; None if it is none."""
+    return parse_type(expression)[0].core()
 
 
 def classify_field(expression: str) -> tuple[str, str] | None:
-    """(relation kind, target's short name) of a field's type, None if it is no class."""
-    if expression.split("<")[0].split("::")[-1].strip() in STD_NOISE:
+    """(relation kind, target's short name) of a field's type, None if it is no class.
+
+    What owns alone composes, wherever it stands; what counts or watches owners
+    associates; containers aggregate; a bare pointer associates; a value composes.
+    """
+    tree, tokens = parse_type(expression)
+    core = None if tree.name in STD_NOISE else tree.core()
+    if core is None:
         return None
-    core = innermost_name(expression)
-    return (wrapper_kind(expression) or "composes", core) if core else None
+    wrappers = {x.name for x in tree.levels() if x.name and x.arguments}
+    if "unique_ptr" in wrappers:
+        return "composes", core
+    if any(w.lower() in COUNTED for w in wrappers):
+        return "associates", core
+    if wrappers & set(CONTAINERS):
+        return "aggregates", core
+    return ("associates" if tokens[-1] == "*" else "composes"), core
 
 
 def alias_kind(text: str) -> str | None:
     """The kind that an alias's text implies for what is declared with it; None for a bare name, which says nothing."""
-    bare = "<" not in text and "&" not in text and not text.rstrip().endswith("*")
-    found = None if bare else classify_field(text)
+    _, tokens = parse_type(text)
+    wrapped = "<" in tokens or "&" in tokens or tokens[-1:] == ["*"]
+    found = classify_field(text) if wrapped else None
     return found[0] if found else None

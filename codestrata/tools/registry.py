@@ -81,7 +81,7 @@ def run_tool(context: Context, name: str, args: dict | None = None) -> str:
     try:
         inspect.signature(TOOLS[name].handler).bind(context, **given)
     except TypeError as e:
-        return f"Bad arguments for {name}: {e}"
+        return f"{name} does not take these arguments: {e}"
     try:
         return TOOLS[name].handler(context, **given)
     except Exception as e:  # a tool never raises

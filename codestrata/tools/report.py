@@ -12,10 +12,6 @@ from codestrata.operators import graph
 from codestrata.session import Scratch
 from codestrata.tools.review import by_priority, safe_json
 
-#: The page holds everything in memory, so a graph beyond this shows its heaviest nodes; the tables keep all.
-SHOWN = 5000
-
-
 def class_nodes(entities: DataFrame) -> DataFrame:
     """(id, name, kind, file_path) of the classes that are no phantoms."""
     real = entities.filter(F.col("kind").isin(*CLASS_KINDS) & ~F.coalesce("phantom", F.lit(False)))
@@ -55,17 +51,16 @@ def folded_forest(nodes: DataFrame, edges: DataFrame, relationships: DataFrame,
 
 
 def build_payload(entities: DataFrame, relationships: DataFrame, audit: dict | None = None, reviews: dict[str, str] | None = None, orchestrator: str | None = None) -> dict:
-    """summary, graph, arch, arch_graph and review."""
+    """summary, graph, arch, arch_graph and review, with all classes: the page is one document, so its size is that of the code base's graph."""
     nodes = class_nodes(entities)
     pairs = pair_payload(relationships, nodes)
     edges = graph.build_graph(nodes, relationships.select(F.col("source_qname").alias("src"), F.col("target_qname").alias("dst"), "kind"))
     fan_in = edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("fan_in"))
     visible = {r["id"] for r in graph.visible_roots(nodes, edges).collect()}
-    util = graph.degrees(nodes, edges).select("id", graph.is_utility().alias("utility"))
-    shown = nodes.join(fan_in, "id", "left").join(util, "id").fillna(0, ["fan_in"]).orderBy(F.desc("fan_in"), "id").limit(SHOWN).collect()
-    ids = {r["id"] for r in shown}
-    links = [r.asDict(recursive=True) for r in pairs.orderBy("src", "dst").collect() if r["src"] in ids and r["dst"] in ids]
-    tree = [r.asDict() for r in folded_forest(nodes, edges, relationships, orchestrator).orderBy("root", "id").collect() if r["id"] in ids]
+    util = graph.degrees(nodes, edges).select("id", (graph.is_utility() & ~F.col("id").eqNullSafe(F.lit(orchestrator).cast("string"))).alias("utility"))
+    shown = nodes.join(fan_in, "id", "left").join(util, "id").fillna(0, ["fan_in"]).orderBy(F.desc("fan_in"), "id").collect()
+    links = [r.asDict(recursive=True) for r in pairs.orderBy("src", "dst").collect()]
+    tree = [r.asDict() for r in folded_forest(nodes, edges, relationships, orchestrator).orderBy("root", "id").collect()]
     review = [{"module": m, **(safe_json(t) or {"assessment": t})} for m, t in sorted((reviews or {}).items())]
     return {
         "summary": {"classes": nodes.count(), "relationships": relationships.count(), "shown": len(shown)},

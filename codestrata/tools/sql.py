@@ -31,6 +31,7 @@ def run_select(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> D
     own = spark.newSession()
     for k in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         own.conf.set(k, spark.conf.get(k))
+    own.conf.set("spark.sql.runSQLOnFiles", "false")  # a path is no table
     for name, df in tables.items():
         _register(own, name, df)
     return own.sql(text)

@@ -11,8 +11,8 @@ from tests import tree
 @pytest.mark.parametrize(
     "expression,found",
     [
-        ("std::unique_ptr<Engine>", ("composes", "Engine")), ("FuelTank", ("composes", "FuelTank")), ("std::vector<Engine*>", ("aggregates", "Engine")), ("std::shared_ptr<sinks::sink>", ("associates", "sink")),
-        ("Engine*", ("associates", "Engine")), ("int", None), ("char*", None), ("std::function<void(X)>", None), ("std::vector<std::unique_ptr<X>>", ("composes", "X")), ("std::map<int, ns::Y>", ("aggregates", "Y")),
+        ("std::unique_ptr<Pump>", ("composes", "Pump")), ("Valve", ("composes", "Valve")), ("std::vector<Pump*>", ("aggregates", "Pump")), ("std::shared_ptr<pipes::Pipe>", ("associates", "Pipe")),
+        ("Pump*", ("associates", "Pump")), ("int", None), ("char*", None), ("std::function<void(X)>", None), ("std::vector<std::unique_ptr<X>>", ("composes", "X")), ("std::map<int, ns::Y>", ("aggregates", "Y")),
         ("occ::Handle<Shape>", ("associates", "Shape")), ("const ns::Z*", ("associates", "Z")), ("std::vector<int>", None),
     ],
 )
@@ -90,10 +90,10 @@ def test_cache_parses_only_what_changed(spark, tmp_path):
     assert cache_misses(scan.files(spark, root), old, scan.FINGERPRINT).count() == 0
     second = scan.scan(spark, root, cache)
     assert sorted(map(str, second.entities.collect())) == sorted(map(str, first.entities.collect()))
-    with open(f"{root}/a/Engine.hxx", "a") as f:
+    with open(f"{root}/a/Pump.hxx", "a") as f:
         f.write("class Added {};\n")
     os.remove(f"{root}/b/latin.c")
-    assert [r["file_path"] for r in cache_misses(scan.files(spark, root), scan.load_cache(spark, cache)[0], scan.FINGERPRINT).collect()] == ["a/Engine.hxx"]
+    assert [r["file_path"] for r in cache_misses(scan.files(spark, root), scan.load_cache(spark, cache)[0], scan.FINGERPRINT).collect()] == ["a/Pump.hxx"]
     third = {r["qualified_name"] for r in scan.scan(spark, root, cache).entities.collect()}
     assert "Added" in third and "Latin" not in third and "Boat" in third
 

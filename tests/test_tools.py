@@ -23,7 +23,7 @@ def context(spark, tmp_path_factory):
 def test_dispatch_never_raises(spark, tmp_path):
     c = Context(spark, str(tmp_path), Store(spark, str(tmp_path / "s")))
     assert "Unknown tool" in run_tool(c, "nothing")
-    assert "Bad arguments" in run_tool(c, "list_classes", {"wrong": 1})
+    assert "does not take" in run_tool(c, "list_classes", {"wrong": 1})
     assert "scan_source first" in run_tool(c, "get_overview")
     assert len(TOOLS) == 14
     for t in TOOLS.values():
@@ -52,6 +52,8 @@ def test_sql_is_read_only(context):
     for bad in ("DROP TABLE entities", "WITH x AS (SELECT 1) SELECT * FROM x", "select reflect('java.lang.System', 'exit', '1')", "select `java_method`('a', 'b')"):
         assert "allowed" in run_tool(context, "query_db", {"sql": bad})
     assert "failed" in run_tool(context, "query_db", {"sql": "select 1; drop table x"})
+    for path in ("text.`/etc/hostname`", "binaryFile.`/etc/hostname`", "parquet.`/root/testdata/sf0.001/part.parquet`"):
+        assert "failed" in run_tool(context, "query_db", {"sql": f"SELECT * FROM {path}"})
     assert len(run_tool(context, "query_db", {"sql": "select id from range(100)"}).splitlines()) == 52
 
 
