@@ -167,6 +167,12 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
 
 
+def roots_by_reach(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, reach, place): nodes without an incoming edge, those that reach most others first."""
+    found = roots(nodes, edges).join(reach_counts(nodes, edges), "id")
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc("reach"), "id")).cast("long"))
+
+
 # -- scores and style ----------------------------------------------------------
 def oop_scores(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, out_w, in_w, reach, score): out + 0.5 reach - 0.8 in."""
