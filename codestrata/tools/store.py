@@ -14,7 +14,9 @@ LOGS = {
     "arch_audit": "id long, payload_json string, graph_hash string",
     "arch_module_review": "id long, module_name string, parsed_json string, graph_hash string",
 }
-KEYED = {"llm_cache": ("prompt_hash string, model string, response string", ["prompt_hash", "model"])}
+#: When a log's row was written, and when an answer was cached.
+CREATED, CACHED = "created", "cached_at"
+KEYED = {"llm_cache": (f"prompt_hash string, model string, response string, {CACHED} timestamp", ["prompt_hash", "model"])}
 
 
 class Store:
@@ -41,7 +43,7 @@ class Store:
 
     def table(self, name: str) -> DataFrame:
         """The table, empty if it was never written; only for logs and keyed tables, whose schemas are fixed."""
-        schema = LOGS.get(name) or KEYED[name][0]
+        schema = f"{LOGS[name]}, {CREATED} timestamp" if name in LOGS else KEYED[name][0]
         held = self.read(name)
         return held if held is not None else self.spark.createDataFrame([], schema)
 
@@ -49,12 +51,12 @@ class Store:
         """Add rows (without id) to a log, numbered on. Logs hold what people and models wrote, so a call brings few rows."""
         old = self.table(name)
         top = old.agg(F.max("id")).first()[0] or 0
-        new = self.spark.createDataFrame([(top + i + 1, *r) for i, r in enumerate(rows)], LOGS[name])
-        self.write(name, old.unionByName(new))
+        new = self.spark.createDataFrame([(top + i + 1, *r) for i, r in enumerate(rows)], LOGS[name]).withColumn(CREATED, F.current_timestamp())
+        self.write(name, old.unionByName(new, allowMissingColumns=True))
 
     def put(self, name: str, rows: DataFrame) -> None:
         """Upsert into a keyed table."""
-        self.write(name, upsert(self.table(name), rows, KEYED[name][1]))
+        self.write(name, upsert(self.table(name), rows.withColumn(CACHED, F.current_timestamp()), KEYED[name][1]))
 
     def latest(self, name: str, key: str) -> DataFrame:
         """A log's last row of each key."""

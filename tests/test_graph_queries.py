@@ -10,7 +10,8 @@ from codestrata.plans.catalog import ORACLES, QUERIES
 
 #: Parts by brand. A part refers to its half (quantity 45 or more) or its third (less than 45); at quantity 50 and discount 0.09 its half refers back.
 BRANDS = {2: "C", 4: "A", 5: "B", 6: "C", 3: "V", 20: "V", 10: "X", 22: "V", 11: "Y", 30: "P", 15: "Q", 100: "H", 200: "D", 201: "E", 300: "F"}
-LINES = [(4, 45, 0.0), (5, 45, 0.0), (6, 45, 0.0), (20, 45, 0.0), (22, 45, 0.0), (30, 50, 0.09), (200, 45, 0.0), (201, 45, 0.0), (300, 44, 0.0)]
+BRANDS |= {101: "H", 102: "H"} | {k: f"N{k}" for k in (202, 203, 303, 304, 305, 204, 205, 306, 307)}  # more that lean on H
+LINES = [(4, 45, 0.0), (5, 45, 0.0), (6, 45, 0.0), (20, 45, 0.0), (22, 45, 0.0), (30, 50, 0.09), (200, 45, 0.0), (201, 45, 0.0), (300, 44, 0.0)] + [(k, 45 if k < 300 else 44, 0.0) for k in (202, 203, 303, 304, 305, 204, 205, 306, 307)]
 
 
 @pytest.fixture(scope="module")
@@ -25,11 +26,11 @@ def planted(spark, tmp_path_factory):
 def test_module_rules_see_every_reference(planted):
     got = {r[0]: r[1:] for r in planted("module_instability")}
     assert got["BrandC"] == (1, 2, 0.333333333) and got["BrandV"] == (2, 1, 0.666666667) and got["BrandP"] == got["BrandQ"] == (1, 1, 0.5)
-    assert planted("rule_god_module") == [("BrandH", 3)]
+    assert planted("rule_god_module") == [("BrandH", 12)]
     assert planted("rule_inverted_core") == [("BrandC", "BrandV")]
     assert planted("module_cycle_pairs") == [("BrandP", "BrandQ")]
     assert planted("rule_module_cycle") == [("no_module_cycle", "high", "BrandP,BrandQ")]
-    assert planted("findings_order") == [("god_module", "high", "God module: BrandH", 4, 1), ("inverted_core", "medium", "Stable module BrandC depends on unstable BrandV", 2, 2)]
+    assert planted("findings_order") == [("god_module", "high", "God module: BrandH", 13, 1), ("inverted_core", "medium", "Stable module BrandC depends on unstable BrandV", 2, 2)]
     assert [r[:4] for r in planted("decouple_cuts")] == [("BrandP", "BrandP", "BrandQ", 1)] or [r[:4] for r in planted("decouple_cuts")] == [("BrandP", "BrandQ", "BrandP", 1)]
 
 

@@ -74,6 +74,7 @@ def test_scan_of_a_tree(spark, tmp_path):
     assert ents["method", "Shop::Car::engine"]["parent_qname"] == "Shop::Car" and ents["field", "Boat::m_tank"]["signature"] == "Tank"
     assert {(r["source_qname"], r["kind"], r["target_name"], r["target_qname"], r["evidence_line"]) for r in g.relationships.collect()} == tree.RELATIONS
     stats = g.statistics.first()
+    assert (stats["merged_count"], stats["ambiguous_count"], stats["alias_expanded"], stats["alias_dropped"], stats["retagged_count"]) == (0, 1, 2, 0, 2)
     assert stats["class_count"] == 8 and stats["phantom_count"] == 1 and stats["resolved_count"] == 15
     assert scan.vendored_count(spark, str(tmp_path / "src")).first()["excluded"] == 1
     again = scan.scan(spark, str(tmp_path / "src"))
@@ -94,7 +95,10 @@ def test_cache_parses_only_what_changed(spark, tmp_path):
         f.write("class Added {};\n")
     os.remove(f"{root}/b/latin.c")
     assert [r["file_path"] for r in cache_misses(scan.files(spark, root), scan.load_cache(spark, cache)[0], scan.FINGERPRINT).collect()] == ["a/Pump.hxx"]
-    third = {r["qualified_name"] for r in scan.scan(spark, root, cache).entities.collect()}
+    last = scan.scan(spark, root, cache)
+    counted = last.statistics.first()
+    assert (counted["cache_hits"], counted["cache_misses"]) == (4, 1) and second.statistics.first()["cache_misses"] == 0
+    third = {r["qualified_name"] for r in last.entities.collect()}
     assert "Added" in third and "Latin" not in third and "Boat" in third
 
 
@@ -112,3 +116,28 @@ def test_alias_chains(spark, tmp_path):
     g = scan.scan(spark, tree.make(tmp_path / "al", files))
     got = {(r["kind"], r["target_name"], r["target_qname"]) for r in g.relationships.filter(F.col("source_qname") == "U").collect()}
     assert got == {("associates", "T", "T")}  # the wrapper behind an alias decides; aliases of no class and endless ones are dropped
+
+
+def test_warm_scan_opens_no_unchanged_file(spark, tmp_path):
+    """What a file holds does not count while its time and size stay."""
+    root, cache = tree.make(tmp_path / "w"), str(tmp_path / "cache")
+    before = scan.scan(spark, root, cache).entities.count()
+    path = f"{root}/a/Pump.hxx"
+    was = os.stat(path)
+    with open(path, "r+") as f:
+        f.write("#pragma ONCE")
+    os.utime(path, ns=(was.st_atime_ns, was.st_mtime_ns))
+    assert scan.scan(spark, root, cache).entities.count() == before
+    plan = scan.files(spark, root, texts=False)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[1]
+
+
+@pytest.mark.parametrize("text", ["int", "X", "ns::X*", "std::vector<X>", "std::vector<ns::X*>", "unique_ptr<X>", "Handle<X>", "std::map<int, X>", "std::function<X>", "const X&", "std::vector<const X*>", "string", "std::set<int>", "unsigned long", "weak_ptr<A, B> *"])
+def test_sch_types_follow_the_same_rules(spark, text):
+    got = spark.range(1).select(scan._field_type(F.lit(text)).alias("f")).first()["f"]
+    assert (tuple(got) if got else None) == classify_field(text)
+
+
+@pytest.mark.parametrize("text,pure", [("void f() = 0;", True), ("void f() const noexcept = 0", True), ("void f() & = 0", True), ("void f(int a = 0)", False), ("void f() = default", False), ("void f() { x = 0; }", False), ("int x = 0;", False), (None, False), ("void f() = 00", False)])
+def test_pure_virtual(spark, text, pure):
+    assert spark.range(1).select(scan.is_pure_virtual(F.lit(text).cast("string"))).first()[0] is pure

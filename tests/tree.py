@@ -3,9 +3,9 @@
 import os
 
 FILES = {
-    "a/Engine.hxx": "#pragma once\nclass Motor {\npublic:\n    void Start();\n    double Rpm() const;\nprivate:\n    double m_rpm;\n};\n",
+    "a/Pump.hxx": "#pragma once\nclass Motor {\npublic:\n    void Start();\n    double Rpm() const;\nprivate:\n    double m_rpm;\n};\n",
     "a/Car.hxx": """#pragma once
-#include "Engine.hxx"
+#include "Pump.hxx"
 namespace Shop {
 // class Fake {};
 const char* k = "class AlsoFake {";
