@@ -303,7 +303,7 @@ def _first(q: np.ndarray, c: np.ndarray, s: np.ndarray, k: int) -> list[np.ndarr
 
 
 def _compare(k: int):
-    """Cells (m, q), lists of (id, vec), to each query's k + 1 nearest of the cells seen by a task."""
+    """Cells (m, q), lists of (id, vec) and (id, vec, least), to each query's k + 1 nearest of the cells seen by a task, of those not below its `least` score."""
     none = lambda: [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,6 +315,8 @@ def _compare(k: int):
                 m = m.slice(at[0], at[-1] - at[0])
                 sides.append((at - at[0], m.field("id").to_numpy(), m.field("vec"), m.field("vec").value_lengths().to_numpy(zero_copy_only=False)))
             (at_m, id_m, vec_m, dim_m), (at_q, id_q, vec_q, dim_q) = sides
+            lists = batch["q"].values.field("least")
+            least = lists.slice(batch["q"].offsets[0].as_py(), len(id_q)).to_numpy()
             out = [[held[i]] for i in range(3)]
             for i, j, a, b in zip(at_m, at_m[1:], at_q, at_q[1:]):
                 for d in np.unique(dim_q[a:b]):  # more than one only where lengths share a key by chance
@@ -328,8 +330,9 @@ def _compare(k: int):
                     top = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < len(mi) else np.broadcast_to(np.arange(n), (len(qi), n))
                     r, c = np.repeat(np.arange(len(qi)), n), top.ravel()
                     score = (y[r] * x[c]).sum(1) / (ny[r] * nx[c])
+                    good = score >= least[qi][r] - 1e-12
                     for o, v in zip(out, (id_q[qi][r], id_m[mi][c], score)):
-                        o.append(v)
+                        o.append(v[good])
             held = _first(*map(np.concatenate, out), k)
             if len(held[0]) > 500_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["q", "c", "score"])
@@ -340,7 +343,7 @@ def _compare(k: int):
 
 
 #: How many buckets of a table have been visited after each round.
-ROUNDS = (1, 16, 128, 512, 1024)
+ROUNDS = (1, 8, 64, 256, 640)
 
 
 def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = 8, hashes: int | None = None, width: float = 2.0, rounds: tuple[int, ...] = ROUNDS, sure: float = 0.93, chunk: int = 1024, query_chunk: int = 256, seed: int = 3, report: dict | None = None) -> DataFrame:
@@ -367,20 +370,24 @@ def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     classes, total = scratch.counted(numbered.withColumn("c", F.monotonically_increasing_id()))
     asked = scratch.write(rows.filter(is_query).select(F.col("id").alias("query_id"), "h1", "h2").distinct())
     wanted = scratch.write(classes.join(asked.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select(F.col("c").alias("q"), "vec"))
-    hashes = hashes or hashes_for(total, width, 16)
+    hashes = hashes or hashes_for(total, width, 32)
 
     hashed = _hashed(classes.select(F.col("c").alias("id"), "vec"), tables, hashes, width, seed)
     members = hashed.select("id", "vec", F.posexplode("keys").alias("t", "key"))
     cells = scratch.write(_chunked(members, chunk, 1, scratch).groupBy("t", "key", "part").agg(F.first("parts").alias("parts"), F.collect_list(F.struct("id", "vec")).alias("m")))
 
-    def visit(asks: DataFrame, cells: DataFrame) -> DataFrame:
-        """The nearest of the buckets asked for: asks (q, t, key), cells (t, key, part, parts, m)."""
+    def visit(asks: DataFrame, cells: DataFrame, near: DataFrame | None) -> DataFrame:
+        """The nearest of the buckets asked for, if not farther than the last of those found before: asks (q, t, key), cells (t, key, part, parts, m)."""
         sizes = cells.filter("part = 0").select("t", "key", "parts")
         full = scratch.write(asks.join(sizes, ["t", "key"]))
         crowd = full.groupBy("t", "key").agg(F.ceil(F.count(F.lit(1)) / query_chunk).cast("int").alias("crowds"))
         spread = full.join(crowd, ["t", "key"]).withColumn("crowd", F.pmod(F.xxhash64("q"), F.col("crowds")).cast("int"))
-        sides = spread.join(wanted, "q").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        right = sides.groupBy("t", "key", "part", "crowd").agg(F.collect_list(F.struct(F.col("q").alias("id"), "vec")).alias("q"))
+        least = F.lit(-2.0)
+        asking = wanted
+        if near is not None:
+            asking, least = wanted.join(near.filter(F.col("place") == k + 1).select("q", "score"), "q", "left"), F.coalesce("score", F.lit(-2.0))
+        sides = spread.join(asking.select("q", "vec", least.alias("least")), "q").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        right = sides.groupBy("t", "key", "part", "crowd").agg(F.collect_list(F.struct(F.col("q").alias("id"), "vec", "least")).alias("q"))
         left = cells.join(crowd, ["t", "key"]).withColumn("crowd", F.explode(F.sequence(F.lit(0), F.col("crowds") - 1)))
         both = left.select("t", "key", "part", "crowd", "m").join(right, ["t", "key", "part", "crowd"])
         if report is not None:
@@ -402,13 +409,13 @@ def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
             report.setdefault("probes", []).append(n)
         if not n:
             break
-        met = visit(asks, cells).withColumn("place", F.lit(0))
+        met = visit(asks, cells, near).withColumn("place", F.lit(0))
         near = scratch.write(nearest(met if near is None else near.unionByName(met)))
     few = wanted if near is None else wanted.join(near.groupBy("q").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > F.lit(min(k, total - 1))), "q", "left_anti")
     few, n = scratch.counted(few.select("q", F.size("vec").alias("key")))
     if n:  # blocks of all vectors of the query's length
         blocks = classes.select(F.col("c").alias("id"), "vec", F.size("vec").alias("key"), F.lit(-1).alias("t"))
-        met = visit(few.select("q", F.lit(-1).alias("t"), "key"), scratch.write(_chunked(blocks, chunk, 1, scratch).groupBy("t", "key", "part").agg(F.first("parts").alias("parts"), F.collect_list(F.struct("id", "vec")).alias("m"))))
+        met = visit(few.select("q", F.lit(-1).alias("t"), "key"), scratch.write(_chunked(blocks, chunk, 1, scratch).groupBy("t", "key", "part").agg(F.first("parts").alias("parts"), F.collect_list(F.struct("id", "vec")).alias("m"))), near)
         near = scratch.write(nearest(near.unionByName(met.withColumn("place", F.lit(0))) if near is not None else met))
     if report is not None:
         report |= {"queries": wanted.count(), "classes": total, "hashes": hashes, "scanned": n}
