@@ -78,6 +78,16 @@ class EliasFano:
                 out[a:b][hit] = at[hit] + k * BLOCK
         return out
 
+    def at(self, wanted: np.ndarray) -> np.ndarray:
+        """The numbers at sorted indices, block by block."""
+        out = np.zeros(len(wanted), np.uint64)
+        if len(wanted):
+            block = wanted // BLOCK
+            cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            for a, b in zip(cut, np.r_[cut[1:], len(wanted)]):
+                out[a:b] = self.block(int(block[a]))[wanted[a:b] % BLOCK]
+        return out
+
     @property
     def parts(self) -> tuple[np.ndarray, ...]:
         return np.array([self.n, self.low_bits], np.int64), self.low, self.high, self.firsts, self.starts
@@ -87,22 +97,23 @@ class EliasFano:
         return cls(int(head[0]), int(head[1]), *arrays)
 
 
-SUCCESSOR_BITS = 40
-
-
 class Trie:
     """Contexts, monotone pointers to their successors, and quantised smoothed probabilities.
 
-    Level 1 holds the sorted context keys, level 2 for each context its sorted
-    successor keys of 40 bits, lifted by the context's rank so that the whole level
-    is monotone. A look-up finds the context's rank, then the successor relative to it.
+    Level 1 holds the sorted context ids and for each a pointer to where its successors
+    begin in level 2. There the successor ids of a context, sorted, stand on top of the
+    last number of the context before, so that the whole level is monotone. A look-up
+    finds the context, follows its pointers to the range of its successors, takes the
+    base from the number before the range, and searches the successor relative to it.
+    Ids are kept whole, so no two pairs are ever taken for one another.
     """
 
     def __init__(self, contexts: np.ndarray, pointers: np.ndarray, successors: np.ndarray, codes: np.ndarray):
-        """Sorted contexts (63 bits), pointers (one more), successors of each context in order, a code for each."""
-        rank = np.repeat(np.arange(len(contexts), dtype=np.uint64), np.diff(pointers))
+        """Sorted context ids, pointers (one more), successor ids of each context in order, a code for each; every context has a successor."""
+        last = successors[pointers[1:] - 1].astype(np.int64) + 1
+        base = np.cumsum(last) - last
         arrays: list[np.ndarray] = []
-        for level in (contexts, pointers, (rank << np.uint64(SUCCESSOR_BITS)) | successors.astype(np.uint64)):
+        for level in (contexts, pointers, successors + np.repeat(base, np.diff(pointers))):
             arrays += EliasFano.encode(level).parts
         arrays.append(codes.astype(np.uint16))
         self.file = tempfile.TemporaryFile()  # without a name: it goes with the process
@@ -120,12 +131,19 @@ class Trie:
         self.codes = views[15]
 
     def find(self, contexts: np.ndarray, lengths: np.ndarray, successors: np.ndarray) -> np.ndarray:
-        """Codes of pairs, ABSENT where unknown: sorted distinct contexts, how many pairs each has, and their sorted successors."""
-        rank = np.repeat(self.contexts.find(contexts), lengths)
+        """Codes of pairs, ABSENT where unknown: sorted distinct contexts, how many pairs each has, and their sorted distinct successors."""
         out = np.full(len(successors), ABSENT, np.uint16)
-        known = np.flatnonzero(rank >= 0)
-        at = self.successors.find((rank[known].astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | successors[known].astype(np.uint64))
-        out[known[at >= 0]] = self.codes[at[at >= 0]]
+        rank = self.contexts.find(contexts.astype(np.uint64))
+        held = rank >= 0
+        known = rank[held]
+        start, end = self.pointers.at(known).astype(np.int64), self.pointers.at(known + 1).astype(np.int64)
+        base = np.where(start > 0, self.successors.at(np.maximum(start - 1, 0)).astype(np.int64) + 1, 0)
+        top = self.successors.at(end - 1).astype(np.int64)
+        where = np.flatnonzero(np.repeat(held, lengths))
+        wanted = successors[where].astype(np.int64) + np.repeat(base, lengths[held])
+        inside = wanted <= np.repeat(top, lengths[held])
+        at = self.successors.find(wanted[inside].astype(np.uint64))
+        out[where[inside][at >= 0]] = self.codes[at[at >= 0]]
         return out
 
     def close(self) -> None:

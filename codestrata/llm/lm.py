@@ -1,25 +1,29 @@
 """Language-model scoring: a bigram model in sharded Elias-Fano tries.
 
 Texts are packed once into batch rows: the batch's distinct tokens as 64-bit hashes,
-and the texts as indices into them. What travels later is one compressed row for each
-batch and shard, never a row for each word.
+and the texts as indices into them. What travels later are compressed blocks of sorted
+pairs, never a row for each word.
 
 1. Batches send their tokens and training counts to token shards, which return the
-   total of each token.
-2. Batches send their distinct bigrams with training counts to bigram shards. A shard
-   merges them, smooths,  P(w | v) = (c(v w) + MU * P(w)) / (c(v) + MU),  and writes
-   the trie; then it looks up all that the batches ask for.
-3. Batches put the answers back to their texts. An unseen bigram has
-   MU / (c(v) + MU) * P(w). P(w) = (1 - e) c / N, or e, the share of tokens seen once,
-   for any unknown token. The context of the first token is the end token.
+   total of each token and its id: its rank by frequency in the shard, spread so that
+   ids of shards do not meet. Frequent tokens have small ids, which compress well.
+2. Batches send their distinct bigrams with training counts to bigram shards, by way of
+   bundles: shards form groups and batches form bundles, of about the square root of
+   their number each; a batch writes a block for each group, a bundle merges the blocks
+   of a group and writes a block for each shard. So with B batches and as many shards
+   there are B^1.5 blocks, not B^2, and pairs that batches share travel once.
+   A shard merges, smooths,  P(w | v) = (c(v w) + MU * P(w)) / (c(v) + MU),  and writes
+   the trie; then it looks up all that the bundles ask for.
+3. Answers go back the same way, and batches put them to their texts. An unseen bigram
+   has MU / (c(v) + MU) * P(w). P(w) = (1 - e) c / N, or e, the share of tokens seen
+   once, for any unknown token. The context of the first token is the end token.
 
 A context is dealt to as many shards as its share of the corpus asks for, so a word
 that follows everywhere does not fill one shard. Shards and batches grow in number
 with the corpus, not in size. Probabilities in the trie have 16 bits, the P(w) in
 them is taken from counts rounded to 0.5 %.
 
-Two tokens count as one if their 64-bit hashes meet, two successors of one context if
-their first 40 bits do; neither is to be expected below billions of words.
+Two tokens count as one if their 63-bit hashes meet; bigrams of ids are exact.
 
 Defined results: a null text is empty, and an empty text is one end token; without
 training text every token is unknown; repeated rows count each; rows with null ids
@@ -28,6 +32,7 @@ train; an empty table gives no rows. Only the id, text and training flag are rea
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 
@@ -38,7 +43,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.eliasfano import ABSENT, SUCCESSOR_BITS, Trie, dequantise, quantise
+from codestrata.llm.eliasfano import ABSENT, Trie, dequantise, quantise
 from codestrata.llm.simhash import split_words
 from codestrata.llm.text import bounded_batches, release_memory
 from codestrata.session import Scratch
@@ -67,9 +72,51 @@ def _rows(out: list[dict], schema: pa.Schema) -> pa.RecordBatch:
 
 
 BATCH_ARROW = pa.schema([("batch", pa.int64()), *((n, pa.binary()) for n in ("ids", "train", "lengths", "tokens", "keys"))])
-SHARD_ARROW = pa.schema([("shard", pa.int32()), ("batch", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("more", pa.binary())])
-ANSWER_ARROW = pa.schema([("shard", pa.int32()), ("batch", pa.int64()), ("answer", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("once", pa.int64())])
-SHARD, ANSWER = "shard int, batch long, keys binary, counts binary, more binary", "shard int, batch long, answer binary, tokens long, distinct long, once long"
+TOKEN_ARROW = pa.schema([("shard", pa.int32()), ("batch", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+TOTAL_ARROW = pa.schema([("shard", pa.int32()), ("batch", pa.int64()), ("totals", pa.binary()), ("ranks", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("once", pa.int64())])
+BLOCK_ARROW = pa.schema([("place", pa.int32()), ("bundle", pa.int64()), ("batch", pa.int64()), ("contexts", pa.binary()), ("successors", pa.binary()), ("counts", pa.binary()), ("levels", pa.binary())])
+CODE_ARROW = pa.schema([("place", pa.int32()), ("bundle", pa.int64()), ("group", pa.int32()), ("batch", pa.int64()), ("answer", pa.binary())])
+TOKEN, TOTAL = "shard int, batch long, keys binary, counts binary", "shard int, batch long, totals binary, ranks binary, tokens long, distinct long, once long"
+PAIRS, CODES = "place int, bundle long, batch long, contexts binary, successors binary, counts binary, levels binary", "place int, bundle long, group int, batch long, answer binary"
+
+
+class Pairs:
+    """Bigrams (v, w) sorted by v, then w, with training counts, the rounded totals of w and the totals of v."""
+
+    def __init__(self, v: np.ndarray, w: np.ndarray, count: np.ndarray, level: np.ndarray, total: np.ndarray):
+        self.v, self.w, self.count, self.level, self.total = v, w, count, level, total
+
+    def take(self, i: np.ndarray) -> Pairs:
+        return Pairs(self.v[i], self.w[i], self.count[i], self.level[i], self.total[i])
+
+    def pack(self) -> dict[str, bytes]:
+        """Contexts once each; successors as steps from the one before in their context."""
+        first = np.flatnonzero(np.r_[True, self.v[1:] != self.v[:-1]])
+        step = np.diff(self.w, prepend=0)
+        step[first] = self.w[first]
+        head = np.concatenate([np.diff(self.v[first], prepend=0), np.diff(np.r_[first, len(self.v)]), self.total[first]]).astype(np.int64)
+        return {"contexts": _put(head), "successors": _put(step.astype(np.int64)), "counts": _put(self.count.astype(np.uint32)), "levels": _put(self.level.astype(np.uint16))}
+
+    @staticmethod
+    def unpack(row: dict) -> Pairs:
+        v, lengths, total = _get(row["contexts"], np.int64).reshape(3, -1)
+        step = _get(row["successors"], np.int64)
+        first = np.cumsum(lengths) - lengths
+        run = np.cumsum(step)
+        w = run - np.repeat(run[first] - step[first], lengths)
+        return Pairs(np.repeat(np.cumsum(v), lengths), w, _get(row["counts"], np.uint32).astype(np.int64), _get(row["levels"], np.uint16), np.repeat(total, lengths))
+
+    @staticmethod
+    def merge(parts: list[Pairs]) -> tuple[Pairs, np.ndarray]:
+        """All distinct pairs with their counts added, and for each pair of the parts in a row its place among them."""
+        v, w, count, level, total = (np.concatenate([getattr(p, k) for p in parts]) for k in ("v", "w", "count", "level", "total"))
+        order = np.lexsort((w, v))
+        v, w = v[order], w[order]
+        new = np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])]
+        place = np.empty(len(v), np.int64)
+        place[order] = np.cumsum(new) - 1
+        first = order[new]
+        return Pairs(v[new], w[new], np.bincount(place, count, len(first)).astype(np.int64), level[first], total[first]), place
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,131 +184,146 @@ def _token_rows(shards: int):
                 tokens, keys = _get(row["tokens"], np.int32), _get(row["keys"], np.uint64)
                 counts = np.bincount(tokens[_training(row, tokens)], minlength=len(keys))
                 where = (_mixed(keys) % np.uint64(shards)).astype(np.int64)
-                yield _rows([{"shard": s, "batch": row["batch"], "keys": _put(keys[i]), "counts": _put(counts[i]), "more": None} for s, i in _by_shard(where)], SHARD_ARROW)
+                yield _rows([{"shard": s, "batch": row["batch"], "keys": _put(keys[i]), "counts": _put(counts[i])} for s, i in _by_shard(where)], TOKEN_ARROW)
 
     return run
 
 
 def _token_totals(table: pa.Table) -> pa.Table:
-    """One token shard: the total of each key, given back to every batch that has it."""
+    """One token shard: the total of each key and its rank by total, given back to every batch that has it."""
     rows = table.to_pylist()
     keys, counts = [_get(r["keys"], np.uint64) for r in rows], np.concatenate([_get(r["counts"], np.int64) for r in rows])
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(place, counts, len(distinct)).astype(np.int64)
+    rank = np.empty(len(distinct), np.int64)
+    rank[np.argsort(-total, kind="stable")] = np.arange(len(distinct))
     out, at = [], 0
     for i, (r, k) in enumerate(zip(rows, keys)):
-        first = i == 0
-        out.append({"shard": r["shard"], "batch": r["batch"], "answer": _put(total[place[at : at + len(k)]]), "tokens": int(total.sum()) if first else 0, "distinct": int((total > 0).sum()) if first else 0, "once": int((total == 1).sum()) if first else 0})
+        first, own = i == 0, place[at : at + len(k)]
+        out.append({"shard": r["shard"], "batch": r["batch"], "totals": _put(total[own]), "ranks": _put(rank[own]), "tokens": int(total.sum()) if first else 0, "distinct": int((total > 0).sum()) if first else 0, "once": int((total == 1).sum()) if first else 0})
         at += len(k)
-    return pa.Table.from_pylist(out, ANSWER_ARROW)
+    return pa.Table.from_pylist(out, TOTAL_ARROW)
 
 
 class Corpus:
     """Numbers of the training text and what follows from them."""
 
-    def __init__(self, tokens: int, distinct: int, once: int, token_shards: int, pair_shards: int, mu: float):
-        self.n, self.v, self.token_shards, self.pair_shards, self.mu = tokens, distinct, token_shards, pair_shards, mu
+    def __init__(self, tokens: int, distinct: int, once: int, token_shards: int, batches: int, mu: float):
+        self.n, self.v, self.token_shards, self.mu = tokens, distinct, token_shards, mu
+        self.pair_shards = 1 + batches
+        self.width = math.isqrt(self.pair_shards - 1) + 1  # shards of a group
+        self.bundles = max(1, math.isqrt(batches))
         self.unknown = (once + 1) / (tokens + 2)
 
     def single(self, count: np.ndarray) -> np.ndarray:
         """P(w) from counts."""
         return np.where(count > 0, (1 - self.unknown) * count / max(1, self.n), self.unknown)
 
-    def totals(self, keys: np.ndarray, answers: list[dict]) -> np.ndarray:
-        """The counts of a batch's keys from the token shards' answers."""
-        by = {a["shard"]: a["answer"] for a in answers}
-        out = np.zeros(len(keys), np.int64)
+    def known(self, keys: np.ndarray, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        """The totals and ids of a batch's keys from the token shards' answers."""
+        by = {a["shard"]: a for a in answers}
+        total, ids = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         for s, i in _by_shard((_mixed(keys) % np.uint64(self.token_shards)).astype(np.int64)):
-            out[i] = _get(by[s], np.int64)
-        return out
+            total[i], ids[i] = _get(by[s]["totals"], np.int64), _get(by[s]["ranks"], np.int64) * self.token_shards + s
+        return total, ids
 
-    def pairs(self, row: dict, total: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The batch's distinct bigrams (v, w), as indices, in the order of their keys; each token's bigram; the bigrams' shards."""
+    def shards(self, p: Pairs) -> np.ndarray:
+        """The shard of each pair; the pairs of a common context lie in several."""
+        slices = (1 + 4 * self.pair_shards * p.total // max(1, self.n)).astype(np.uint64)
+        v, w = p.v.astype(np.uint64), p.w.astype(np.uint64)
+        with np.errstate(over="ignore"):
+            odd = np.uint64(0xC2B2AE3D27D4EB4F)
+            return (_mixed(_mixed(v * odd + np.uint64(1)) + (_mixed(w * odd + np.uint64(7)) % slices) * odd) % np.uint64(self.pair_shards)).astype(np.int64)
+
+    def pairs(self, row: dict, answers: list[dict]) -> tuple[Pairs, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The batch's distinct bigrams; each token's bigram; the groups of the bigrams; the tokens' totals, and those of each bigram's w."""
         tokens, keys = _get(row["tokens"], np.int32), _get(row["keys"], np.uint64)
-        order = np.argsort(keys)
+        total, ids = self.known(keys, answers)
+        order = np.argsort(ids)
         rank = np.empty(len(keys), np.int64)
         rank[order] = np.arange(len(keys))
-        tokens = rank[tokens]
+        spots = rank[tokens]
         ends = np.cumsum(_get(row["lengths"], np.int64))
-        before = np.r_[0, tokens[:-1]]
-        before[np.r_[0, ends[:-1]]] = np.searchsorted(keys[order], END)
-        pair, place = np.unique(before * len(keys) + tokens, return_inverse=True)
+        before = np.r_[0, spots[:-1]]
+        before[np.r_[0, ends[:-1]]] = rank[np.flatnonzero(keys == END)[0]]
+        pair, place = np.unique(before * len(keys) + spots, return_inverse=True)
         v, w = order[pair // len(keys)], order[pair % len(keys)]
-        slices = (1 + 4 * self.pair_shards * total[v] // max(1, self.n)).astype(np.uint64)  # of a common context
-        with np.errstate(over="ignore"):
-            where = _mixed(_mixed(keys[v]) + (_mixed(keys[w]) % slices) * np.uint64(0xC2B2AE3D27D4EB4F)) % np.uint64(self.pair_shards)
-        return v, w, place, where.astype(np.int64)
-
-    def ask(self, row: dict, answers: list[dict]) -> list[dict]:
-        """A batch's rows for the bigram shards: contexts with pair numbers and totals, successors, counts, rounded totals."""
-        tokens, keys = _get(row["tokens"], np.int32), _get(row["keys"], np.uint64)
-        total = self.totals(keys, answers)
-        v, w, place, where = self.pairs(row, total)
         count = np.bincount(place[_training(row, tokens)], minlength=len(v))
         level = np.where(total > 0, 1 + np.rint(np.log10(np.maximum(total, 1)) / LOG_STEP), 0).astype(np.uint16)
-        out = []
-        for s, i in _by_shard(where):
-            first = np.flatnonzero(np.r_[True, v[i][1:] != v[i][:-1]])
-            contexts = v[i][first]
-            head = np.concatenate([keys[contexts], np.diff(np.r_[first, len(i)]).astype(np.uint64), total[contexts].astype(np.uint64)])
-            cut = (keys[w[i]] >> np.uint64(63 - SUCCESSOR_BITS)).view(np.uint8).reshape(-1, 8)[:, :5]
-            out.append({"shard": s, "batch": row["batch"], "keys": _put(head), "counts": _put(count[i].astype(np.uint32)), "more": np.ascontiguousarray(cut).tobytes() + _put(level[w[i]])})
-        return out
+        p = Pairs(ids[v], ids[w], count, level[w], total[v])
+        return p, place, self.shards(p) // self.width, total[tokens], total[w]
+
+    def ask(self, row: dict) -> list[dict]:
+        """A batch's blocks for the groups of shards."""
+        p, _, group, _, _ = self.pairs(row, row["totals"])
+        bundle = row["batch"] % self.bundles
+        return [{"place": g, "bundle": bundle, "batch": row["batch"], **p.take(i).pack()} for g, i in _by_shard(group)]
+
+    def gather(self, table: pa.Table) -> pa.Table:
+        """A bundle's blocks of one group, merged, to a block for each shard."""
+        rows = table.to_pylist()
+        p, _ = Pairs.merge([Pairs.unpack(r) for r in rows])
+        out = [{"place": s, "bundle": rows[0]["bundle"], "batch": 0, **p.take(i).pack()} for s, i in _by_shard(self.shards(p))]
+        release_memory()
+        return pa.Table.from_pylist(out, BLOCK_ARROW)
 
     def answer(self, table: pa.Table) -> pa.Table:
         """One bigram shard: merge, smooth, build the trie, look everything up."""
         rows = table.to_pylist()
-        heads, lengths, successors, counts, levels = [], [], [], [], []
-        for r in rows:
-            heads.append(_get(r["keys"], np.uint64).reshape(3, -1))
-            counts.append(_get(r["counts"], np.uint32))
-            n = len(counts[-1])
-            wide = np.zeros((n, 8), np.uint8)
-            wide[:, :5] = np.frombuffer(r["more"], np.uint8, 5 * n).reshape(n, 5)
-            successors.append(wide.view(np.uint64).reshape(-1))
-            levels.append(_get(r["more"][5 * n :], np.uint16))
-        contexts, at, back = np.unique(np.concatenate([h[0] for h in heads]), return_index=True, return_inverse=True)
-        context_total = np.concatenate([h[2] for h in heads])[at].astype(np.float64)
-        keys = np.repeat(back.astype(np.uint64) << np.uint64(SUCCESSOR_BITS), np.concatenate([h[1] for h in heads]).astype(np.int64))
-        keys |= np.concatenate(successors)
-        del heads, successors, back
-        pair, first, place = np.unique(keys, return_index=True, return_inverse=True)
-        del keys
-        total = np.bincount(place, np.concatenate(counts), len(pair))
-        level = np.concatenate(levels)[first].astype(np.float64)
+        parts = [Pairs.unpack(r) for r in rows]
+        sizes = [len(p.v) for p in parts]
+        p, place = Pairs.merge(parts)
+        del parts
+        level = p.level.astype(np.float64)
         single = self.single(np.where(level > 0, 10 ** ((level - 1) * LOG_STEP), 0))
-        rank, successor = (pair >> np.uint64(SUCCESSOR_BITS)).astype(np.int64), pair & np.uint64((1 << SUCCESSOR_BITS) - 1)
-        logp = np.log10((total + self.mu * single) / (context_total[rank] + self.mu))
-        seen = total > 0
-        held, per = np.unique(rank[seen], return_counts=True)
-        trie = Trie(contexts[held], np.r_[0, np.cumsum(per)], successor[seen], quantise(logp[seen]))
-        code = trie.find(contexts, np.bincount(rank, minlength=len(contexts)), successor)
+        logp = np.log10((p.count + self.mu * single) / (p.total + self.mu))
+        seen = p.count > 0
+        held, per = np.unique(p.v[seen], return_counts=True)
+        trie = Trie(held, np.r_[0, np.cumsum(per)], p.w[seen], quantise(logp[seen]))
+        contexts, lengths = np.unique(p.v, return_counts=True)
+        code = trie.find(contexts, lengths, p.w)
         trie.close()
         out, at = [], 0
-        for r, c in zip(rows, counts):
-            out.append({"shard": r["shard"], "batch": r["batch"], "answer": _put(code[place[at : at + len(c)]]), "tokens": 0, "distinct": 0, "once": 0})
-            at += len(c)
-        del code, place, pair, first, total, level, single, logp, rank, successor
+        for r, n in zip(rows, sizes):
+            out.append({"place": r["place"], "bundle": r["bundle"], "group": r["place"] // self.width, "batch": 0, "answer": _put(code[place[at : at + n]])})
+            at += n
+        del code, place, p, level, single, logp
         release_memory()
-        return pa.Table.from_pylist(out, ANSWER_ARROW)
+        return pa.Table.from_pylist(out, CODE_ARROW)
+
+    def give_back(self, asked: pa.Table, answers: pa.Table) -> pa.Table:
+        """The shards' answers to a bundle and group, dealt to its batches."""
+        rows = asked.to_pylist()
+        if not rows:
+            return pa.Table.from_pylist([], CODE_ARROW)
+        parts = [Pairs.unpack(r) for r in rows]
+        p, place = Pairs.merge(parts)
+        code, by = np.full(len(p.v), ABSENT, np.uint16), {a["place"]: a["answer"] for a in answers.to_pylist()}
+        for s, i in _by_shard(self.shards(p)):
+            code[i] = _get(by[s], np.uint16)
+        out, at = [], 0
+        for r, q in zip(rows, parts):
+            out.append({"place": r["place"], "bundle": r["bundle"], "group": r["place"], "batch": r["batch"], "answer": _put(code[place[at : at + len(q.v)]])})
+            at += len(q.v)
+        release_memory()
+        return pa.Table.from_pylist(out, CODE_ARROW)
 
-    def scores(self, row: dict, token_answers: list[dict], pair_answers: list[dict]) -> dict[str, np.ndarray]:
+    def scores(self, row: dict) -> dict[str, np.ndarray]:
         """The results of a batch's texts."""
-        tokens, keys, lengths = _get(row["tokens"], np.int32), _get(row["keys"], np.uint64), _get(row["lengths"], np.int64)
-        total = self.totals(keys, token_answers)
-        v, w, place, where = self.pairs(row, total)
-        by = {a["shard"]: a["answer"] for a in pair_answers}
-        code = np.full(len(v), ABSENT, np.uint16)
-        for s, i in _by_shard(where):
-            code[i] = _get(by[s], np.uint16)
-        unseen = np.log10(self.mu / (total[v] + self.mu)) + np.log10(self.single(total[w]))
+        lengths = _get(row["lengths"], np.int64)
+        p, place, group, total, single = self.pairs(row, row["totals"])
+        by = {a["place"]: a["answer"] for a in row["pairs"]}
+        code = np.full(len(p.v), ABSENT, np.uint16)
+        for g, i in _by_shard(group):
+            code[i] = _get(by[g], np.uint16)
+        unseen = np.log10(self.mu / (p.total + self.mu)) + np.log10(self.single(single))
         logp = np.where(code == ABSENT, unseen, dequantise(code))
         starts = np.cumsum(lengths) - lengths
         flags = _get(row["train"], np.uint8)
         return {
             "id": pa.array(_get(row["ids"], np.int64), mask=flags < 2), "held_out": (flags & 1) == 0, "n_tokens": lengths,
-            "n_known": np.add.reduceat((total[tokens] > 0).astype(np.int64), starts), "train_tokens": np.full(len(lengths), self.n, np.int64),
-            "base_score": np.add.reduceat(np.log10((total[tokens] + 1) / (self.n + self.v + 1)), starts), "score": np.add.reduceat(logp[place], starts),
+            "n_known": np.add.reduceat((total > 0).astype(np.int64), starts), "train_tokens": np.full(len(lengths), self.n, np.int64),
+            "base_score": np.add.reduceat(np.log10((total + 1) / (self.n + self.v + 1)), starts), "score": np.add.reduceat(logp[place], starts),
         }
 
 
@@ -272,29 +334,32 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(spark, "lm")
     packed = scratch.write(df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(train, F.lit(True)).alias("train"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_pack, BATCH))
     batches = packed.count()
-    token_shards, pair_shards = 1 + batches // 8, 1 + batches
+    token_shards = 1 + batches // 8
 
-    asked = packed.select("batch", "train", "lengths", "tokens", "keys").mapInArrow(_token_rows(token_shards), SHARD)
-    totals = scratch.write(asked.groupBy("shard").applyInArrow(_token_totals, ANSWER))
+    asked = packed.select("batch", "train", "lengths", "tokens", "keys").mapInArrow(_token_rows(token_shards), TOKEN)
+    totals = scratch.write(asked.groupBy("shard").applyInArrow(_token_totals, TOTAL))
     sums = totals.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "distinct", "once")]).first()
-    corpus = Corpus(sums["tokens"], sums["distinct"], sums["once"], token_shards, pair_shards, mu)
-    answers = lambda t, name: t.groupBy("batch").agg(F.collect_list(F.struct("shard", "answer")).alias(name))
-    known = scratch.write(packed.join(answers(totals, "totals"), "batch"))
+    corpus = Corpus(sums["tokens"], sums["distinct"], sums["once"], token_shards, batches, mu)
+    known = scratch.write(packed.join(totals.groupBy("batch").agg(F.collect_list(F.struct("shard", "totals", "ranks")).alias("totals")), "batch"))
     scratch.drop(keep=1)  # all that follows reads `known` alone
 
-    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
-            for r in b.to_pylist():
-                yield _rows(corpus.ask(r, r["totals"]), SHARD_ARROW)
-                release_memory()
+    def each(what):
+        def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in rows:
+                for r in b.to_pylist():
+                    yield what(r)
+                    release_memory()
+
+        return run
 
-    def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
-            for r in b.to_pylist():
-                yield pa.RecordBatch.from_pydict(corpus.scores(r, r["totals"], r["pairs"]))
-                release_memory()
+    def ask() -> DataFrame:
+        return known.mapInArrow(each(lambda r: _rows(corpus.ask(r), BLOCK_ARROW)), PAIRS)
 
-    # Written, as then what the bigrams were shuffled through can go before the last join.
-    pairs = scratch.write(known.mapInArrow(ask, SHARD).groupBy("shard").applyInArrow(lambda table: corpus.answer(table), ANSWER).select("shard", "batch", "answer"))
+    # Each step is written, as then what the one before was shuffled through can go. The batches' blocks are made twice rather than kept.
+    blocks = scratch.write(ask().groupBy("bundle", "place").applyInArrow(lambda table: corpus.gather(table), PAIRS))
+    codes = scratch.write(blocks.groupBy("place").applyInArrow(lambda table: corpus.answer(table), CODES))
+    back = ask().withColumn("group", F.col("place")).groupBy("bundle", "group").cogroup(codes.groupBy("bundle", "group"))
+    answers = scratch.write(back.applyInArrow(lambda asked, found: corpus.give_back(asked, found), CODES).select("batch", "place", "answer"))
     kind = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return known.join(answers(pairs, "pairs"), "batch").mapInArrow(finish, kind).withColumnRenamed("id", id_col)
+    full = known.join(answers.groupBy("batch").agg(F.collect_list(F.struct("place", "answer")).alias("pairs")), "batch")
+    return full.mapInArrow(each(lambda r: pa.RecordBatch.from_pydict(corpus.scores(r))), kind).withColumnRenamed("id", id_col)

@@ -18,6 +18,8 @@ def test_elias_fano_round_trip(monkeypatch, block):
         values = np.sort(rng.integers(0, top, n, dtype=np.uint64))
         e = EliasFano.encode(values)
         assert (e.decode() == values).all()
+        spots = np.sort(rng.integers(0, max(n, 1), 40))[: 40 * (n > 0)]
+        assert (e.at(spots) == values[spots]).all()
         wanted = np.unique(np.r_[values[::3], rng.integers(0, top, 50, dtype=np.uint64)])
         at = e.find(wanted) if len(np.unique(values)) == len(values) else None
         if at is not None:
@@ -46,6 +48,43 @@ def test_trie_equals_a_dictionary():
     trie.close()
 
 
+def test_pairs_of_a_busy_context_are_never_taken_for_one_another():
+    """Successors are whole ids, however many a context has."""
+    w = np.arange(2_000_000, dtype=np.int64) * 3
+    trie = Trie(np.array([5, 9]), np.array([0, len(w) - 1, len(w)]), np.r_[w[:-1], 2], np.r_[np.zeros(len(w) - 1, np.int64), 7])
+    got = trie.find(np.array([4, 5, 9]), np.array([1, 4, 3]), np.array([0, 0, 1, 3, 3 * len(w), 1, 2, 3]))
+    assert got.tolist() == [ABSENT, 0, ABSENT, 0, ABSENT, ABSENT, 7, ABSENT]
+    trie.close()
+
+
+def test_blocks_of_pairs():
+    rng = np.random.default_rng(3)
+
+    def made(n):
+        pairs = np.unique(rng.integers(0, 40, (n, 2)) * [1, 10**11], axis=0)
+        return lm.Pairs(pairs[:, 0], pairs[:, 1], rng.integers(0, 9, len(pairs)), pairs[:, 1] // 10**11, pairs[:, 0] * 3)
+
+    parts = [made(n) for n in (1, 50, 300)]
+    for p in parts:
+        q = lm.Pairs.unpack(p.pack())
+        assert all((getattr(p, k) == getattr(q, k)).all() for k in ("v", "w", "count", "level", "total"))
+    whole, place = lm.Pairs.merge(parts)
+    want = Counter()
+    for p in parts:
+        want.update(dict(zip(zip(p.v.tolist(), p.w.tolist()), p.count.tolist())) | {})
+    assert list(zip(whole.v.tolist(), whole.w.tolist())) == sorted({k for p in parts for k in zip(p.v.tolist(), p.w.tolist())})
+    assert all(want[k] == c for k, c in zip(zip(whole.v.tolist(), whole.w.tolist()), whole.count.tolist()))
+    every = np.concatenate([np.stack([p.v, p.w], 1) for p in parts])
+    assert (np.stack([whole.v, whole.w], 1)[place] == every).all()
+
+
+@pytest.mark.parametrize("batches", [1, 5, 100, 10_000])
+def test_blocks_grow_less_than_with_the_square(batches):
+    c = lm.Corpus(10**9, 10**6, 10, 1, batches, lm.MU)
+    groups = -(-c.pair_shards // c.width)
+    assert batches * groups + c.bundles * c.pair_shards <= 2 * batches**1.5 + 2 * batches + 4
+
+
 def tokens(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     return re.findall(r"[^\x20\x09-\x0D]+", low) + ["\n"]
