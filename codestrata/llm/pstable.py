@@ -17,8 +17,8 @@ estimated chance that they hold its neighbours. Perturbation sets are taken from
 heap over the ranks of the distances to the walls (Lv et al., 2007), one sequence
 for all queries. Probes come in rounds: after each, the distance of the k-th nearest
 found gives the chance that a vector at that distance lies in a bucket already
-visited; queries for which it is high enough are done, so those with near neighbours
-stop early and only those without go on.
+visited, and so how many probes more each query needs; those with near neighbours stop
+early and only those without go on.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components take no part; vectors of different lengths never meet; ties go to the
@@ -143,7 +143,7 @@ class Tables:
             return self._name((np.floor(at).astype(np.int64) * self.mix).sum(axis=-1)[..., None] + step @ sets.T)
 
     def success(self, at: np.ndarray, probes: int, distance: np.ndarray) -> np.ndarray:
-        """The chance that a point at each row's distance lies in one of its first so many buckets of some table."""
+        """(row, probe): the chance that a point at each row's distance lies in one of its first 1, 2, ... buckets of some table."""
         sets = perturbations(self.shape[1], probes)
         part, order = self._walls(at)
         x = 1 / (np.maximum(distance, 1e-9)[:, None, None] / self.width)
@@ -151,8 +151,8 @@ class Tables:
         own = np.maximum(above - below, 1e-12)
         beside = np.concatenate([below - _normal((-1 - part) * x), _normal((2 - part) * x) - above], axis=-1)
         ratio = np.log(np.maximum(beside, 1e-12)) - np.log(np.concatenate([own, own], axis=-1))
-        chance = np.exp(np.log(own).sum(axis=-1)[..., None] + np.take_along_axis(ratio, order, -1) @ sets.T.astype(float)).sum(axis=-1)
-        return 1 - np.prod(1 - np.minimum(chance, 1), axis=-1)
+        chance = np.exp(np.log(own).sum(axis=-1)[..., None] + np.take_along_axis(ratio, order, -1) @ sets.T.astype(float)).cumsum(axis=-1)
+        return 1 - np.prod(1 - np.minimum(chance, 1), axis=1)
 
 
 def _by_length(batch: pa.RecordBatch, rows: int) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -180,22 +180,21 @@ def _hashed(df: DataFrame, tables: int, hashes: int, width: float, seed: int) ->
 
 
 def _asking(queries: DataFrame, first: int, last: int, sure: float, tables: int, hashes: int, width: float, seed: int) -> DataFrame:
-    """(q, t, key) of the probes first to last for those queries (q, vec, far) that are not yet sure to have found all nearer than `far`."""
+    """(q, t, key) of the probes from `first` on, up to `last`, that queries (q, vec, far) need to be sure to have found all nearer than `far`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, Tables] = {}
         for batch in batches:
-            for dim, b in _by_length(batch, 128):
+            for dim, b in _by_length(batch, 64):
                 t = made.setdefault(dim, Tables(dim, tables, hashes, width, seed))
-                at, q = t.project(_matrix(b["vec"])), b["q"].to_numpy()
-                if first:
-                    far = b["far"].fill_null(2.0).to_numpy(zero_copy_only=False)
-                    go = t.success(at, first, far) < sure
-                    at, q = at[go], q[go]
+                at, q, far = t.project(_matrix(b["vec"])), b["q"].to_numpy(), b["far"].fill_null(2.0).to_numpy(zero_copy_only=False)
                 k = t.probes(at, first, last)
-                if k.size:
-                    table = np.broadcast_to(np.arange(tables, dtype=np.int32)[None, :, None], k.shape)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, k.shape[1] * k.shape[2])), pa.array(table.reshape(-1)), pa.array(k.reshape(-1))], ["q", "t", "key"])
+                wanted = np.arange(first, first + k.shape[2])
+                need = (t.success(at, last, far) < sure).sum(axis=1) + 1 if first else np.full(len(q), last)
+                go = np.broadcast_to((wanted < need[:, None])[:, None, :], k.shape)
+                if go.any():
+                    row, table, _ = np.nonzero(go)
+                    yield pa.RecordBatch.from_arrays([pa.array(q[row]), pa.array(table.astype(np.int32)), pa.array(k[go])], ["q", "t", "key"])
 
     return queries.mapInArrow(run, "q long, t int, key int")
 
@@ -342,11 +341,13 @@ def _compare(k: int):
     return run
 
 
-#: How many buckets of a table have been visited after each round.
-ROUNDS = (1, 8, 64, 256, 640)
+#: How many buckets of a table may have been visited after each round; a query stops within a round where it is sure.
+ROUNDS = (1, 8, 64, 512, 2048)
+#: How many unlike vectors a bucket should hold: a visit is one row of a matrix product, far cheaper than a probe.
+PER_BUCKET = 128
 
 
-def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = 8, hashes: int | None = None, width: float = 2.0, rounds: tuple[int, ...] = ROUNDS, sure: float = 0.93, chunk: int = 1024, query_chunk: int = 256, seed: int = 3, report: dict | None = None) -> DataFrame:
+def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = 8, hashes: int | None = None, width: float = 2.0, rounds: tuple[int, ...] = ROUNDS, sure: float = 0.95, chunk: int = 1024, query_chunk: int = 256, seed: int = 3, report: dict | None = None) -> DataFrame:
     """The k nearest found of every query row among all other ids: (query_id, rank, vec_id, score).
 
     All rows are indexed. A query probes until a vector at the distance of its k-th
@@ -370,7 +371,7 @@ def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     classes, total = scratch.counted(numbered.withColumn("c", F.monotonically_increasing_id()))
     asked = scratch.write(rows.filter(is_query).select(F.col("id").alias("query_id"), "h1", "h2").distinct())
     wanted = scratch.write(classes.join(asked.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select(F.col("c").alias("q"), "vec"))
-    hashes = hashes or hashes_for(total, width, 32)
+    hashes = hashes or hashes_for(total, width, PER_BUCKET)
 
     hashed = _hashed(classes.select(F.col("c").alias("id"), "vec"), tables, hashes, width, seed)
     members = hashed.select("id", "vec", F.posexplode("keys").alias("t", "key"))

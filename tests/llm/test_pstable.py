@@ -74,7 +74,7 @@ def test_probes_and_their_chance():
     assert (t.probes(at, 1, 2)[..., 0] == t.keys(moved)).all()
     noise = at + rng.standard_normal((2000, *at.shape)) * (0.7 / t.width)
     met = np.mean([(t.keys(y)[..., None] == t.probes(at, 0, 15)).any(axis=(1, 2)).mean() for y in noise])
-    assert abs(met - t.success(at, 15, np.full(len(x), 0.7)).mean()) < 0.02
+    assert abs(met - t.success(at, 15, np.full(len(x), 0.7))[:, -1].mean()) < 0.02
 
 
 def test_null_and_repeated_ids(spark):
@@ -100,12 +100,12 @@ def test_search_gives_all_candidates_of_a_spread_table(spark):
 
 def test_queries_with_near_neighbours_stop_early(spark):
     rng = np.random.default_rng(4)
-    x = np.repeat(rng.standard_normal((500, 64)), 8, axis=0) + 0.05 * rng.standard_normal((4000, 64))
+    x = np.repeat(rng.standard_normal((2000, 64)), 8, axis=0) + 0.05 * rng.standard_normal((16000, 64))
     t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     seen: dict = {}
-    got = {(r["query_id"], r["vec_id"]) for r in pstable.search(t, F.col("id") % 50 == 0, report=seen).collect()}
+    got = {(r["query_id"], r["vec_id"]) for r in pstable.search(t, F.col("id") % 200 == 0, report=seen).collect()}
     assert all(a // 8 == b // 8 for a, b in got) and len(got) == 5 * 80
-    assert seen["visits"] < 0.1 * 80 * 4000
+    assert seen["visits"] < 0.1 * 80 * 16000
 
 
 def test_recall_without_structure(spark):
