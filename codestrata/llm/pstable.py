@@ -206,7 +206,7 @@ def _chunked(members: DataFrame, chunk: int, least: int, scratch: Scratch) -> Da
     return members.join(sizes.select("t", "key", parts.alias("parts")), ["t", "key"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
 
 
-def _forest(linked: np.ndarray) -> np.ndarray:
+def forest_roots(linked: np.ndarray) -> np.ndarray:
     """The root of each member in a breadth-first forest of the links."""
     n = len(linked)
     root, left = np.arange(n), np.arange(n)
@@ -271,7 +271,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
                 fresh = np.concatenate([~(k[u[s : s + 65536]] == k[v[s : s + 65536]]).any(axis=1) for s in range(0, len(u), 65536)]) if len(u) else np.zeros(0, bool)
                 u, v, w = u[fresh], v[fresh], n[pick]
                 got = np.bincount(u, w[v], len(pick)) + np.bincount(v, w[u], len(pick))
-                root = _forest(linked)
+                root = forest_roots(linked)
                 full = (got > 0) | (root != np.arange(len(pick)))
                 ids.append(own[pick][full])
                 counts.append(got[full].astype(np.int64))

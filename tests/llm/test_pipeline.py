@@ -46,7 +46,7 @@ def test_stages_against_plain_versions(spark, docs):
             component = brute_components([r["doc_id"] for r in before], [brute_fingerprint(r["text"]) for r in before])
             assert sorted(r["doc_id"] for r in after) == sorted(set(component))
         if name == "secret_scan":
-            forest = secret_scan.default_forest()
+            forest = secret_scan.default_model()
             want = {r["doc_id"]: secret_scan.redacted(r["text"], secret_scan.scan([r["text"]], forest)[0]) for r in before}
             assert {r["doc_id"]: r["text"] for r in after} == want and len(after) == len(before)
             assert not any("password=0" in t or "password=a" in t for t in want.values()) and any(secret_scan.MASK in t for t in want.values())
