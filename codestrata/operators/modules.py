@@ -57,17 +57,21 @@ def by_groups(classes: DataFrame, groups: list[tuple[str, list[str]]]) -> DataFr
 def by_community(classes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
     """Communities by label propagation on the undirected graph of (src, dst) over qualified names, named after the member of most neighbours.
 
-    In a round every node that would gain takes the label that most of its neighbours
-    bear (ties to the smaller), if no neighbour that would gain too comes before it by
-    hash. So neighbours never move together, each move adds to the edges within
+    An edge weighs the inverse of its ends' degrees' product, so that a bridge between
+    two hubs ties less than an edge within a group. In a round every node that would gain
+    takes the label of most weight among its neighbours (ties to the smaller), if no neighbour that would gain too comes before it by
+    hash. So neighbours never move together, each move adds to the weight within
     communities or keeps them and makes a label smaller, and the rounds end. Raises if
     `rounds` do not suffice. Equal inputs give equal communities.
     """
     scratch = Scratch(classes.sparkSession, "community")
-    both = scratch.write(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct())
+    pairs = scratch.write(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct())
+    degree = scratch.write(pairs.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d")))
+    ends = pairs.join(degree.select(F.col("id").alias("src"), F.col("d").alias("a")), "src").join(degree.select(F.col("id").alias("dst"), F.col("d").alias("b")), "dst")
+    both = scratch.write(ends.select("src", "dst", F.greatest(F.floor(F.lit(10**12) / (F.col("a") * F.col("b"))), F.lit(1)).alias("w")))
     label = scratch.write(classes.select(F.col("qualified_name").alias("id")).distinct().withColumn("label", F.col("id")))
     for _ in range(rounds):
-        votes = both.join(label.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.count(F.lit(1)).alias("n"))
+        votes = both.join(label.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("w").alias("n"))
         best = votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("m")).select("id", F.col("m.label").alias("new"), (-F.col("m.n")).alias("n"))
         own = votes.select("id", "label", F.col("n").alias("own"))
         gain = F.col("n") - F.coalesce("own", F.lit(0))
@@ -79,7 +83,6 @@ def by_community(classes: DataFrame, edges: DataFrame, rounds: int = 200) -> Dat
         label = scratch.write(label.join(moves, "id", "left").select("id", F.coalesce("new", "label").alias("label")))
     else:
         raise RuntimeError(f"communities not settled after {rounds} rounds")
-    degree = both.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d"))
     names = label.join(degree, "id", "left").groupBy("label").agg(F.min(F.struct((-F.coalesce("d", F.lit(0))).alias("d"), "id")).alias("m")).select("label", F.concat(F.lit("cluster:"), F.col("m.id")).alias("module"))
     return classes.join(label.join(names, "label").select(F.col("id").alias("qualified_name"), "module"), "qualified_name").select(*classes.columns, "module")
 
