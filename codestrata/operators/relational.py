@@ -99,13 +99,14 @@ def chase_aliases(aliases: DataFrame, max_depth: int = MAX_ALIAS_DEPTH) -> DataF
 def suffix_merges(entities: DataFrame) -> DataFrame:
     """(kind, qualified_name, merged): bare names that are the trailing segments of exactly one other name of their kind.
 
-    An equi-join on kind and last segment, then the check of the other segments.
+    Each name offers its proper suffixes, as many as it has segments less one, so this
+    is one equi-join on whole suffixes, however often a last segment is used.
     """
-    e = entities.select("kind", "qualified_name").distinct().withColumn("segs", F.split("qualified_name", "::")).withColumn("tail", last_segment(F.col("qualified_name")))
-    long = e.select("kind", "tail", F.col("qualified_name").alias("merged"), F.col("segs").alias("long"))
-    n = F.size("segs")
-    fits = (F.size("long") > n) & (F.slice("long", F.size("long") - n + 1, n) == F.col("segs"))
-    pairs = e.join(long, ["kind", "tail"]).filter(F.when(F.size("long") > n, fits).otherwise(False))
+    e = entities.select("kind", "qualified_name").distinct()
+    segs = F.split("qualified_name", "::")
+    suffixes = F.transform(F.sequence(F.lit(2), F.size("segs")), lambda i: F.array_join(F.slice("segs", i, F.size("segs")), "::"))
+    long = e.withColumn("segs", segs).filter(F.size("segs") > 1).select("kind", F.col("qualified_name").alias("merged"), F.explode(suffixes).alias("qualified_name"))
+    pairs = long.join(e, ["kind", "qualified_name"])
     return pairs.groupBy("kind", "qualified_name").agg(F.min("merged").alias("merged"), F.count(F.lit(1)).alias("__n")).filter("__n = 1").drop("__n")
 
 
