@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import delta_lloyd, langid, lm, mixing, piece, pstable, secret_scan, sharding, simhash, warc, weighted_lloyd
+from codestrata.llm import delta_lloyd, langid, lm, mixing, piece, pstable, secret_scan, sharding, simhash, toxicity, warc, weighted_lloyd
 from codestrata.llm.text import bounded_batches
 from codestrata.session import read_table
 
@@ -81,7 +81,17 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta_lloyd.compress(read_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_ann, op4_lm_score, op5_language_id, op6_entropy_mixing, op7_warc, op8_secret_scan, op9_embedding_dedup, op10_virtual_slots, op11_clustering, op12_vector_codes)}
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from labelled ones whose crc32(doc_id) modulo 4 is not 2."""
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held_out"))
+    lexicon = toxicity.train(docs.filter(~F.col("held_out")), read_table(spark, sf_dir, "labels").filter(~held))
+    bounded_batches(spark)
+    found = docs.select("doc_id", "held_out", toxicity.toxicity(F.col("text"), lexicon).alias("t"))
+    return found.select("doc_id", "held_out", "t.score", (F.col("t.score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "t.terms")
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_ann, op4_lm_score, op5_language_id, op6_entropy_mixing, op7_warc, op8_secret_scan, op9_embedding_dedup, op10_virtual_slots, op11_clustering, op12_vector_codes, op13_toxicity)}
 #: SHA-1 in base 32: five bits at a time out of two neighbouring hexadecimal digits.
 BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((instr('0123456789abcdef', substr(h, 1 + (5 * i) // 4, 1)) - 1) * 16
     + instr('0123456789abcdef', substr(h, 2 + (5 * i) // 4, 1)) - 1) >> (3 - (5 * i) % 4)) % 32, 1)), '')"""
