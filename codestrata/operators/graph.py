@@ -11,8 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions.kinds import STRUCTURAL, kinds_by_strength, level_of, primary_kind, weight_of
+from codestrata.operators.condense import components, condensed_edges, find_cycle, has_cycle, topological_levels
+from codestrata.operators.reach import reach_counts
 from codestrata.session import Scratch
 
+__all__ = ["components", "condensed_edges", "find_cycle", "has_cycle", "reach_counts", "topological_levels"]
+
 IS_A = ("inherits", "implements")
 
 
@@ -76,84 +80,7 @@ def reach_pairs(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame
     return out
 
 
-def reach_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, reach): how many other nodes can be reached. Works on the condensed graph: a component's members reach alike."""
-    scratch = Scratch(edges.sparkSession, "reach-counts")
-    comp = scratch.write(components(nodes, edges))
-    size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    pairs = reach_pairs(condensed_edges(comp, edges))
-    beyond = pairs.join(size.withColumnRenamed("component", "dst"), "dst").groupBy("src").agg(F.sum("size").alias("beyond"))
-    per = size.join(beyond.withColumnRenamed("src", "component"), "component", "left")
-    return comp.join(per, "component").select("id", (F.coalesce("beyond", F.lit(0)) + F.col("size") - 1).cast("long").alias("reach"))
-
-
-# -- strongly connected components --------------------------------------------
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): strongly connected components, named by their smallest member.
-
-    Nodes without an incoming or outgoing edge are peeled off as single components.
-    In what is left every node takes the smallest id that reaches it; the nodes of
-    that colour that reach their smallest one back are its component. Repeat with the
-    rest. A round costs a join over the edges left.
-    """
-    scratch = Scratch(edges.sparkSession, "components")
-    left, n = scratch.counted(edges.filter("src <> dst").select("src", "dst").distinct())
-    done: list[DataFrame] = []
-    while n:
-        before = None
-        while n and n != before:  # peel
-            enters, leaves = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
-            before = n
-            left, n = scratch.counted(left.join(enters, "src", "left_semi").join(leaves, "dst", "left_semi").select("src", "dst"))
-        if not n:
-            break
-        colour = _spread(left, scratch)
-        same = left.join(colour.withColumnRenamed("id", "src").withColumnRenamed("colour", "a"), "src").join(colour.withColumnRenamed("id", "dst").withColumnRenamed("colour", "b"), "dst").filter("a = b")
-        back = _reaching_back(scratch.write(same.select("src", "dst", F.col("a").alias("colour"))), scratch)
-        done.append(back)
-        gone = back.select("id")
-        left, n = scratch.counted(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
-    found = nodes.select("id").distinct()
-    if not done:
-        return found.withColumn("component", F.col("id"))
-    many = done[0]
-    for d in done[1:]:
-        many = many.unionByName(d)
-    return found.join(many.withColumnRenamed("colour", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-
-
-def _spread(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, colour): the smallest id from which each node can be reached, itself included."""
-    ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    colour = scratch.write(ids.withColumn("colour", F.col("id")))
-    delta = colour
-    while True:
-        offered = edges.join(delta.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("offer"))
-        delta, n = scratch.counted(colour.join(offered, "id").filter("offer < colour").select("id", F.col("offer").alias("colour")))
-        if not n:
-            return colour
-        colour = scratch.write(colour.join(delta.withColumnRenamed("colour", "new"), "id", "left").select("id", F.coalesce("new", "colour").alias("colour")))
-
-
-def _reaching_back(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, colour) for the nodes that reach the node named by their colour along edges (src, dst, colour) of that colour."""
-    delta = scratch.write(edges.select(F.col("colour").alias("id"), "colour").distinct())
-    known = delta
-    while True:
-        grown = edges.join(delta.select(F.col("id").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("id"), "colour").distinct()
-        delta, n = scratch.counted(grown.join(known, ["id", "colour"], "left_anti"))
-        if not n:
-            return known
-        known = scratch.write(known.unionByName(delta))
-
-
-def condensed_edges(comp: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges (src, dst, weight, n) between components: the largest weight, the number of collapsed edges."""
-    weighted = edges if "weight" in edges.columns else edges.withColumn("weight", F.lit(1.0))
-    both = weighted.join(comp.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(comp.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst")
-    return both.filter("a <> b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.max("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
-
-
+# -- the condensed graph ----------------------------------------------------------
 def labels(comp: DataFrame, names: DataFrame) -> DataFrame:
     """(component, label, members): a single node's name, or `cluster(A, B)` of the first two; equal labels get #1, #2, ... in order."""
     named = comp.join(names.select("id", "name"), "id").groupBy("component").agg(F.array_sort(F.collect_list("name")).alias("members"))
@@ -244,27 +171,6 @@ def fold(edges: DataFrame, rep: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 # -- order and dominators ------------------------------------------------------
-def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, level) of an acyclic graph: the longest path from a node without incoming edges. Nodes on or behind cycles are left out."""
-    scratch = Scratch(edges.sparkSession, "levels")
-    left = scratch.write(edges.filter("src <> dst").select("src", "dst").distinct())
-    free, n = scratch.counted(nodes.select("id").distinct().join(left.select(F.col("dst").alias("id")).distinct(), "id", "left_anti"))
-    out, level = free.withColumn("level", F.lit(0)), 0
-    while n:
-        # Edges of the nodes just placed go; what they led to and nothing leads to any more comes next.
-        placed = free.select(F.col("id").alias("src"))
-        led = left.join(placed, "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        rest = scratch.write(left.join(placed, "src", "left_anti"))
-        free, n = scratch.counted(led.join(rest.select(F.col("dst").alias("id")).distinct(), "id", "left_anti"))
-        left, level = rest, level + 1
-        out = out.unionByName(free.withColumn("level", F.lit(level)))
-    return out
-
-
-def has_cycle(nodes: DataFrame, edges: DataFrame) -> bool:
-    return not components(nodes, edges).groupBy("component").count().filter("count > 1").isEmpty() or not edges.filter("src = dst").isEmpty()
-
-
 def dominators(edges: DataFrame, root_ids: DataFrame) -> DataFrame:
     """(root, id, dominator): all strict dominators of each node reached from each root, the root among them.
 
