@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import kinds as K
 from codestrata.functions import text as X
-from codestrata.operators import decouple, graph, modules, rules
+from codestrata.operators import decouple, dominators, graph, modules, rules
 from codestrata.plans import adapter as A
 from codestrata.plans.registry import query
+from codestrata.session import Scratch
+from codestrata.tools import report
 
 REACH = "reach(src, dst) AS (SELECT src, dst FROM {e} UNION SELECT r.src, e.dst FROM reach r JOIN {e} e ON r.dst = e.src)"
 DEGREE = """deg AS (SELECT id, coalesce(o.w, 0.0) AS out_w, coalesce(i.w, 0.0) AS in_w, coalesce(o.n, 0) AS out_n, coalesce(i.n, 0) AS in_n FROM ent
@@ -225,6 +227,51 @@ def dominator_parents(spark, d):
     return graph.immediate_dominators(_edges(spark, d), ids)
 
 
+CUT_OFF = """cutoff(root, x, id) AS (SELECT root, id, root FROM hit WHERE id <> root UNION SELECT c.root, c.x, e.dst FROM cutoff c JOIN cedge e ON e.src = c.id WHERE e.dst <> c.x),
+  dom AS (SELECT h.root, h.id, x.id AS dominator FROM hit h JOIN hit x ON h.root = x.root AND h.id <> x.id AND h.id <> h.root WHERE x.id = h.root OR NOT EXISTS (SELECT 1 FROM cutoff c WHERE c.root = h.root AND c.x = x.id AND c.id = h.id)),
+  deep AS (SELECT root, id, count(*) AS k FROM dom GROUP BY root, id),
+  tree AS (SELECT d.root, d.id, arg_max(d.dominator, coalesce(p.k, 0)) AS parent, CAST(count(*) AS INTEGER) AS depth FROM dom d LEFT JOIN deep p ON p.root = d.root AND p.id = d.dominator GROUP BY d.root, d.id)"""
+STARTS = "starts AS (SELECT DISTINCT component AS root FROM comp WHERE component NOT IN (SELECT dst FROM cedge)), hit(root, id) AS (SELECT root, root FROM starts UNION SELECT h.root, e.dst FROM hit h JOIN cedge e ON e.src = h.id)"
+
+
+def _condensed(spark, d):
+    e = _edges(spark, d)
+    scratch = Scratch(spark, "condensed")
+    comp = scratch.write(graph.components(A.entities(spark, d), e))
+    return comp, scratch.write(graph.condensed_edges(comp, e))
+
+
+@query(f"WITH RECURSIVE {A.GRAPH}, {REACH.format(e='edge')}, {COMP}, {CEDGE}, {STARTS}, {CUT_OFF} SELECT root, id, parent, depth FROM tree")
+def dominator_trees(spark, d):
+    """The dominator tree of every root of the condensed graph."""
+    comp, cond = _condensed(spark, d)
+    starts = graph.roots(comp.select(F.col("component").alias("id")).distinct(), cond)
+    reached = graph.reach_pairs(cond, starts.select(F.col("id").alias("src"))).select(F.col("src").alias("root"), F.col("dst").alias("id"))
+    return dominators.trees(cond, reached)
+
+
+@query(
+    f"""WITH RECURSIVE {A.GRAPH}, {REACH.format(e="edge")}, {COMP}, {CEDGE}, {STARTS}, {CUT_OFF}, own AS (SELECT id, min(root) AS root FROM hit GROUP BY id),
+  direct AS (SELECT a.component AS parent, b.component AS id, max_by(kind, struct_pack(l := {A.LEVEL.format(k="kind")}, k := kind)) AS kind FROM internal r JOIN comp a ON a.id = r.src JOIN comp b ON b.id = r.dst GROUP BY a.component, b.component)
+SELECT o.root, o.id, t.parent, coalesce(t.depth, 0) AS depth, CASE WHEN t.parent IS NOT NULL THEN coalesce(k.kind, 'dominates') END AS kind FROM own o LEFT JOIN tree t ON t.root = o.root AND t.id = o.id LEFT JOIN direct k ON k.parent = t.parent AND k.id = o.id"""
+)
+def arch_forest(spark, d):
+    """The report's forest: each component below the first root that reaches it, with its depth and the kind of the direct relationship."""
+    return report.forest(A.entities(spark, d), _edges(spark, d))
+
+
+@query(
+    f"""WITH RECURSIVE {A.GRAPH}, {REACH.format(e="edge")}, {COMP}, {CEDGE}, top AS (SELECT DISTINCT component AS id FROM comp WHERE component NOT IN (SELECT dst FROM cedge)), inner_ AS (SELECT src AS id FROM cedge UNION SELECT dst FROM cedge),
+  cutoff(x, id) AS (SELECT i.id, t.id FROM inner_ i JOIN top t ON t.id <> i.id UNION SELECT c.x, e.dst FROM cutoff c JOIN cedge e ON e.src = c.id WHERE e.dst <> c.x),
+  dom AS (SELECT h.src AS x, h.dst AS id FROM reach h JOIN inner_ a ON a.id = h.src JOIN inner_ b ON b.id = h.dst WHERE h.src <> h.dst AND NOT EXISTS (SELECT 1 FROM cutoff c WHERE c.x = h.src AND c.id = h.dst)),
+  deep AS (SELECT id, count(*) AS k FROM dom GROUP BY id)
+SELECT i.id, m.parent, CAST(coalesce(d.k, 0) AS INTEGER) AS depth FROM inner_ i LEFT JOIN deep d ON d.id = i.id LEFT JOIN (SELECT dom.id, arg_max(x, coalesce(p.k, 0)) AS parent FROM dom LEFT JOIN deep p ON p.id = dom.x GROUP BY dom.id) m ON m.id = i.id"""
+)
+def dominators_of_all_roots(spark, d):
+    """One tree of the condensed graph below a virtual root over all roots."""
+    return dominators.dominator_tree(_condensed(spark, d)[1])
+
+
 @query(
     f"""WITH RECURSIVE {A.GRAPH}, {REACH.format(e="edge")}, {COMP}, {CEDGE}, lev(id, level) AS (SELECT DISTINCT component, 0 FROM comp WHERE component NOT IN (SELECT dst FROM cedge) UNION SELECT e.dst, level + 1 FROM lev JOIN cedge e ON e.src = lev.id)
 SELECT id, max(level) AS level FROM lev GROUP BY id"""

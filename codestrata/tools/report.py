@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions.kinds import CLASS_KINDS, level_of
-from codestrata.operators import graph
+from codestrata.operators import dominators, graph
 from codestrata.session import Scratch
 from codestrata.tools.review import by_priority, safe_json
 
@@ -23,13 +23,12 @@ def forest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     scratch = Scratch(nodes.sparkSession, "forest")
     comp = scratch.write(graph.components(nodes, edges))
     cond = scratch.write(graph.condensed_edges(comp, edges))
-    roots = graph.roots(comp.select(F.col("component").alias("id")).distinct(), cond)
-    tree = graph.immediate_dominators(cond, roots)
-    first = tree.groupBy("id").agg(F.min_by(F.struct("root", "parent"), "root").alias("m")).select("id", "m.root", "m.parent")
+    tree = scratch.write(dominators.forest(cond))
     strongest = edges.join(comp.select(F.col("id").alias("src"), F.col("component").alias("parent")), "src").join(comp.select(F.col("id").alias("dst"), F.col("component").alias("child")), "dst").filter("parent <> child")
-    kinds = strongest.select("parent", "child", F.explode("kinds").alias("k")).groupBy("parent", F.col("child").alias("id")).agg(F.max_by("k", level_of(F.col("k"))).alias("kind"))
-    rooted = roots.select("id", F.col("id").alias("root"), F.lit(None).cast("string").alias("parent"))
-    return rooted.unionByName(first.select("id", "root", "parent")).join(kinds, ["parent", "id"], "left").select("root", "id", "parent", F.when(F.col("parent").isNotNull(), F.coalesce("kind", F.lit("dominates"))).alias("kind"))
+    kinds = strongest.select("parent", "child", F.explode("kinds").alias("k")).groupBy("parent", F.col("child").alias("id")).agg(F.max_by("k", F.struct(level_of(F.col("k")), "k")).alias("kind"))
+    alone = comp.select(F.col("component").alias("id")).distinct().join(tree.select("id"), "id", "left_anti")
+    every = tree.unionByName(alone.select(F.col("id").alias("root"), "id", F.lit(None).cast(tree.schema["parent"].dataType).alias("parent"), F.lit(0).alias("depth")))
+    return every.join(kinds, ["parent", "id"], "left").select("root", "id", "parent", F.when(F.col("parent").isNotNull(), F.coalesce("kind", F.lit("dominates"))).alias("kind"), "depth")
 
 
 def pair_payload(relationships: DataFrame, nodes: DataFrame, keep: int = 8) -> DataFrame:
@@ -47,7 +46,7 @@ def folded_forest(nodes: DataFrame, edges: DataFrame, relationships: DataFrame,
     rep = Scratch(nodes.sparkSession, "fold").write(graph.representatives(nodes, parent, "leaves", (orchestrator,) if orchestrator else ()))
     members, folded = graph.fold(edges, rep)
     impls = members.select("id", F.transform(F.array_except("members", F.array("id")), lambda m: F.element_at(F.split(m, "::"), -1)).alias("impls"))
-    return forest(members.select("id"), folded).join(impls, "id").select("root", "id", "parent", "kind", "impls")
+    return forest(members.select("id"), folded).join(impls, "id").select("root", "id", "parent", "kind", "depth", "impls")
 
 
 def build_payload(entities: DataFrame, relationships: DataFrame, audit: dict | None = None, reviews: dict[str, str] | None = None, orchestrator: str | None = None) -> dict:
