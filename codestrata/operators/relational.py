@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.kinds import CLASS_KINDS
 from codestrata.functions.text import last_segment
+from codestrata.session import Scratch
 
 MAX_ALIAS_DEPTH = 9
 
@@ -82,18 +83,20 @@ def chase_aliases(aliases: DataFrame, max_depth: int = MAX_ALIAS_DEPTH) -> DataF
 
     The kind is the first on the way that is not null, so the outermost wrapper wins.
     Chains that end in a null target, or are longer than `max_depth`, cycles among them,
-    are left out. Each step is one
-    join with the alias table, which is unique in alias.
+    are left out. The table is unique in alias. Each round joins the table with itself,
+    doubles the way looked ahead and is written; it ends when all chains have.
     """
-    step = aliases.select(F.col("alias").alias("target"), F.col("target").alias("__next"), F.col("kind").alias("__kind"))
-    open_ = aliases.filter("target IS NOT NULL").select("alias", "target", "kind").withColumn("depth", F.lit(1))
-    ended = None
-    for _ in range(max_depth):
-        joined = open_.join(step.withColumn("__is", F.lit(True)), "target", "left")
-        end = joined.filter("__is IS NULL").select("alias", "target", "kind", "depth")
-        ended = end if ended is None else ended.unionByName(end)
-        open_ = joined.filter("__next IS NOT NULL").select("alias", F.col("__next").alias("target"), F.coalesce("kind", "__kind").alias("kind"), (F.col("depth") + 1).alias("depth"))
-    return ended
+    scratch = Scratch(aliases.sparkSession, "aliases")
+    first = aliases.select("alias", "target", "kind", F.lit(1).alias("depth"))
+    names = aliases.select(F.col("alias").alias("target"), F.lit(True).alias("open")).distinct()
+    table, n = scratch.counted(first.join(names, "target", "left").select("alias", "target", "kind", "depth", F.coalesce("open", F.lit(False)).alias("open")), F.col("open"))
+    for _ in range(max(max_depth - 1, 0).bit_length()):
+        if not n:
+            break
+        far = table.select(F.col("alias").alias("target"), F.col("target").alias("__next"), F.col("kind").alias("__kind"), F.col("depth").alias("__depth"), F.col("open").alias("__open"))
+        on = table.filter("open").join(far, "target").select("alias", F.col("__next").alias("target"), F.coalesce("kind", "__kind").alias("kind"), (F.col("depth") + F.col("__depth")).alias("depth"), F.col("__open").alias("open"))
+        table, n = scratch.counted(table.filter("NOT open").unionByName(on), F.col("open"))
+    return table.filter(~F.col("open") & F.col("target").isNotNull() & (F.col("depth") <= max_depth)).drop("open")
 
 
 def suffix_merges(entities: DataFrame) -> DataFrame:
@@ -110,12 +113,24 @@ def suffix_merges(entities: DataFrame) -> DataFrame:
     return pairs.groupBy("kind", "qualified_name").agg(F.min("merged").alias("merged"), F.count(F.lit(1)).alias("__n")).filter("__n = 1").drop("__n")
 
 
-def merge_tips(merges: DataFrame, rounds: int = 6) -> DataFrame:
-    """Merges followed to their end, doubling the distance each round."""
-    m = merges.select("kind", "qualified_name", "merged")
-    for _ in range(rounds):
-        m = m.join(m.select("kind", F.col("qualified_name").alias("merged"), F.col("merged").alias("__far")), ["kind", "merged"], "left").select("kind", "qualified_name", F.coalesce("__far", "merged").alias("merged"))
-    return m
+def merge_tips(merges: DataFrame) -> DataFrame:
+    """Merges followed to their end, however long the chain; those on or before a cycle keep their own target.
+
+    Each round doubles the distance and is written; after as many as the number of
+    merges has binary digits only cycles can be left.
+    """
+    scratch = Scratch(merges.sparkSession, "merge-tips")
+    first, total = scratch.counted(merges.select("kind", "qualified_name", "merged"))
+    names = first.select("kind", F.col("qualified_name").alias("merged"), F.lit(True).alias("open")).distinct()
+    table, n = scratch.counted(first.join(names, ["kind", "merged"], "left").select("kind", "qualified_name", "merged", F.coalesce("open", F.lit(False)).alias("open")), F.col("open"))
+    for _ in range(total.bit_length()):
+        if not n:
+            break
+        far = table.select("kind", F.col("qualified_name").alias("merged"), F.col("merged").alias("__far"), F.col("open").alias("__open"))
+        on = table.filter("open").join(far, ["kind", "merged"]).select("kind", "qualified_name", F.col("__far").alias("merged"), F.col("__open").alias("open"))
+        table, n = scratch.counted(table.filter("NOT open").unionByName(on), F.col("open"))
+    ended = table.filter("NOT open").select("kind", "qualified_name", "merged")
+    return ended if not n else ended.unionByName(first.join(ended, ["kind", "qualified_name"], "left_anti"))
 
 
 def phantom_parents(entities: DataFrame, order: list[Column]) -> DataFrame:

@@ -135,7 +135,7 @@ def list_classes(c: Context, limit: int = MAX_CLASSES) -> str:
 
 def _resolve(c: Context, name: str) -> list[str]:
     names = c.classes().select("qualified_name").distinct()
-    return sorted(r["qualified_name"] for r in relational.resolve_tiered(names, name).limit(50).collect())
+    return sorted(r["qualified_name"] for r in relational.resolve_tiered(names, name).orderBy("qualified_name").limit(50).collect())
 
 
 @tool
@@ -186,7 +186,7 @@ def get_source(c: Context, name: str = "", file: str = "", start: int = 0, end:
             return f"No source of {name} is in scope."
         path, start, end = span["file_path"], start or span["start_line"], end or span["end_line"]
     elif file:
-        paths = sorted(r["file_path"] for r in relational.resolve_file(e.select("file_path").distinct(), file).limit(50).collect())
+        paths = sorted(r["file_path"] for r in relational.resolve_file(e.select("file_path").distinct(), file).orderBy("file_path").limit(50).collect())
         if len(paths) != 1:
             return "Several files match: " + ", ".join(paths) if paths else f"No scanned file matches {file}."
         path = paths[0]
@@ -262,6 +262,11 @@ def module_dependencies(c: Context, from_module: str = "", to_module: str = "",
     return "\n".join(line for r in rows for line in (f"{r['src']} -> {r['dst']}: {r['weight']}", *[f"    {e}" for e in r["evidence"]])) or "No such dependency."
 
 
+def _workers(client) -> int:
+    """How many calls a client's configuration allows at once."""
+    return max(1, getattr(getattr(client, "config", None), "workers", 6))
+
+
 @tool
 def architecture_conclusion(c: Context) -> str:
     """Review each module by a model, then conclude; reviews of the current graph are used again."""
@@ -274,10 +279,13 @@ def architecture_conclusion(c: Context) -> str:
     edges = c.spark.createDataFrame([(e["src"], e["dst"], e["weight"]) for e in payload["edges"]], "src string, dst string, weight long")
     found = c.spark.createDataFrame([(f["modules"], f["severity"], f["title"]) for f in payload["findings"]], "modules array<string>, severity string, title string")
     todo = review.pending(review.module_prompts(nodes, edges, found), c.store.latest("arch_module_review", "module_name"), now, "module")
-    answers = review.ask(todo, c.make_client, c.store.table("llm_cache"), client.model, ["module"]).collect()
-    parsed = [(a["module"], json.dumps(j), now) for a in answers if (j := review.safe_json(a["response"]))]
-    if parsed:
-        c.store.append("arch_module_review", parsed)
+
+    def keep(answers: list) -> None:
+        parsed = [(a["module"], json.dumps(j), now) for a in answers if (j := review.safe_json(a["response"]))]
+        if parsed:
+            c.store.append("arch_module_review", parsed)
+
+    review.ask_kept(todo, c.make_client, c.store, client.model, ["module"], _workers(client), on_batch=keep)
     held = {r["module_name"]: r["parsed_json"] for r in c.store.latest("arch_module_review", "module_name").filter(F.col("graph_hash") == now).collect()}
     order = sorted(payload["nodes"], key=lambda n: (0 if n["is_god"] else 1 if n["in_cycle"] else 2, -n["in_degree"], n["id"]))
     out = review.synthesize(client, [(n["id"], held[n["id"]]) for n in order if n["id"] in held])
@@ -306,16 +314,17 @@ def design_review(c: Context, force: bool = False) -> str:
     todo = inside if force else inside.join(done.select("subtree_root"), "subtree_root", "left_anti")
     override = skills.find(c.skills, skills.REVIEW) if c.skills else None
     prompts = design.subtree_prompts(todo, e, r, override)
-    answers = review.ask(prompts, c.make_client, c.store.table("llm_cache"), client.model, ["subtree_root"]).filter("response IS NOT NULL").collect()
+    current = done.count()
     parsed = lambda t: json.dumps(j) if (j := review.safe_json(t)) else None
-    if answers:
-        c.store.append("design_critic_subtree", [(a["subtree_root"], None, a["response"], parsed(a["response"]), now) for a in answers])
+    keep = lambda answers: c.store.append("design_critic_subtree", [(a["subtree_root"], None, a["response"], parsed(a["response"]), now) for a in answers])
+    made = review.ask_kept(prompts, c.make_client, c.store, client.model, ["subtree_root"], _workers(client), on_batch=keep)
+    if made:
         rows = c.store.latest("design_critic_subtree", "subtree_root").orderBy("subtree_root").collect()
         prompt = design.module_prompt([(x["subtree_root"], x["parsed_json"] or x["raw_response"]) for x in rows], design.cross_relations(r, comp), override)
         conclusion = client.generate(prompt, design.SYSTEM)
         if conclusion:
             c.store.append("design_critic_module", [("project", prompt, conclusion, parsed(conclusion), now)])
-    return f"{len(answers)} reviews made, {done.count()} were current."
+    return f"{made} reviews made, {current} were current."
 
 
 @tool

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from codestrata.functions.text import prompt_hash, rescued_json
 from codestrata.operators import rules
 from codestrata.operators.relational import fail_open
+from codestrata.session import Scratch
 
 PRIORITY = {"high": 0, "medium": 1, "low": 2}
 
@@ -51,30 +52,68 @@ def safe_json(text: str | None) -> dict | None:
 
 
 def ask(prompts: DataFrame, make_client: Callable, cache: DataFrame, model: str, keep: list[str]) -> DataFrame:
-    """(keep..., prompt_hash, response, fresh) for prompts (keep..., system, prompt).
+    """(keep..., prompt_hash, response, fresh, answered_by) for prompts (keep..., system, prompt).
 
     Cached answers are joined; only the rest is sent, in as many streams as there are
     partitions, each with a client of its own. An answer that fails is null.
     """
     hashed = prompts.withColumn("prompt_hash", prompt_hash(F.lit(model), F.col("system"), F.col("prompt")))
     known = cache.filter(F.col("model") == model).select("prompt_hash", "response")
-    hits = hashed.join(known, "prompt_hash").select(*keep, "prompt_hash", "response", F.lit(False).alias("fresh"))
+    hits = hashed.join(known, "prompt_hash").select(*keep, "prompt_hash", "response", F.lit(False).alias("fresh"), F.lit(model).alias("answered_by"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
         for b in batches:
-            answers = [client.generate(p, s) for p, s in zip(b["prompt"], b["system"])]
-            yield b[[*keep, "prompt_hash"]].assign(response=pd.Series(answers, dtype=object, index=b.index), fresh=True)
+            answers = [answer_of(client, p, s, model) for p, s in zip(b["prompt"], b["system"])]
+            text, by = (pd.Series([a[i] for a in answers], dtype=object, index=b.index) for i in (0, 1))
+            yield b[[*keep, "prompt_hash"]].assign(response=text, fresh=True, answered_by=by)
 
     misses = hashed.join(known, "prompt_hash", "left_anti")
     kinds = {f.name: f.dataType.simpleString() for f in hashed.schema}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keep, "prompt_hash"]) + ", response string, fresh boolean"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keep, "prompt_hash"]) + ", response string, fresh boolean, answered_by string"
     return hits.unionByName(misses.select(*keep, "system", "prompt", "prompt_hash").mapInPandas(run, schema))
 
 
+def answer_of(client, prompt: str, system: str, model: str) -> tuple[str | None, str | None]:
+    """The answer and the model that gave it; a client that cannot say which has only the one that is asked."""
+    if hasattr(client, "answer"):
+        return client.answer(prompt, system)
+    text = client.generate(prompt, system)
+    return text, model if text is not None else None
+
+
 def to_cache(answers: DataFrame, model: str) -> DataFrame:
-    """Rows for the cache from fresh answers."""
-    return answers.filter("fresh AND response IS NOT NULL").select("prompt_hash", F.lit(model).alias("model"), "response").dropDuplicates(["prompt_hash"])
+    """Rows for the cache from fresh answers that the asked model gave itself; another one's answer is not kept as its."""
+    return answers.filter("fresh AND response IS NOT NULL").filter(F.col("answered_by") == model).select("prompt_hash", F.lit(model).alias("model"), "response").dropDuplicates(["prompt_hash"])
+
+
+def ask_kept(prompts: DataFrame, make_client: Callable, store, model: str, keep: list[str], workers: int = 6, each: int = 4, on_batch: Callable | None = None) -> int:
+    """Ask in batches of about `workers` times `each` prompts, with `workers` streams at most; returns how many were answered.
+
+    Each batch is written, its answers go to the store's cache, and `on_batch` gets its
+    rows (keep..., response), all before the next one is sent. So a run that breaks off
+    loses one batch at most, and the next run sends only what has no answer yet. The
+    table of prompts is written once; a prompt's batch follows from its hash.
+    """
+    spark = prompts.sparkSession
+    scratch = Scratch(spark, "prompts")
+    hashed = prompts.withColumn("prompt_hash", prompt_hash(F.lit(model), F.col("system"), F.col("prompt")))
+    work = scratch.write(hashed)
+    known = store.table("llm_cache").filter(F.col("model") == model).select("prompt_hash")
+    todo = work.join(known, "prompt_hash", "left_anti").select("prompt_hash").distinct().count()
+    batches, answered = max(1, -(-todo // (workers * each))), 0
+    for k in range(batches):
+        batch = work.filter(F.pmod(F.xxhash64("prompt_hash"), F.lit(batches)) == k)
+        once = batch.dropDuplicates(["prompt_hash"]).select("prompt_hash", "system", "prompt").repartition(workers, "prompt_hash")
+        answers = scratch.write(ask(once.withColumnRenamed("prompt_hash", "key"), make_client, store.table("llm_cache"), model, ["key"]).coalesce(workers))
+        fresh = to_cache(answers, model)
+        if not fresh.isEmpty():
+            store.put("llm_cache", fresh)
+        rows = batch.select(*keep, F.col("prompt_hash").alias("key")).join(answers.filter("response IS NOT NULL").select("key", "response"), "key").select(*keep, "response").collect()
+        answered += len(rows)
+        if rows and on_batch:
+            on_batch(rows)
+    return answered
 
 
 def verify(findings: DataFrame, make_client: Callable, cache: DataFrame, model: str) -> DataFrame:

@@ -37,6 +37,10 @@ def test_suffixes(spark):
     assert got == {("class", "C"): "N::C", ("class", "a::E"): "x::a::E"}
     chain = spark.createDataFrame([("c", "a", "b"), ("c", "b", "d")], "kind string, qualified_name string, merged string")
     assert {r["qualified_name"]: r["merged"] for r in R.merge_tips(chain).collect()} == {"a": "d", "b": "d"}
+    long = [("c", f"n{i}", f"n{i + 1}") for i in range(80)] + [("d", "n3", "x"), ("c", "p", "q"), ("c", "q", "p"), ("c", "o", "p")]
+    got = {(r["kind"], r["qualified_name"]): r["merged"] for r in R.merge_tips(spark.createDataFrame(long, "kind string, qualified_name string, merged string")).collect()}
+    assert got == {("c", f"n{i}"): "n80" for i in range(80)} | {("d", "n3"): "x", ("c", "p"): "q", ("c", "q"): "p", ("c", "o"): "p"}
+    assert R.merge_tips(chain.limit(0)).count() == 0
 
 
 def test_kinds_are_refined_per_file(spark):
