@@ -6,7 +6,9 @@ are summed per slot, the map is filled from these sums so that shards get near
 equal bytes, and a later version moves only whole slots.
 
 Defined results: a null text has no bytes and CRC 0; a null id is hashed as
-null; repeated rows fall into the same slot and take different positions; an
+null; of rows repeated with id and text the first has the slot of its hash, each
+other one a slot of its own, so that many equal rows are spread like different ones;
+rows of equal texts and different ids have nothing in common and are spread alike; an
 empty table gives an empty result and an even map. Only the id and text
 columns are read, so further columns cannot clash.
 
@@ -132,6 +134,19 @@ def rebalanced(old: SlotMap, slot_bytes: list[int], n_shards: int, slack: float
     return SlotMap(old.version + 1, n_shards, tuple(shards))
 
 
+def ranked(rows: DataFrame) -> DataFrame:
+    """Rows (key, part, ...) with `rank`: 0, 1, ... within those of one key.
+
+    Each part numbers its own rows, from where the parts before it end; so a key that
+    most rows have is numbered in as many tasks as there are parts.
+    """
+    per = rows.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = per.select("key", "part", F.coalesce(before, F.lit(0)).alias("start")).filter("start > 0")
+    own = F.row_number().over(Window.partitionBy("key", "part").orderBy("text_crc32", "size"))
+    return rows.withColumn("own", own).join(starts, ["key", "part"], "left").withColumn("rank", F.col("own") - 1 + F.coalesce("start", F.lit(0))).drop("own", "start")
+
+
 def shard_records(df: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
     """Deal all rows into shards of near equal bytes.
 
@@ -149,14 +164,17 @@ def shard_records(df: DataFrame, n_shards: int, id_col: str = "doc_id", text_col
     spark = df.sparkSession
     scratch = Scratch(spark, "sharding")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = scratch.write(
+    read = scratch.write(
         df.select(
-            F.col(id_col),
+            F.col(id_col).alias("id"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-            slot_of(F.col(id_col), F.col(text_col), n_slots=n_slots).alias("virtual_slot"),
+            F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"),
+            F.spark_partition_id().alias("part"),
         )
     )
+    slot = F.when(F.col("rank") == 0, F.pmod("key", F.lit(n_slots)).cast("int")).otherwise(slot_of(F.col("key"), F.col("rank"), n_slots=n_slots))
+    rows = scratch.write(ranked(read).select("id", "size", "text_crc32", slot.alias("virtual_slot")))
     found = {r["virtual_slot"]: r for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect()}
     size = [found[i]["b"] if i in found else 0 for i in range(n_slots)]
     path = map_path or scratch.path("slot_map")
@@ -175,9 +193,9 @@ def shard_records(df: DataFrame, n_shards: int, id_col: str = "doc_id", text_col
     for i, s in enumerate(held.shards):
         offsets[i] = used[s]
         used[s] += found[i]["n"] if i in found else 0
-    place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy(id_col, "text_crc32", "size"))
+    place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("id", "text_crc32", "size"))
     return rows.select(
-        id_col,
+        F.col("id").alias(id_col),
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),

@@ -27,6 +27,19 @@ def test_all_rows_in_even_gapless_shards(spark):
     assert sharding.shard_records(df.limit(0), 8).count() == 0
 
 
+def test_many_equal_rows_are_spread(spark):
+    rows = [(1, "y" * 500)] * 3000 + [(None, None)] * 500 + [(i, "x" * (i % 300)) for i in range(2, 6002)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for parts in (3, 8):
+        got = sharding.shard_records(df.repartition(parts), 8).collect()
+        load = [sum(r["size"] for r in got if r["shard"] == k) for k in range(8)]
+        assert len(got) == len(rows) and max(load) - min(load) <= 0.03 * sum(load) / 8
+        assert all(sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got))) for k in range(8))
+        found.append(sorted((str(r["doc_id"]), r["shard"], r["slot"], r["virtual_slot"]) for r in got))
+    assert found[0] == found[1]
+
+
 def test_map_versions_and_rebalancing(spark, tmp_path):
     sizes = [i * 7919 % 1000 for i in range(512)]
     old = sharding.balanced_map(sizes, 4)
