@@ -86,9 +86,9 @@ def _peeled(left: DataFrame, n: int, scratch: Scratch, to_the_end: bool = False)
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): strongly connected components, named by their smallest member.
 
-    After peeling and contracting, every node takes the smallest id that reaches it, all
-    of them pivots at once; the nodes of a colour that reach its smallest one back are a
-    component. Repeat with the rest.
+    After peeling and contracting, every node takes the first by hash of those that
+    reach it, all of them pivots at once; the nodes of a colour that reach its pivot back
+    are a component. Repeat with the edges within colours that are left.
     """
     scratch = Scratch(edges.sparkSession, "components")
     left, n = scratch.counted(simple_edges(edges))
@@ -106,11 +106,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             left, n = scratch.counted(mapped.filter("NOT closes").select("src", "dst"))
             continue
         colour = _spread(left, scratch)
-        same = left.join(colour.withColumnRenamed("id", "src").withColumnRenamed("colour", "a"), "src").join(colour.withColumnRenamed("id", "dst").withColumnRenamed("colour", "b"), "dst").filter("a = b")
-        back = _reaching_back(scratch.write(same.select("src", "dst", F.col("a").alias("colour"))), scratch)
+        both = left.join(colour.withColumnRenamed("id", "src").withColumnRenamed("colour", "a"), "src").join(colour.withColumnRenamed("id", "dst").withColumnRenamed("colour", "b"), "dst")
+        same = scratch.write(both.filter("a = b").select("src", "dst", F.col("a").alias("colour")))
+        back = _reaching_back(same, scratch, colour)
         found[-1].insert(0, back.select("id", F.col("colour").alias("label")))
+        # A component has one colour, so edges between colours go, too, and the rest falls into parts.
         gone = back.select("id")
-        left, n = scratch.counted(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
+        left, n = scratch.counted(same.select("src", "dst").join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
     # From the outermost nodes to their members: the widest component that holds a node is its component.
     label = None
     for level in range(len(folds), -1, -1):
@@ -135,9 +137,9 @@ def _and_self(edges: DataFrame) -> DataFrame:
 
 
 def _spread(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, colour): the smallest id from which each node can be reached, itself included."""
+    """(id, colour): of the nodes from which each node can be reached, itself included, the one first by hash, so that no order of ids makes one colour of all."""
     steps = scratch.write(_and_self(edges))
-    colour = steps.filter("src = dst").select(F.col("src").alias("id"), F.col("src").alias("colour"))
+    colour = steps.filter("src = dst").select(F.col("src").alias("id"), F.struct(F.xxhash64("src").alias("h"), F.col("src").alias("id")).alias("colour"))
     while True:
         for _ in range(STRIDE):
             offered = steps.join(colour.withColumnRenamed("id", "src"), "src")
@@ -146,14 +148,13 @@ def _spread(edges: DataFrame, scratch: Scratch) -> DataFrame:
         found, n = scratch.counted(found, F.col("colour") < F.col("before"))
         colour = found.select("id", "colour")
         if not n:
-            return colour
+            return found.select("id", F.col("colour.id").alias("colour"))
 
 
-def _reaching_back(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, colour) for the nodes that reach the node named by their colour along edges (src, dst, colour) of that colour."""
-    named = edges.select(F.col("src").alias("id"), "colour").union(edges.select("dst", "colour")).distinct()
+def _reaching_back(edges: DataFrame, scratch: Scratch, named: DataFrame) -> DataFrame:
+    """(id, colour) for the nodes that reach the node named by their colour (id, colour) along edges (src, dst) of that colour; a pivot without such edges is a component of its own and left out."""
     steps, n = scratch.write(_and_self(edges)), -1
-    known = named.filter("id = colour").select("id")
+    known = steps.filter("src = dst").select(F.col("src").alias("id")).join(named.filter("id = colour").select("id"), "id", "left_semi")
     while True:
         for _ in range(STRIDE):
             known = steps.join(known.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
