@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions.text import dirname, glob_match, last_segment
+from codestrata.operators import communities
 from codestrata.session import Scratch
 
 ROOT, UNASSIGNED = "(root)", "(unassigned)"
@@ -87,6 +88,14 @@ def by_community(classes: DataFrame, edges: DataFrame, rounds: int = 200) -> Dat
     return classes.join(label.join(names, "label").select(F.col("id").alias("qualified_name"), "module"), "qualified_name").select(*classes.columns, "module")
 
 
+def by_modularity(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Communities by modularity on the undirected graph of (src, dst) over qualified names, named after the member of most neighbours, ties to the smaller name."""
+    found = communities.communities(classes.select(F.col("qualified_name").alias("id")), edges)
+    degree = communities.undirected(edges).groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("d"))
+    names = found.join(degree, "id", "left").groupBy("community").agg(F.min(F.struct((-F.coalesce("d", F.lit(0))).alias("d"), "id")).alias("m")).select("community", F.concat(F.lit("cluster:"), F.col("m.id")).alias("module"))
+    return classes.join(found.join(names, "community").select(F.col("id").alias("qualified_name"), "module"), "qualified_name").select(*classes.columns, "module")
+
+
 def assign(classes: DataFrame, edges: DataFrame, strategy: str = "auto", groups: list[tuple[str, list[str]]] | None = None) -> tuple[DataFrame, str]:
     """Classes with `module`, and the strategy used: groups, else folders or namespaces if they make two modules or more, else communities."""
     several = lambda df: df.select("module").distinct().limit(2).count() >= 2
@@ -102,7 +111,7 @@ def assign(classes: DataFrame, edges: DataFrame, strategy: str = "auto", groups:
             return out, "namespace"
     if strategy not in ("community", "auto"):
         raise ValueError(f"unknown strategy: {strategy}")
-    return by_community(classes, edges), "community"
+    return by_modularity(classes, edges), "community"
 
 
 def module_references(relationships: DataFrame, membership: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import kinds as K
 from codestrata.functions import text as X
-from codestrata.operators import decouple, dominators, graph, modules, rules
+from codestrata.operators import communities, decouple, dominators, graph, modules, rules
 from codestrata.plans import adapter as A
 from codestrata.plans.registry import query
 from codestrata.session import Scratch
@@ -353,6 +353,26 @@ def community_modules(spark, d):
     return modules.by_community(ents.select("qualified_name"), edges).groupBy("module").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def modularity_communities(spark, d):
+    """Communities by modularity, with their number, inner edges and modularity; tests/test_communities.py checks them."""
+    ents, edges = A.entities(spark, d).select("id"), _edges(spark, d)
+    found = Scratch(spark, "found").write(communities.communities(ents, edges))
+    return found.crossJoin(F.broadcast(communities.modularity(edges, found)))
+
+
+@query(
+    f"""WITH {A.GRAPH}, {A.MODULE}, pair AS (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM edge),
+  ends AS (SELECT a.module AS a, b.module AS b FROM pair JOIN module a ON a.id = u JOIN module b ON b.id = v),
+  per AS (SELECT a AS module, count(*) AS n FROM (SELECT a FROM ends UNION ALL SELECT b FROM ends) GROUP BY a),
+  total AS (SELECT count(*) AS m, count(*) FILTER (a = b) AS i FROM ends)
+SELECT (SELECT count(DISTINCT module) FROM module) AS communities, m AS edges, i AS inside, round(i / m - (SELECT sum((n / (2.0 * m)) * (n / (2.0 * m))) FROM per), 9) AS modularity FROM total"""
+)
+def module_modularity(spark, d):
+    """The modularity of the modules by namespace."""
+    return communities.modularity(_edges(spark, d), A.modules(spark, d).select("id", F.col("module").alias("community"))).withColumn("modularity", F.round("modularity", 9))
+
+
 @query(f"WITH RECURSIVE {A.GRAPH}, {REACH.format(e='edge')}, {COMP}, {CEDGE}, outs AS (SELECT src, count(*) AS n FROM edge GROUP BY src) SELECT arg_min(c.id, struct_pack(n := -coalesce(o.n, 0), id := c.id)) AS id FROM comp c LEFT JOIN outs o ON o.src = c.id WHERE c.component NOT IN (SELECT dst FROM cedge) GROUP BY c.component")
 def visible_roots(spark, d):
     return graph.visible_roots(A.entities(spark, d), _edges(spark, d))
