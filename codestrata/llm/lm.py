@@ -7,11 +7,12 @@ pairs, never a row for each word.
 1. Batches send their tokens and training counts to token shards, which return the
    total of each token and its id: its rank by frequency in the shard, spread so that
    ids of shards do not meet. Frequent tokens have small ids, which compress well.
-2. Batches send their distinct bigrams with training counts to bigram shards, by way of
-   bundles: shards form groups and batches form bundles, of about the square root of
-   their number each; a batch writes a block for each group, a bundle merges the blocks
-   of a group and writes a block for each shard. So with B batches and as many shards
-   there are B^1.5 blocks, not B^2, and pairs that batches share travel once.
+   They travel by way of bundles: shards form groups and batches form bundles, of about
+   the square root of their number each; a batch writes a block for each group, a bundle
+   merges the blocks of a group and writes a block for each shard. So with B batches
+   there are about B^1.5 blocks, not B^2, and tokens that batches share travel once.
+2. Batches send their distinct bigrams with training counts to bigram shards, in the
+   same way.
    A shard merges, smooths,  P(w | v) = (c(v w) + MU * P(w)) / (c(v) + MU),  and writes
    the trie; then it looks up all that the bundles ask for.
 3. Answers go back the same way, and batches put them to their texts. An unseen bigram
@@ -72,11 +73,13 @@ def _rows(out: list[dict], schema: pa.Schema) -> pa.RecordBatch:
 
 
 BATCH_ARROW = pa.schema([("batch", pa.int64()), *((n, pa.binary()) for n in ("ids", "train", "lengths", "tokens", "keys"))])
-TOKEN_ARROW = pa.schema([("shard", pa.int32()), ("batch", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-TOTAL_ARROW = pa.schema([("shard", pa.int32()), ("batch", pa.int64()), ("totals", pa.binary()), ("ranks", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("once", pa.int64())])
+TOKEN_ARROW = pa.schema([("place", pa.int32()), ("bundle", pa.int64()), ("batch", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+TOTAL_ARROW = pa.schema([("place", pa.int32()), ("bundle", pa.int64()), ("group", pa.int32()), ("totals", pa.binary()), ("ranks", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("once", pa.int64())])
+KNOWN_ARROW = pa.schema([("place", pa.int32()), ("batch", pa.int64()), ("totals", pa.binary()), ("ids", pa.binary())])
 BLOCK_ARROW = pa.schema([("place", pa.int32()), ("bundle", pa.int64()), ("batch", pa.int64()), ("contexts", pa.binary()), ("successors", pa.binary()), ("counts", pa.binary()), ("levels", pa.binary())])
 CODE_ARROW = pa.schema([("place", pa.int32()), ("bundle", pa.int64()), ("group", pa.int32()), ("batch", pa.int64()), ("answer", pa.binary())])
-TOKEN, TOTAL = "shard int, batch long, keys binary, counts binary", "shard int, batch long, totals binary, ranks binary, tokens long, distinct long, once long"
+TOKEN = "place int, bundle long, batch long, keys binary, counts binary"
+TOTAL, KNOWN = "place int, bundle long, group int, totals binary, ranks binary, tokens long, distinct long, once long", "place int, batch long, totals binary, ids binary"
 PAIRS, CODES = "place int, bundle long, batch long, contexts binary, successors binary, counts binary, levels binary", "place int, bundle long, group int, batch long, answer binary"
 
 
@@ -177,39 +180,83 @@ def _mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
-def _token_rows(shards: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Tokens:
+    """The ways of tokens between batches and the shards that count them."""
+
+    def __init__(self, shards: int, batches: int):
+        self.shards = shards
+        self.width = math.isqrt(shards - 1) + 1  # shards of a group
+        self.bundles = max(1, math.isqrt(batches))
+
+    def shard(self, keys: np.ndarray) -> np.ndarray:
+        return (_mixed(keys) % np.uint64(self.shards)).astype(np.int64)
+
+    def ask(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The batches' tokens and training counts, a block for each group of shards."""
         for b in batches:
             for row in b.to_pylist():
                 tokens, keys = _get(row["tokens"], np.int32), _get(row["keys"], np.uint64)
                 counts = np.bincount(tokens[_training(row, tokens)], minlength=len(keys))
-                where = (_mixed(keys) % np.uint64(shards)).astype(np.int64)
-                yield _rows([{"shard": s, "batch": row["batch"], "keys": _put(keys[i]), "counts": _put(counts[i])} for s, i in _by_shard(where)], TOKEN_ARROW)
+                bundle = row["batch"] % self.bundles
+                yield _rows([{"place": g, "bundle": bundle, "batch": row["batch"], "keys": _put(keys[i]), "counts": _put(counts[i])} for g, i in _by_shard(self.shard(keys) // self.width)], TOKEN_ARROW)
+                release_memory()
 
-    return run
+    @staticmethod
+    def _merged(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """The distinct keys of all rows, the place of each row's keys among them, and the rows' lengths."""
+        keys = [_get(r["keys"], np.uint64) for r in rows]
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        return distinct, place, [len(k) for k in keys]
 
+    def gather(self, table: pa.Table) -> pa.Table:
+        """A bundle's blocks of one group, merged, to a block for each shard."""
+        rows = table.to_pylist()
+        distinct, place, _ = self._merged(rows)
+        counts = np.bincount(place, np.concatenate([_get(r["counts"], np.int64) for r in rows]), len(distinct)).astype(np.int64)
+        out = [{"place": s, "bundle": rows[0]["bundle"], "batch": 0, "keys": _put(distinct[i]), "counts": _put(counts[i])} for s, i in _by_shard(self.shard(distinct))]
+        release_memory()
+        return pa.Table.from_pylist(out, TOKEN_ARROW)
 
-def _token_totals(table: pa.Table) -> pa.Table:
-    """One token shard: the total of each key and its rank by total, given back to every batch that has it."""
-    rows = table.to_pylist()
-    keys, counts = [_get(r["keys"], np.uint64) for r in rows], np.concatenate([_get(r["counts"], np.int64) for r in rows])
-    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(place, counts, len(distinct)).astype(np.int64)
-    rank = np.empty(len(distinct), np.int64)
-    rank[np.argsort(-total, kind="stable")] = np.arange(len(distinct))
-    out, at = [], 0
-    for i, (r, k) in enumerate(zip(rows, keys)):
-        first, own = i == 0, place[at : at + len(k)]
-        out.append({"shard": r["shard"], "batch": r["batch"], "totals": _put(total[own]), "ranks": _put(rank[own]), "tokens": int(total.sum()) if first else 0, "distinct": int((total > 0).sum()) if first else 0, "once": int((total == 1).sum()) if first else 0})
-        at += len(k)
-    return pa.Table.from_pylist(out, TOTAL_ARROW)
+    def total(self, table: pa.Table) -> pa.Table:
+        """One shard: the total of each key and its rank by total, for every bundle that has it; the shard's sums stand in its first row."""
+        rows = table.to_pylist()
+        distinct, place, sizes = self._merged(rows)
+        total = np.bincount(place, np.concatenate([_get(r["counts"], np.int64) for r in rows]), len(distinct)).astype(np.int64)
+        rank = np.empty(len(distinct), np.int64)
+        rank[np.argsort(-total, kind="stable")] = np.arange(len(distinct))
+        sums, none = {"tokens": int(total.sum()), "distinct": int((total > 0).sum()), "once": int((total == 1).sum())}, {"tokens": 0, "distinct": 0, "once": 0}
+        out, at = [], 0
+        for i, (r, n) in enumerate(zip(rows, sizes)):
+            own = place[at : at + n]
+            out.append({"place": r["place"], "bundle": r["bundle"], "group": r["place"] // self.width, "totals": _put(total[own]), "ranks": _put(rank[own]), **(none if i else sums)})
+            at += n
+        release_memory()
+        return pa.Table.from_pylist(out, TOTAL_ARROW)
+
+    def give_back(self, asked: pa.Table, answers: pa.Table) -> pa.Table:
+        """The shards' totals and ids for a bundle and group, dealt to its batches."""
+        rows = asked.to_pylist()
+        if not rows:
+            return pa.Table.from_pylist([], KNOWN_ARROW)
+        distinct, place, sizes = self._merged(rows)
+        by = {a["place"]: a for a in answers.to_pylist()}
+        total, ids = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        for s, i in _by_shard(self.shard(distinct)):
+            total[i], ids[i] = _get(by[s]["totals"], np.int64), _get(by[s]["ranks"], np.int64) * self.shards + s
+        out, at = [], 0
+        for r, n in zip(rows, sizes):
+            own = place[at : at + n]
+            out.append({"place": r["place"], "batch": r["batch"], "totals": _put(total[own]), "ids": _put(ids[own])})
+            at += n
+        release_memory()
+        return pa.Table.from_pylist(out, KNOWN_ARROW)
 
 
 class Corpus:
     """Numbers of the training text and what follows from them."""
 
     def __init__(self, tokens: int, distinct: int, once: int, token_shards: int, batches: int, mu: float):
-        self.n, self.v, self.token_shards, self.mu = tokens, distinct, token_shards, mu
+        self.n, self.v, self.tokens, self.mu = tokens, distinct, Tokens(token_shards, batches), mu
         self.pair_shards = 1 + batches
         self.width = math.isqrt(self.pair_shards - 1) + 1  # shards of a group
         self.bundles = max(1, math.isqrt(batches))
@@ -220,11 +267,11 @@ class Corpus:
         return np.where(count > 0, (1 - self.unknown) * count / max(1, self.n), self.unknown)
 
     def known(self, keys: np.ndarray, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        """The totals and ids of a batch's keys from the token shards' answers."""
-        by = {a["shard"]: a for a in answers}
+        """The totals and ids of a batch's keys from the answers to its groups."""
+        by = {a["place"]: a for a in answers}
         total, ids = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        for s, i in _by_shard((_mixed(keys) % np.uint64(self.token_shards)).astype(np.int64)):
-            total[i], ids[i] = _get(by[s]["totals"], np.int64), _get(by[s]["ranks"], np.int64) * self.token_shards + s
+        for g, i in _by_shard(self.tokens.shard(keys) // self.tokens.width):
+            total[i], ids[i] = _get(by[g]["totals"], np.int64), _get(by[g]["ids"], np.int64)
         return total, ids
 
     def shards(self, p: Pairs) -> np.ndarray:
@@ -336,11 +383,15 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     batches = packed.count()
     token_shards = 1 + batches // 8
 
-    asked = packed.select("batch", "train", "lengths", "tokens", "keys").mapInArrow(_token_rows(token_shards), TOKEN)
-    totals = scratch.write(asked.groupBy("shard").applyInArrow(_token_totals, TOTAL))
+    ways = Tokens(token_shards, batches)
+    asked = packed.select("batch", "train", "lengths", "tokens", "keys").mapInArrow(ways.ask, TOKEN)
+    merged = scratch.write(asked.groupBy("bundle", "place").applyInArrow(lambda table: ways.gather(table), TOKEN))
+    totals = scratch.write(merged.groupBy("place").applyInArrow(lambda table: ways.total(table), TOTAL))
     sums = totals.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "distinct", "once")]).first()
     corpus = Corpus(sums["tokens"], sums["distinct"], sums["once"], token_shards, batches, mu)
-    known = scratch.write(packed.join(totals.groupBy("batch").agg(F.collect_list(F.struct("shard", "totals", "ranks")).alias("totals")), "batch"))
+    dealt = asked.withColumn("group", F.col("place")).groupBy("bundle", "group").cogroup(totals.groupBy("bundle", "group"))
+    found = scratch.write(dealt.applyInArrow(lambda asked, answers: ways.give_back(asked, answers), KNOWN))
+    known = scratch.write(packed.join(found.groupBy("batch").agg(F.collect_list(F.struct("place", "totals", "ids")).alias("totals")), "batch"))
     scratch.drop(keep=1)  # all that follows reads `known` alone
 
     def each(what):

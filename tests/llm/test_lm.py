@@ -85,6 +85,49 @@ def test_blocks_grow_less_than_with_the_square(batches):
     assert batches * groups + c.bundles * c.pair_shards <= 2 * batches**1.5 + 2 * batches + 4
 
 
+@pytest.mark.parametrize("batches", [1, 5, 128, 7_500, 250_000])
+def test_token_blocks_grow_less_than_with_the_square(batches):
+    """By bundles: 7,500 batches (30 GB) write 337,000 blocks, not 7 million."""
+    ways = lm.Tokens(1 + batches // 8, batches)
+    groups = -(-ways.shards // ways.width)
+    assert batches * groups + ways.bundles * ways.shards <= batches**1.5 + 2 * batches + 4
+
+
+def test_token_totals_by_bundles():
+    """Totals and ids reach each batch as if all counts had been in one table."""
+    rng, ways, batches = np.random.default_rng(5), lm.Tokens(7, 9), []
+    for b in range(9):
+        keys = rng.permutation(np.unique(rng.integers(0, 60, 25).astype(np.uint64) * np.uint64(10**15 + 7)))
+        tokens = rng.integers(0, len(keys), 80).astype(np.int32)
+        flags = np.array([1, 0], np.uint8)
+        batches.append({"batch": b, "train": lm._put(flags), "lengths": lm._put(np.array([50, 30])), "tokens": lm._put(tokens), "keys": lm._put(keys)})
+    asked = [r for b in ways.ask([lm.pa.RecordBatch.from_pylist(batches)]) for r in b.to_pylist()]
+
+    def each(rows, key, what):
+        groups = {}
+        for r in rows:
+            groups.setdefault(tuple(r[k] for k in key), []).append(r)
+        return [x for g in groups.values() for x in what(lm.pa.Table.from_pylist(g)).to_pylist()]
+
+    totals = each(each(asked, ("bundle", "place"), ways.gather), ("place",), ways.total)
+    dealt = []
+    for way in {(r["bundle"], r["place"]) for r in asked}:
+        mine = [r for r in asked if (r["bundle"], r["place"]) == way]
+        dealt += ways.give_back(lm.pa.Table.from_pylist(mine), lm.pa.Table.from_pylist([r for r in totals if (r["bundle"], r["group"]) == way])).to_pylist()
+    want = Counter()
+    for b in batches:
+        keys = lm._get(b["keys"], np.uint64)
+        want.update(keys[lm._get(b["tokens"], np.int32)[:50]].tolist())
+    assert sum(r["tokens"] for r in totals) == 9 * 50 and sum(r["distinct"] for r in totals) == len(want) and sum(r["once"] for r in totals) == sum(c == 1 for c in want.values())
+    corpus, ids = lm.Corpus(450, len(want), 0, 7, 9, lm.MU), {}
+    for b in batches:
+        keys = lm._get(b["keys"], np.uint64)
+        total, found = corpus.known(keys, [r for r in dealt if r["batch"] == b["batch"]])
+        assert total.tolist() == [want[k] for k in keys.tolist()]
+        assert all(ids.setdefault(k, i) == i for k, i in zip(keys.tolist(), found.tolist()))
+    assert len(set(ids.values())) == len(ids)
+
+
 def tokens(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     return re.findall(r"[^\x20\x09-\x0D]+", low) + ["\n"]
