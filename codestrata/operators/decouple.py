@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions.kinds import cut_cost_of
-from codestrata.operators import graph
+from codestrata.operators import graph, ordering
+from codestrata.session import Scratch
 
+#: Components of at most so many edges are searched for the best cut.
 EXACT_EDGES = 12
-CUT = "component string, src string, dst string"
+#: Keys under which the size of a component meets its edges.
+SALTS = 32
 
 
 def edge_costs(edges: DataFrame) -> DataFrame:
@@ -48,39 +51,59 @@ def _find_cycle(edges: list[tuple[str, str]]) -> list[tuple[str, str]]:
 
 
 def least_cuts(edges: list[tuple[str, str, float]]) -> list[tuple[str, str]]:
-    """The edges to cut so that no cycle is left: of the smallest number that does, the cheapest, ties in order. With more than EXACT_EDGES edges the cheapest edge of a found cycle goes, again and again."""
+    """The edges to cut so that no cycle is left: of the smallest number that does, the cheapest, ties in order. All cuts are tried, so this is for at most EXACT_EDGES edges."""
     cost = {(u, v): c for u, v, c in edges}
     every = sorted(cost)
     if not _find_cycle(every):
         return []
-    if len(every) <= EXACT_EDGES:
-        for n in range(1, len(every) + 1):
-            fits = [(sum(cost[e] for e in cut), cut) for cut in combinations(every, n) if not _find_cycle([e for e in every if e not in cut])]
-            if fits:
-                return list(min(fits)[1])
-    left, cuts = set(every), []
-    while ring := _find_cycle(list(left)):
-        e = min(ring, key=lambda x: (cost[x], x))
-        left.remove(e)
-        cuts.append(e)
-    return sorted(cuts)
+    for n in range(1, len(every) + 1):
+        fits = [(sum(cost[e] for e in cut), cut) for cut in combinations(every, n) if not _find_cycle([e for e in every if e not in cut])]
+        if fits:
+            return list(min(fits)[1])
+    return []
 
 
-def cuts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(component, src, dst, weight, cost, kinds, evidence, prescription) of the edges to cut, for every cyclic component on its own."""
-    priced = edge_costs(edges)
-    comp = graph.components(nodes, edges)
-    inner = priced.join(comp.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(comp.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst").filter("a = b")
+def _within(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges inside components, with `component` and whether it is `large`: of more than EXACT_EDGES edges.
+
+    A component may hold most edges, so its size meets them under several keys.
+    """
+    a, b = comp.select(F.col("id").alias("src"), "component"), comp.select(F.col("id").alias("dst"), F.col("component").alias("__other"))
+    inner = edges.filter("src <> dst").join(a, "src").join(b, "dst").filter("component = __other").drop("__other")
+    size = inner.groupBy("component").agg((F.count(F.lit(1)) > EXACT_EDGES).alias("large"))
+    spread = size.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return inner.withColumn("__salt", F.pmod(F.xxhash64("src", "dst"), F.lit(SALTS)).cast("int")).join(spread, ["component", "__salt"]).drop("__salt")
+
+
+def chosen_cuts(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """(component, src, dst) of the edges to cut, given comp (id, component) and edges (src, dst, cost), one for each pair.
+
+    Components of at most EXACT_EDGES edges are searched, each in a group of its own; the
+    larger ones are put in order together and lose the edges that go against it.
+    """
+    scratch = Scratch(edges.sparkSession, "cuts")
+    inner = scratch.write(_within(comp, edges).select("component", "src", "dst", "cost", "large"))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         found = least_cuts(list(pdf[["src", "dst", "cost"]].itertuples(index=False, name=None)))
         return pd.DataFrame([(pdf["component"].iloc[0], u, v) for u, v in found], columns=["component", "src", "dst"])
 
-    chosen = inner.select(F.col("a").alias("component"), "src", "dst", "cost").groupBy("component").applyInPandas(search, CUT)
+    types = dict(inner.dtypes)
+    exact = inner.filter("NOT large").groupBy("component").applyInPandas(search, ", ".join(f"{c} {types[c]}" for c in ("component", "src", "dst")))
+    large, n = scratch.counted(inner.filter("large").select("component", "src", "dst", "cost"))
+    if not n:
+        return exact
+    return exact.unionByName(ordering.against_order(large, ordering.places(large)).select("component", "src", "dst"))
+
+
+def cuts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(component, src, dst, weight, cost, kinds, evidence, prescription) of the edges to cut, for every cyclic component on its own."""
+    priced = edge_costs(edges)
+    chosen = chosen_cuts(graph.components(nodes, edges), priced.select("src", "dst", "cost"))
     # The two prescriptions.
     by_base = F.size(F.array_except("kinds", F.array(F.lit("inherits"), F.lit("implements")))) == 0
     prescription = F.when(by_base, "extract shared base").otherwise("dependency inversion")
-    return chosen.join(inner.drop("a", "b"), ["src", "dst"]).select("component", "src", "dst", "weight", "cost", "kinds", F.slice("evidence", 1, 8).alias("evidence"), prescription.alias("prescription"))
+    return chosen.join(priced, ["src", "dst"]).select("component", "src", "dst", "weight", "cost", "kinds", F.slice("evidence", 1, 8).alias("evidence"), prescription.alias("prescription"))
 
 
 def plans(nodes: DataFrame, edges: DataFrame) -> DataFrame:

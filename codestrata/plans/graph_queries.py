@@ -302,9 +302,30 @@ def decouple_cut_cost(spark, d):
     return decouple.edge_costs(modules.module_edges(_references(spark, d))).select("src", "dst", F.round("cost", 6).alias("cost"))
 
 
+@query(
+    f"""WITH RECURSIVE {A.GRAPH}, {REACH.format(e='edge')}, {COMP}, price AS (SELECT src, dst, sum({A.COST.format(k='kind')}) AS cost FROM internal GROUP BY src, dst),
+  many AS (SELECT component, count(*) AS classes FROM comp GROUP BY component HAVING count(*) > 1)
+SELECT a.component, any_value(classes) AS classes, count(*) AS edges, round(sum(cost), 6) AS cost, 0 AS on_cycles, true AS at_most_half
+FROM price JOIN comp a ON a.id = src JOIN comp b ON b.id = dst AND a.component = b.component JOIN many ON many.component = a.component GROUP BY a.component"""
+)
+def class_cuts(spark, d):
+    """Cyclic components of classes, their edges and what these cost, and two checks of the cuts: how many classes are on a cycle without them, and whether they cost at most half of all edges."""
+    priced = _internal(spark, d).groupBy("src", "dst").agg(F.sum(K.cut_cost_of(F.col("kind"))).alias("cost"))
+    nodes = A.entities(spark, d).select("id")
+    comp = graph.components(nodes, priced)
+    cut = Scratch(spark, "class-cuts").write(decouple.chosen_cuts(comp, priced))
+    left = graph.components(nodes, priced.join(cut.select("src", "dst"), ["src", "dst"], "left_anti"))
+    still = left.join(left.groupBy(F.col("component")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component"), "component", "left_semi").select("id", F.lit(1).alias("cyclic"))
+    per = comp.join(still, "id", "left").groupBy("component").agg(F.count(F.lit(1)).alias("classes"), F.count("cyclic").alias("on_cycles")).filter("classes > 1")
+    a, b = comp.select(F.col("id").alias("src"), "component"), comp.select(F.col("id").alias("dst"), F.col("component").alias("other"))
+    inside = priced.join(a, "src").join(b, "dst").filter("component = other").join(cut.select("src", "dst", F.lit(True).alias("gone")), ["src", "dst"], "left")
+    sums = inside.groupBy("component").agg(F.count(F.lit(1)).alias("edges"), F.sum("cost").alias("cost"), F.coalesce(F.sum(F.when(F.col("gone"), F.col("cost"))), F.lit(0.0)).alias("spent"))
+    return per.join(sums, "component").select("component", "classes", "edges", F.round("cost", 6).alias("cost"), "on_cycles", (2 * F.col("spent") <= F.col("cost")).alias("at_most_half"))
+
+
 @query()
 def decouple_cuts(spark, d):
-    """NP-hard per component; tests/test_graph.py compares with a search over all cuts."""
+    """NP-hard per component; tests/test_graph.py compares small ones with a search over all cuts, tests/test_ordering.py large ones with a greedy search."""
     mg = _module_graph(spark, d)
     return decouple.cuts(mg.nodes, mg.edges).select("component", "src", "dst", "weight", "cost", "prescription")
 

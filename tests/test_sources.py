@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codestrata.sources import cpp, scan
-from codestrata.sources.types import classify_field, innermost_name, last_argument
+from codestrata.sources.types import classify_field, innermost_name
 from tests import tree
 
 
@@ -21,7 +21,7 @@ def test_field_types(expression, found):
 
 
 def test_type_helpers():
-    assert last_argument("a, b<c, d>, e(f, g)") == "e(f, g)" and innermost_name("std::pair<A, B>") == "B" and innermost_name("3") is None
+    assert innermost_name("std::pair<A, B>") == "B" and innermost_name("3") is None
 
 
 def names(text, kind):
