@@ -262,6 +262,48 @@ def incremental_fingerprint(relationships: DataFrame) -> DataFrame:
     return relationships.agg(F.count(F.lit(1)).alias("n"), *parts).select(F.sha2(F.concat_ws("|", "n", *[f"p{i}" for i in range(4)]), 256).alias("fingerprint"))
 
 
+def fingerprint_tree(relationships: DataFrame, key: str = "evidence_file", digits: int = 3) -> DataFrame:
+    """(level, node, n, p0..p3, digest): a hash tree over ranges of the key's SHA-256.
+
+    A leaf is named by the first `digits` hexadecimal digits of its keys' hash (null as an
+    empty key) and holds the number of its lines and sums of their hashes, so that no list
+    of lines is made and a busy key is summed where it lies; its digest is that of these
+    numbers. A node above has one digit less, at most 16 children, and the digest of their
+    names and digests in order. The root has no digits; a tree without lines has no rows.
+    """
+    h, empty = F.sha2(_line(), 256), F.lit("")
+    parts = [F.sum(F.conv(F.substring(h, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")).alias(f"p{i}") for i in range(4)]
+    node = F.substring(F.sha2(F.coalesce(F.col(key).cast("string"), empty), 256), 1, digits)
+    return _tree(relationships.groupBy(node.alias("node")).agg(F.count(F.lit(1)).alias("n"), *parts), digits)
+
+
+def _tree(leaves: DataFrame, digits: int) -> DataFrame:
+    """All levels over leaves (node, n, p0..p3)."""
+    sums = [f"p{i}" for i in range(4)]
+    out = level = leaves.select(F.lit(digits).alias("level"), "node", "n", *sums, F.sha2(F.concat_ws("|", "n", *sums), 256).alias("digest"))
+    for d in range(digits - 1, -1, -1):
+        children = F.array_sort(F.collect_list(F.concat("node", F.lit(":"), "digest")))
+        above = level.groupBy(F.substring("node", 1, d).alias("node")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(children, ","), 256).alias("digest"))
+        level = above.select(F.lit(d).alias("level"), "node", "n", *[F.lit(None).cast("decimal(38,0)").alias(p) for p in sums], "digest")
+        out = out.unionByName(level)
+    return out
+
+
+def refreshed_tree(tree: DataFrame, gone: DataFrame, came: DataFrame, key: str = "evidence_file", digits: int = 3) -> DataFrame:
+    """The tree after the lines `gone` have left and `came` have come; only these are read and hashed, and a leaf without lines left goes."""
+    sums = ["n", *[f"p{i}" for i in range(4)]]
+    leaves = lambda t: t.filter(F.col("level") == digits).select("node", *sums)
+    less = leaves(fingerprint_tree(gone, key, digits)).select("node", *[(-F.col(c)).alias(c) for c in sums])
+    every = leaves(tree).unionByName(less).unionByName(leaves(fingerprint_tree(came, key, digits)))
+    return _tree(every.groupBy("node").agg(*[F.sum(c).cast("long" if c == "n" else "decimal(38,0)").alias(c) for c in sums]).filter("n <> 0"), digits)
+
+
+def changed_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(level, node) whose digests differ between two trees, nodes of one tree only among them."""
+    side = lambda t, c: t.select("level", "node", F.col("digest").alias(c))
+    return side(old, "a").join(side(new, "b"), ["level", "node"], "full").filter(~F.col("a").eqNullSafe(F.col("b"))).select("level", "node")
+
+
 def _line() -> Column:
     return F.concat_ws("|", "source_qname", F.coalesce(F.nullif("target_qname", F.lit("")), F.col("target_name")), "kind")
 

@@ -8,6 +8,7 @@ from codestrata.functions import text as X
 from codestrata.operators import relational as R
 from codestrata.plans import adapter as A
 from codestrata.plans.registry import query
+from codestrata.session import Scratch
 from codestrata.session import read_table as read
 
 
@@ -126,6 +127,28 @@ def graph_fingerprint(spark, d):
     return R.graph_fingerprint(rels)
 
 
+#: Both tree queries: leaves by three digits of the SHA-256 of the source's name, sums of 48 bits each, then digests of children.
+TREE = f"""line AS (SELECT substr(sha256(a.qualified_name), 1, 3) AS node, sha256(concat_ws('|', a.qualified_name, coalesce(b.qualified_name, 'external'), r.kind)) AS h FROM rel r JOIN ent a ON a.id = r.src LEFT JOIN ent b ON b.id = r.dst WHERE {{where}}),
+  sums AS (SELECT node, count(*) AS n, {", ".join(f"CAST(sum(CAST(concat('0x', substr(h, {1 + 12 * i}, 12)) AS BIGINT)) AS VARCHAR) AS p{i}" for i in range(4))} FROM line GROUP BY node),
+  t3 AS (SELECT 3 AS level, node, n, sha256(concat_ws('|', CAST(n AS VARCHAR), p0, p1, p2, p3)) AS digest FROM sums),
+  {", ".join(f"t{d} AS (SELECT {d} AS level, substr(node, 1, {d}) AS node, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(concat(node, ':', digest), ',' ORDER BY node)) AS digest FROM t{d + 1} GROUP BY substr(node, 1, {d}))" for d in (2, 1, 0))}
+SELECT * FROM t3 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t0"""
+
+
+@query(f"WITH {A.ENT}, {A.REL}, {TREE.format(where='true')}")
+def fingerprint_tree(spark, d):
+    """The hash tree of the graph."""
+    return R.fingerprint_tree(A.code_graph(spark, d)[1], "source_qname").select("level", "node", "n", "digest")
+
+
+@query(f"WITH {A.ENT}, {A.REL}, {TREE.format(where='evidence_line > 5')}")
+def fingerprint_refresh(spark, d):
+    """A stored tree brought up to date: of the first 400 lines of each file the first five go, and those beyond come."""
+    rels = A.code_graph(spark, d)[1]
+    old = Scratch(spark, "tree").write(R.fingerprint_tree(rels.filter("evidence_line <= 400"), "source_qname"))
+    return R.refreshed_tree(old, rels.filter("evidence_line <= 5"), rels.filter("evidence_line > 400"), "source_qname").select("level", "node", "n", "digest")
+
+
 @query("SELECT d.doc_id, d.source FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE coalesce(l.quality = 1, true)")
 def verifier_fail_open(spark, d):
     verdicts = read(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("is_real"))

@@ -6,16 +6,18 @@ classes' members; a tool's text comes back line by line.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions import kinds as K
 from codestrata.functions import text as X
-from codestrata.operators import decouple, graph, modules, rules
+from codestrata.operators import decouple, graph, modules, names, rules
 from codestrata.operators import relational as R
 from codestrata.plans import adapter as A
 from codestrata.plans.graph_queries import CEDGE, COMP, DEGREE, DOM_ROOTS, EVIDENCE, MODDEG, MODEDGE, MODGRAPH, REACH, REACHED, _edges, _module_graph
-from codestrata.plans.registry import query
+from codestrata.plans.registry import ORACLES, query
 from codestrata.session import Scratch
 from codestrata.session import read_table as read
 from codestrata.tools import design, report, review
@@ -233,6 +235,28 @@ def class_resolver_tiers(spark, d):
     return out
 
 
+def _indexed(spark, names_, col):
+    path = Scratch(spark, "names").path(col)
+    names.store_index(names.name_index(names_, col), path)
+    return names.open_index(spark, path)
+
+
+@query(ORACLES["class_resolver_tiers"])
+def class_resolver_index(spark, d):
+    """The same look-ups from stored postings."""
+    ents = A.entities(spark, d)
+    whole = ents.filter("name = 'C12'").first()["qualified_name"].lower()
+    index = _indexed(spark, ents, "qualified_name")
+    asked = (("whole", whole), ("tail", "_".join(whole.split("::")[1:])), ("part", "nd1::c1"))
+    return reduce(DataFrame.unionByName, [names.resolve_class(index, q).select(F.lit(label).alias("query"), "tier", "qualified_name") for label, q in asked])
+
+
+@query(ORACLES["file_resolver"])
+def file_resolver_index(spark, d):
+    index = _indexed(spark, A.entities(spark, d), "file_path")
+    return reduce(DataFrame.unionByName, [names.resolve_path(index, q).select(F.lit(q).alias("query"), "tier", "file_path") for q in ("C12.HXX", "y/c12.hxx", "Y/c19", "nothing")])
+
+
 # -- modules, rules and cuts --------------------------------------------------------
 @query("SELECT CASE WHEN p_partkey % 10 = 0 THEN '(root)' ELSE replace(p_brand, '#', '') END AS module, count(*) AS n FROM part GROUP BY 1")
 def namespace_modules(spark, d):

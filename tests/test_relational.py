@@ -128,3 +128,26 @@ def test_catalog_equals_its_oracles(spark):
         columns = [x[0] for x in found.description]
         want = sorted(repr(tuple(r[columns.index(k)] for k in sorted(columns))) for r in found.fetchall())
         assert sorted(df.columns) == sorted(columns) and sorted(repr(tuple(r[k] for k in sorted(columns))) for r in df.collect()) == want, name
+
+
+def test_fingerprint_tree(spark):
+    rows = [(f"N::C{i % 40}", f"N::C{i % 7}", "x", "depends", f"f{i % 9}.hxx", i) for i in range(300)] + [(None, None, "y", "depends", None, 300)] * 2
+    rel = spark.createDataFrame(rows, "source_qname string, target_qname string, target_name string, kind string, evidence_file string, line int")
+    tree = lambda df: {(r["level"], r["node"]): (r["n"], r["digest"]) for r in df.collect()}
+    whole = tree(R.fingerprint_tree(rel, digits=2))
+    assert whole == tree(R.fingerprint_tree(rel.repartition(5), digits=2)) and whole[0, ""][0] == 302
+    assert sum(n for (level, _), (n, _) in whole.items() if level == 2) == 302
+    for (level, node), (n, digest) in whole.items():
+        if level < 2:
+            below = sorted((k, v[1]) for (lv, k), v in whole.items() if lv == level + 1 and k[:level] == node)
+            assert digest == hashlib.sha256(",".join(f"{k}:{v}" for k, v in below).encode()).hexdigest()
+    # One changed file changes its leaf and the nodes above, and the update says the same as a new tree.
+    old, new = rel.filter("evidence_file = 'f3.hxx' AND line < 100"), rel.filter("evidence_file = 'f3.hxx' AND line < 50").withColumn("kind", F.lit("inherits"))
+    after = rel.exceptAll(old).unionByName(new)
+    refreshed = R.refreshed_tree(R.fingerprint_tree(rel, digits=2), old, new, digits=2)
+    assert tree(refreshed) == tree(R.fingerprint_tree(after, digits=2))
+    leaf = hashlib.sha256(b"f3.hxx").hexdigest()[:2]
+    assert {tuple(r) for r in R.changed_nodes(R.fingerprint_tree(rel, digits=2), refreshed).collect()} == {(2, leaf), (1, leaf[:1]), (0, "")}
+    # All lines gone: no rows; lines of no file belong to the empty key.
+    assert R.refreshed_tree(R.fingerprint_tree(rel, digits=2), rel, rel.limit(0), digits=2).count() == 0
+    assert (2, hashlib.sha256(b"").hexdigest()[:2]) in whole and R.fingerprint_tree(rel.limit(0)).count() == 0
