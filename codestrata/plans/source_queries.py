@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.plans import adapter as A
 from codestrata.plans.registry import query
+from codestrata.session import Scratch
 from codestrata.session import read_table as read
 from codestrata.sources import scan
 
@@ -104,3 +106,70 @@ def event_windows(spark, d):
     from codestrata.streaming.incremental import event_counts
 
     return event_counts(read(spark, d, "events")).withColumn("total", F.round("total", 6))
+
+
+# -- assembly -------------------------------------------------------------------
+#: A file for each part: a class with a base; some with a pure method, a field as well, a member of a class that no file defines, a class written with and without its scope, an alias that others may pass on. The alias of part 0 is its own and so has no end.
+PLANTED = """p AS (SELECT p_partkey AS k, concat('src/f', p_partkey, '.hxx') AS file, p_partkey // 2 AS half FROM part),
+  chain(k, link) AS (SELECT k, k FROM p WHERE k % 4 = 0 AND k > 0 UNION ALL SELECT chain.k, chain.link // 4 FROM chain WHERE chain.link % 16 = 0),
+  ends AS (SELECT k, min(link) // 2 AS box FROM chain GROUP BY k),
+  found AS (SELECT concat('N::Box', p.k) AS source_qname, CASE WHEN b.k IS NOT NULL THEN concat('N::Box', p.half) END AS target_qname, concat('Box', p.half) AS target_name, CASE WHEN b.k % 3 = 0 THEN 'implements' ELSE 'inherits' END AS kind FROM p LEFT JOIN p b ON b.k = p.half
+    UNION ALL SELECT concat('N::Box', e.k), CASE WHEN b.k IS NOT NULL THEN concat('N::Box', box) END, concat('Box', box), CASE WHEN e.k % 8 = 0 THEN 'aggregates' ELSE 'composes' END FROM ends e LEFT JOIN p b ON b.k = e.box
+    UNION ALL SELECT concat('Z::Solo', k), NULL, concat('Missing', k), 'depends' FROM p WHERE k % 5 = 0)"""
+
+
+def _planted(spark, d) -> DataFrame:
+    k = F.col("p_partkey")
+    named = lambda prefix, n=k: F.concat(F.lit(prefix), n.cast("string"))
+    types = dict(x.split(" ", 1) for x in scan.ROW.split(", ")[:-1])
+
+    def row(tag, seq, **given):
+        cells = {"file_path": F.concat(F.lit("src/f"), k.cast("string"), F.lit(".hxx")), "tag": F.lit(tag), "seq": F.lit(seq), "start_line": F.lit(seq), "end_line": F.lit(seq), **given}
+        return F.struct(*[cells.get(c, F.lit(None)).cast(t).alias(c) for c, t in types.items()], F.lit(None).cast(scan.ATTRS).alias("attrs"))
+
+    entity = lambda seq, kind, name, qname, parent, signature=None: row("entity", seq, kind=F.lit(kind), name=name, qualified_name=qname, parent_qname=parent, signature=F.lit(signature))
+    points = lambda seq, kind, source, target: row("relationship", seq, kind=F.lit(kind), source_qname=source, target_name=target)
+    box, none = named("N::Box"), F.lit(None)
+    passed_on = F.when(k % 16 == 0, named("A", F.floor(k / 4))).otherwise(named("Box", F.floor(k / 2)))
+    rows = F.array(
+        entity(1, "class", named("Box"), box, F.lit("N")),
+        F.when(k % 3 == 0, entity(2, "method", F.lit("run"), F.concat(box, F.lit("::run")), box, "virtual void run() = 0;")),
+        F.when(k % 6 == 0, entity(3, "field", F.lit("f"), F.concat(box, F.lit("::f")), box, "int f;")),
+        F.when(k % 7 == 0, entity(4, "method", F.lit("go"), F.concat(named("Ghost::G"), F.lit("::go")), named("Ghost::G"), "void go();")),
+        F.when(k % 5 == 0, entity(5, "class", named("Solo"), named("Solo"), none)),
+        F.when(k % 5 == 0, entity(6, "class", named("Solo"), named("Z::Solo"), F.lit("Z"))),
+        points(7, "inherits", box, named("Box", F.floor(k / 2))),
+        F.when(k % 4 == 0, row("alias", 8, name=named("A"), qualified_name=passed_on, kind=F.when(k % 8 == 0, "aggregates"))),
+        F.when(k % 4 == 0, points(9, "composes", box, named("A"))),
+        F.when(k % 5 == 0, points(10, "depends", named("Solo"), named("Missing"))),
+    )
+    return read(spark, d, "part").select(F.explode(F.array_compact(rows)).alias("r")).select("r.*")
+
+
+def _assembled(spark, d) -> scan.CodeGraph:
+    return scan.assemble(_planted(spark, d), Scratch(spark, "assembled"))
+
+
+@query(
+    f"""WITH RECURSIVE {PLANTED} SELECT concat('N::Box', k) AS qualified_name, CASE WHEN k % 6 = 3 THEN 'interface' ELSE 'class' END AS kind, concat('N') AS parent_qname, false AS phantom FROM p
+UNION ALL SELECT concat('N::Box', k, '::run'), 'method', concat('N::Box', k), false FROM p WHERE k % 3 = 0 UNION ALL SELECT concat('N::Box', k, '::f'), 'field', concat('N::Box', k), false FROM p WHERE k % 6 = 0
+UNION ALL SELECT concat('Ghost::G', k), 'class', 'Ghost', true FROM p WHERE k % 7 = 0 UNION ALL SELECT concat('Ghost::G', k, '::go'), 'method', concat('Ghost::G', k), false FROM p WHERE k % 7 = 0
+UNION ALL SELECT concat('Z::Solo', k), 'class', NULL, false FROM p WHERE k % 5 = 0"""
+)
+def assembled_entities(spark, d):
+    """Kinds refined, phantoms made, bare names merged: the first written of merged rows stays."""
+    return _assembled(spark, d).entities.select("qualified_name", "kind", "parent_qname", "phantom")
+
+
+@query(f"WITH RECURSIVE {PLANTED} SELECT * FROM found")
+def assembled_relationships(spark, d):
+    """Names resolved over files, aliases followed to their ends, inheritance of abstract bases re-tagged, merged sources renamed."""
+    return _assembled(spark, d).relationships.select("source_qname", "target_qname", "target_name", "kind")
+
+
+@query(
+    f"""WITH RECURSIVE {PLANTED} SELECT (SELECT count(*) FROM p WHERE k % 5 = 0) AS merged_count, (SELECT count(*) FROM p WHERE k % 7 = 0) AS phantom_count, (SELECT count(*) FROM p WHERE k % 4 = 0 AND k > 0) AS alias_expanded,
+  (SELECT count(*) FROM p WHERE k % 6 = 3) AS interface_count, (SELECT count(*) FROM found) AS relationship_count, (SELECT count(target_qname) FROM found) AS resolved_count, (SELECT count(*) FROM found WHERE kind = 'implements') AS retagged_count"""
+)
+def assembled_counts(spark, d):
+    return _assembled(spark, d).statistics.select("merged_count", "phantom_count", "alias_expanded", "interface_count", "relationship_count", "resolved_count", "retagged_count")
